@@ -29,12 +29,53 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 toxic, 1 of low quality, 2 good; a document is kept if it is good with a probability of one half."""
+    from .ordinal import grade, label_grade, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", label_grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    out = grade(docs, train(docs, graded, levels=3))
+    tail = [F.col("tail")[0].alias("p_not_toxic"), F.col("tail")[1].alias("p_good")]
+    return out.select("doc_id", "expected_grade", *tail, "keep")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import RULES, filter_urls, labelled_urls
 
     return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark), RULES)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=5, recall=0.9995)
+
+
+#: All pairs by an inverted index; components by recursion.
+OP5_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+        ELSE [w[i:i + 4] FOR i IN generate_series(1, len(w) - 4)] END) AS g FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS hits
+    FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT u, v FROM common JOIN sizes s ON s.doc_id = u JOIN sizes t ON t.doc_id = v
+    WHERE hits / (s.n + t.n - hits) >= 0.8
+), reach AS (
+    SELECT u AS node, v AS other FROM links UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.other
+)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(other) FROM reach r WHERE r.node = d.doc_id), d.doc_id)) AS class_id,
+       (SELECT count(*) FROM links l WHERE l.u = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import top_k
 
@@ -82,10 +123,12 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_reshard": op1_reshard,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op3_url_filter": op3_url_filter,
+    "op5_ngram_join": op5_ngram_join,
     "op7_pivot_topk": op7_pivot_topk,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_token_files": op9_token_files,
     "op10_avi_media": op10_avi_media,
 }
-ORACLES: dict[str, str] = {"op7_pivot_topk": OP7_SQL}
+ORACLES: dict[str, str] = {"op5_ngram_join": OP5_SQL, "op7_pivot_topk": OP7_SQL}
