@@ -76,6 +76,12 @@ FROM documents d
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sanitize import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import top_k
 
@@ -126,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_url_filter": op3_url_filter,
     "op5_ngram_join": op5_ngram_join,
+    "op6_pii": op6_pii,
     "op7_pivot_topk": op7_pivot_topk,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_token_files": op9_token_files,

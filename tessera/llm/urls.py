@@ -44,14 +44,13 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
 def _grams(text: Column, kind: str) -> Column:
     """Bucket numbers of all n-grams of one part of the url, with marks at both ends; all digits count as 0."""
     marked = F.concat(F.lit("^"), F.translate(text, "0123456789", "0000000000"), F.lit("$"))
-    parts = [
-        F.when(
-            F.length(marked) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(BUCKETS)).cast("int")),
-        ).otherwise(F.array().cast("array<int>"))
-        for n in NGRAMS
-    ]
-    return F.concat(*parts)
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(marked) - (n - 1))
+        found = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+        return F.when(F.length(marked) >= n, found).otherwise(F.array().cast("array<int>"))
+
+    return F.concat(*map(of_length, NGRAMS))
 
 
 def url_features(host: Column, path: Column) -> Column:
