@@ -133,7 +133,7 @@ class WordEncoder:
     before. Texts with other characters, or with something like a special token, go to the library whole.
     """
 
-    REMEMBERED = 300_000
+    REMEMBERED = 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,6 +142,18 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words as one text, in which spaces part them; the library tells each id's word."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+        cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(ids)]
+        if len(cuts) != len(words) + 1:  # a word that the library splits otherwise
+            for w in words:
+                self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        for k, w in enumerate(words):
+            self.words[w] = ids[cuts[k] : cuts[k + 1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         out: list = [None] * len(texts)
@@ -155,10 +167,8 @@ class WordEncoder:
         if len(self.words) + len(unknown) > self.REMEMBERED:
             self.words.clear()
             unknown = list({w for words in split.values() for w in words})
-        for at in range(0, len(unknown), 5000):
-            part = unknown[at : at + 5000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(unknown), 1000):
+            self._learn(unknown[at : at + 1000])
         known = self.words.__getitem__
         for i, words in split.items():
             out[i] = b"".join(map(known, words))
