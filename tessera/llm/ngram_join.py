@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, stage
@@ -90,6 +90,10 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _signed(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,9 +106,10 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str)
                 if full:
                     for i, row in zip(full, signatures([shingles(words[i], n) for i in full], bands, rows), strict=True):
                         found[i] = row.tobytes()
-                yield pd.DataFrame({key: part["k"].astype("Int64"), "class": names, "bands": found})
+                yield pd.DataFrame({key: part["k"].astype("Int64"), "h": part["h"], "class": names, "bands": found})
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, class binary, bands binary")
+    given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
+    return given.mapInPandas(run, f"{key} long, h long, class binary, bands binary")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -241,15 +246,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return labels.withColumnRenamed("c", "component")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links): one row for each row of docs.
-
-    class_id: the least key of all documents that are connected by links. n_links: the number of other documents with
-    a similarity of threshold or more, those with the same words included.
-    Null texts and texts without words have no n-grams: they link to none and their class is their own key. Texts of
-    fewer than n words have one n-gram of all their words. Null keys take part and get the class of the others; rows
-    with equal keys and texts count as copies; an empty table gives an empty result. Other columns are not looked at.
-    """
+def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str, text: str) -> DataFrame:
+    """(key, h, class, class_id, n_links) of every row, h being its text's hash."""
     bands, rows = banding(threshold, recall)
     signed = stage(_signed(docs, n, bands, rows, key, text), "signed")
     classes = stage(signed.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
@@ -290,16 +288,30 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     )
     # rows without words are spread by their key and find no class
     own = F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")
-    out = signed.select(key, F.coalesce("class", own).alias("class")).join(summary, "class", "left")
-    return out.select(key, F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select(key, "h", F.coalesce("class", own).alias("class")).join(summary, "class", "left")
+    return out.select(key, "h", "class", F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_duplicates_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of linked documents, the one with the least key; rows of no class all stay.
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links): one row for each row of docs.
+
+    class_id: the least key of all documents that are connected by links. n_links: the number of other documents with
+    a similarity of threshold or more, those with the same words included.
+    Null texts and texts without words have no n-grams: they link to none and their class is their own key. Texts of
+    fewer than n words have one n-gram of all their words. Null keys take part and get the class of the others; rows
+    with equal keys and texts count as copies; an empty table gives an empty result. Other columns are not looked at.
+    """
+    return _joined(docs, threshold, n, recall, key, text).select(key, "class_id", "n_links")
+
 
-    Of rows with equal keys in a class one stays. Rows with a null key stay only where their class has no other key.
+def near_duplicates_removed(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class of linked documents, that with the least key (and, of this key, the least text
+    hash); documents without links all stay. Rows of the same key and text are one document. Rows with a null key
+    cannot be told apart by it and all stay.
     """
-    joined = jaccard_join(docs.select(key, text), key=key, text=text, **options)
-    kept = joined.where(F.col("class_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_key")).distinct()
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["_key"]), "left_semi")
-    return rows.dropDuplicates([key])
+    found = _joined(docs.select(key, text), threshold, n, recall, key, text).where((F.col("class_id") == F.col(key)))
+    alone = F.substring("class", 1, 1) == F.lit(b"-")  # rows without words are no class together
+    kept = found.groupBy("class_id", F.when(alone, F.col("h")).alias("own")).agg(F.min("h").alias("_h")).select(F.col("class_id").alias("_key"), "_h").distinct()
+    rows = docs.withColumn("_h", text_hash(F.col(text))).withColumn("_key", F.col(key).cast("long"))
+    single = rows.join(kept, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).drop("_key", "_h")
+    return single.unionByName(docs.where(F.col(key).isNull()))

@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 17
 #: The documented bound of the training sample: labelled rows with the smallest hashes.
@@ -163,30 +165,39 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SA
     return fit([np.asarray(x, np.int64) for x in data["x"]], data["grade"].to_numpy(np.int64), levels)
 
 
-def grade(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", keep_tail: int | None = None, threshold: float = 0.5, carry: bool = False) -> DataFrame:
-    """(key, score, expected_grade, tail array, keep) of every whole text, or with carry all columns of docs in `row`.
+def _graded(docs: DataFrame, model: OrdinalModel, text: str, keep_tail: int | None, threshold: float) -> DataFrame:
+    """The columns of docs as c0, c1, ... and score, expected_grade, tail, keep; batches pass through as Arrow."""
+    j = len(model.thresholds) - 1 if keep_tail is None else keep_tail
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = model.dense()
+        for b in batches:
+            s = np.array([dense[features(t)].sum() for t in b.column("t").to_pylist()], np.float64)
+            tails = _sigmoid(s[:, None] - model.thresholds[None, :])
+            made = [pa.array(s), pa.array(tails.sum(1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array(tails[:, j] >= threshold)]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *made], [*names, "score", "expected_grade", "tail", "keep"])
+
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{text}`").alias("t"))
+    made = T.StructType().add("score", "double").add("expected_grade", "double").add("tail", T.ArrayType(T.DoubleType())).add("keep", "boolean")
+    return given.mapInArrow(run, T.StructType(given.schema.fields[:-1] + made.fields))
+
+
+def grade(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", keep_tail: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """(key, score, expected_grade, tail array, keep) of every whole text.
 
     tail[j] is P(grade > j). keep: the tail probability of `keep_tail` (the highest by default) is threshold or more.
     Null and empty texts share one feature and are graded by it; equal texts are graded alike; every row stays; an
     empty table gives an empty result.
     """
-    j = len(model.thresholds) - 1 if keep_tail is None else keep_tail
-    buckets, weights, thresholds = model.buckets, model.weights, model.thresholds
+    found = _graded(docs.select(key, text), model, text, keep_tail, threshold)
+    return found.select(F.col("c0").alias(key), "score", "expected_grade", "tail", "keep")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense = OrdinalModel(buckets, weights, thresholds).dense()
-        for b in batches:
-            s = np.array([dense[features(t)].sum() for t in b["t"]], np.float64)
-            tails = _sigmoid(s[:, None] - thresholds[None, :])
-            out = {"score": s, "expected_grade": tails.sum(1), "tail": list(tails), "keep": tails[:, j] >= threshold}
-            yield pd.DataFrame(({"row": b["row"]} if carry else {key: b["k"].astype("Int64")}) | out)
-
-    columns = "score double, expected_grade double, tail array<double>, keep boolean"
-    if carry:
-        struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        kind = docs.select(struct.alias("row")).schema["row"].dataType.simpleString()
-        return docs.select(struct.alias("row"), F.col(text).alias("t")).mapInPandas(run, f"row {kind}, {columns}")
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, {columns}")
+
+def kept_documents(docs: DataFrame, model: OrdinalModel, text: str = "text", keep_tail: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that the model keeps, with the columns of docs."""
+    found = _graded(docs, model, text, keep_tail, threshold).where("keep")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def label_grade(quality: Column, toxic: Column) -> Column:

@@ -46,6 +46,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark), RULES)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_scan import encoded_and_decoded
+
+    return encoded_and_decoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_join
 
@@ -131,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op1_reshard": op1_reshard,
     "op2_ordinal_quality": op2_ordinal_quality,
     "op3_url_filter": op3_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_ngram_join": op5_ngram_join,
     "op6_pii": op6_pii,
     "op7_pivot_topk": op7_pivot_topk,
