@@ -49,7 +49,8 @@ def _swap(word: str, table: dict[str, str]) -> str:
 def porter(word: str) -> str:
     """The Porter stem of a lower-case English word.
 
-    One deviation: in step 4, the ending -sion or -tion goes with its s or t.
+    One deviation: in step 4, -sion and -tion are endings as a whole: the s or t goes too, and does not count in the
+    measure.
     """
     if len(word) < 3:
         return word

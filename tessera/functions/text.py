@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 
-#: The characters that part words, by language (negated classes of those that do not).
+#: The characters that part words, by language (negated classes of those that do not). Texts are in
+#: lower case when they are split, so case needs no flag.
 SPLITTERS = {
     "arabic": "[^a-z0-9أ-ي]+",
     "armenian": "[^a-z0-9ա-ֆ]+",
@@ -123,7 +124,7 @@ class Analyzer:
 
     def tokens(self, text: Column, prop: str) -> Column:
         """Tokens of a string column; null for null."""
-        words = F.array(text) if prop in self.tokenize_skip else F.split(F.lower(text), f"(?i){SPLITTERS[self.language]}")
+        words = F.array(text) if prop in self.tokenize_skip else F.split(F.lower(text), SPLITTERS[self.language])
         if self.stop_words:
             stops = F.array(*[F.lit(w) for w in self.stop_words])
             words = F.filter(words, lambda w: ~F.array_contains(stops, w))
@@ -138,7 +139,7 @@ class Analyzer:
         if prop in self.tokenize_skip:
             words = [text]
         else:
-            words = re.split(SPLITTERS[self.language], text.lower(), flags=re.IGNORECASE)
+            words = re.split(SPLITTERS[self.language], text.lower())
         found = []
         for w in words:
             if w in self.stop_words:

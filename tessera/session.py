@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+BATCH_BYTES = 16 << 20
+
 
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -29,7 +31,11 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the package to the Python workers of this application, once; they need it for functions that run there."""
+    """Give the package to the Python workers of this application, once; they need it for functions that run there.
+
+    Batches for Python are held to BATCH_BYTES, so that a worker's memory does not depend on how long rows are.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent

@@ -229,12 +229,14 @@ def read_files(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def html_records(pages: DataFrame, key: str = "path", source: str = "html", merge: str = "merge", kind: str = "html", transform: Transform | None = None, context: dict | None = None, base_path: bool = False) -> DataFrame:
-    """(key, n, type, content, path, properties): the text records of each page, in order.
+    """(key, n, type, content, path, properties): the text records of each page, in order. A key of the name `path` is
+    called `page`, since path is the record's place in its page.
 
     merge: neighbours of the same tag and parent become one record, joined by a space, with the properties of the
     first; split: none do; both: single records, and the merged one after them.
     """
     spark_key = pages.schema[key].dataType.simpleString()
+    name = "page" if key == "path" else key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -248,7 +250,7 @@ def html_records(pages: DataFrame, key: str = "path", source: str = "html", merg
     given = pages.select(F.col(key).alias("k"), F.col(source).alias("s"))
     found = given.mapInPandas(run, f"k {spark_key}, n int, type string, content string, path string, properties map<string,string>")
     if merge == "split":
-        return found.withColumnRenamed("k", key)
+        return found.withColumnRenamed("k", name)
     by_page = Window.partitionBy("k").orderBy("n")
     container = F.regexp_replace("path", r"\[\d+\]$", "")
     before = F.lag(F.struct(container.alias("c"), F.col("type"))).over(by_page)
@@ -264,9 +266,9 @@ def html_records(pages: DataFrame, key: str = "path", source: str = "html", merg
         .select("k", F.element_at("rows", -1)["n"].alias("last"), first["n"].alias("n"), "type", F.array_join(F.transform("rows", lambda r: r["content"]), " ").alias("content"), first["path"].alias("path"), overlay.alias("properties"))
     )
     if merge == "merge":
-        return merged.drop("last").withColumnRenamed("k", key)
+        return merged.drop("last").withColumnRenamed("k", name)
     single = found.select("k", F.col("n").alias("last"), "n", "type", "content", "path", "properties", F.lit(0).alias("o"))
-    return single.unionByName(merged.withColumn("o", F.lit(1))).select(F.col("k").alias(key), F.col("last").alias("n"), "o", "type", "content", "path", "properties")
+    return single.unionByName(merged.withColumn("o", F.lit(1))).select(F.col("k").alias(name), F.col("last").alias("n"), "o", "type", "content", "path", "properties")
 
 
 def slug(title: str) -> str:
@@ -300,15 +302,17 @@ def sections(source: str) -> list[tuple[str, str, str, str]]:
 
 
 def html_sections(pages: DataFrame, key: str = "path", source: str = "html", base: str = "") -> DataFrame:
-    """(key, n, title, header, content, section, path): heading sections; path ends in the heading's slug."""
+    """(key, n, title, header, content, section, path): heading sections; path ends in the heading's slug. A key of the
+    name `path` is called `page`."""
     kind = pages.schema[key].dataType.simpleString()
+    name = "page" if key == "path" else key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(k, n, t, h, b, s, f"{base}{k}#{slug(t)}" if t else f"{base}{k}") for k, text in zip(batch["k"], batch["s"], strict=True) for n, (t, h, b, s) in enumerate(sections(text or ""))]
-            yield pd.DataFrame(rows, columns=[key, "n", "title", "header", "content", "section", "path"])
+            yield pd.DataFrame(rows, columns=[name, "n", "title", "header", "content", "section", "path"])
 
-    return pages.select(F.col(key).alias("k"), F.col(source).alias("s")).mapInPandas(run, f"{key} {kind}, n int, title string, header string, content string, section string, path string")
+    return pages.select(F.col(key).alias("k"), F.col(source).alias("s")).mapInPandas(run, f"{name} {kind}, n int, title string, header string, content string, section string, path string")
 
 
 def html_fields(pages: DataFrame, key: str = "path", source: str = "html", content_tags: tuple[str, ...] = ("body",), path_filter: str | None = None) -> DataFrame:
