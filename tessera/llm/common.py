@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any, TypeVar
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
@@ -44,10 +49,32 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """What an operator keeps in a Python worker between batches and tasks, such as a tokenizer. Workers serve one
+    operator after another, so what others kept is dropped when a new one begins."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def key_columns(key: str) -> list[Column]:
+    """A key as two columns without nulls, so that pandas keeps it exact."""
+    value = F.col(f"`{key}`").cast("long")
+    return [F.coalesce(value, F.lit(0)).alias("k"), value.isNull().alias("k_null")]
+
+
+def key_array(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(batch["k"].to_numpy(np.int64), batch["k_null"].to_numpy(bool))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it grows past its bound."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.BOUND:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, stage
+from .common import fresh_dir, held, key_array, key_columns, stage
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -163,10 +163,11 @@ class WordEncoder:
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 split[i] = PIECES.findall(t.lower())
-        unknown = list({w for words in split.values() for w in words if w not in self.words})
+        distinct = set().union(*split.values())
+        unknown = list(distinct.difference(self.words))
         if len(self.words) + len(unknown) > self.REMEMBERED:
             self.words.clear()
-            unknown = list({w for words in split.values() for w in words})
+            unknown = list(distinct)
         for at in range(0, len(unknown), 1000):
             self._learn(unknown[at : at + 1000])
         known = self.words.__getitem__
@@ -175,14 +176,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def _bounded(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
@@ -210,8 +206,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(path)
         enc, end = encoder(tokenizer), struct.pack("<I", end_id)
-        out = writer = None
-        ids = first = None
+        out, ids = None, 0
         for batch in batches:
             if out is None:
                 if not len(batch):
@@ -219,10 +214,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
                 name = f"{root}/{uuid.uuid4().hex}.ids.zst"
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(name, compression=None)
-                writer, ids = FrameWriter(out), 0
-                first = batch["k"].iloc[0]
+                writer = FrameWriter(out)
             texts = batch["t"].tolist()
-            keys = [None if pd.isna(k) else int(k) for k in batch["k"]]
+            keys = [None if k is pd.NA else int(k) for k in key_array(batch)]
             for s in _bounded(texts):
                 for k, b in zip(keys[s], enc.encode(texts[s]), strict=True):
                     writer.add(k, b + end)
@@ -230,9 +224,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
         if out is not None:
             writer.finish()
             out.close()
-            yield pd.DataFrame({"first": pd.array([None if pd.isna(first) else int(first)], "Int64"), "file": [name], "documents": [len(writer.index)], "ids": [ids]})
+            yield pd.DataFrame({"file": [name], "documents": [len(writer.index)], "ids": [ids]})
 
-    written = ordered.mapInPandas(run, "first long, file string, documents long, ids long")
+    written = ordered.select(*key_columns("k"), "t").mapInPandas(run, "file string, documents long, ids long")
     return stage(written.withColumn("part", F.spark_partition_id()), "manifest")
 
 
