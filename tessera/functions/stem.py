@@ -1,4 +1,5 @@
-"""Stemmers. English: Porter's algorithm, as published, with one deviation that the tests name."""
+"""Stemmers. English: Porter's algorithm, as published, with one deviation that the tests name. Danish, German,
+Norwegian, Russian and Swedish: the published Snowball algorithms."""
 
 from __future__ import annotations
 
@@ -90,4 +91,159 @@ def porter(word: str) -> str:
     return word
 
 
-STEMMERS = {"english": porter}
+def _region(word: str, vowels: str, start: int = 0) -> int:
+    """Where the part after the first consonant that follows a vowel begins."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in vowels and word[i - 1] in vowels:
+            return i + 1
+    return len(word)
+
+
+def _longest(word: str, suffixes: list[str], region: int) -> str:
+    """The longest of the suffixes that lies in the region; empty if none does."""
+    return max((s for s in suffixes if word.endswith(s) and len(word) - len(s) >= region), key=len, default="")
+
+
+def _drop(word: str, suffix: str) -> str:
+    return word[: len(word) - len(suffix)]
+
+
+NORDIC_VOWELS = {"swedish": "aeiouyäåö", "danish": "aeiouyæåø", "norwegian": "aeiouyæåø"}
+
+#: Endings of the Nordic stemmers' first step, letters before a final s, and the pairs of the second.
+NORDIC_ENDINGS = {
+    "swedish": "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split(),
+    "danish": "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split(),
+    "norwegian": "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split(),
+}
+NORDIC_BEFORE_S = {"swedish": "bcdfghjklmnoprtvy", "danish": "abcdfghjklmnoprtvyzå", "norwegian": "bcdfghjlmnoprtvyz"}
+NORDIC_PAIRS = {"swedish": ["dd", "gd", "nn", "dt", "gt", "kt", "tt"], "danish": ["gd", "dt", "gt", "kt"], "norwegian": ["dt", "vt"]}
+
+
+def _nordic_start(word: str, language: str) -> tuple[str, int]:
+    vowels = NORDIC_VOWELS[language]
+    region = max(3, _region(word, vowels))
+    endings = NORDIC_ENDINGS[language] + ["s"] + (["erte", "ert"] if language == "norwegian" else [])
+    found = _longest(word, endings, region)
+    if found in ("erte", "ert"):
+        word = _drop(word, found) + "er"
+    elif found == "s":
+        before = word[-2:-1]
+        if before in NORDIC_BEFORE_S[language] or (language == "norwegian" and before == "k" and word[-3:-2] not in vowels):
+            word = word[:-1]
+    else:
+        word = _drop(word, found)
+    return word, region
+
+
+def _nordic_pair(word: str, language: str, region: int) -> str:
+    return word[:-1] if _longest(word, NORDIC_PAIRS[language], region) else word
+
+
+def swedish(word: str) -> str:
+    word, region = _nordic_start(word, "swedish")
+    word = _nordic_pair(word, "swedish", region)
+    found = _longest(word, ["lig", "ig", "els", "löst", "fullt"], region)
+    return word[:-1] if found in ("löst", "fullt") else _drop(word, found)
+
+
+def norwegian(word: str) -> str:
+    word, region = _nordic_start(word, "norwegian")
+    word = _nordic_pair(word, "norwegian", region)
+    return _drop(word, _longest(word, "leg eleg ig eig lig elig els lov elov slov hetslov".split(), region))
+
+
+def danish(word: str) -> str:
+    word, region = _nordic_start(word, "danish")
+    word = _nordic_pair(word, "danish", region)
+    if word.endswith("igst"):
+        word = word[:-2]
+    found = _longest(word, ["ig", "lig", "elig", "els", "løst"], region)
+    if found == "løst":
+        word = word[:-1]
+    elif found:
+        word = _nordic_pair(_drop(word, found), "danish", region)
+    if len(word) > region and word[-1] == word[-2] and word[-1] not in NORDIC_VOWELS["danish"] and len(word) - 1 >= region:
+        word = word[:-1]
+    return word
+
+
+def german(word: str) -> str:
+    vowels = "aeiouyäöü"
+    word = word.replace("ß", "ss")
+    letters = list(word)
+    for i in range(1, len(letters) - 1):
+        if letters[i] in "uy" and letters[i - 1] in vowels and letters[i + 1] in vowels:
+            letters[i] = letters[i].upper()
+    word = "".join(letters)
+    first = _region(word, vowels)
+    r1, r2 = max(3, first), _region(word, vowels, first)
+    found = next((s for s in sorted(["em", "ern", "er", "e", "en", "es", "s"], key=len, reverse=True) if word.endswith(s)), "")
+    if found and len(word) - len(found) >= r1 and (found != "s" or word[-2:-1] in "bdfghklmnrt"):
+        word = _drop(word, found)
+        if found in ("e", "en", "es") and word.endswith("niss"):
+            word = word[:-1]
+    found = next((s for s in ["est", "en", "er", "st"] if word.endswith(s)), "")
+    if found and len(word) - len(found) >= r1 and (found != "st" or (len(word) > 5 and word[-3] in "bdfghklmnt")):
+        word = _drop(word, found)
+    found = next((s for s in ["isch", "lich", "heit", "keit", "end", "ung", "ig", "ik"] if word.endswith(s)), "")
+    if found and len(word) - len(found) >= r2:
+        stem = _drop(word, found)
+        if found in ("end", "ung"):
+            word = stem
+            if word.endswith("ig") and len(word) - 2 >= r2 and not word.endswith("eig"):
+                word = word[:-2]
+        elif found in ("ig", "ik", "isch"):
+            word = word if stem.endswith("e") else stem
+        elif found in ("lich", "heit"):
+            word = stem
+            if word.endswith(("er", "en")) and len(word) - 2 >= r1:
+                word = word[:-2]
+        else:
+            word = stem
+            tail = next((s for s in ("lich", "ig") if word.endswith(s) and len(word) - len(s) >= r2), "")
+            word = _drop(word, tail)
+    return word.lower().translate(str.maketrans("äöü", "aou"))
+
+
+#: The endings of the Russian stemmer. Those of a first group count only after а or я.
+RU_GERUND1, RU_GERUND2 = "в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split()
+RU_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
+RU_PARTICIPLE1, RU_PARTICIPLE2 = "ем нн вш ющ щ".split(), "ивш ывш ующ".split()
+RU_VERB1 = "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split()
+RU_VERB2 = "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()
+RU_NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()
+
+
+def russian(word: str) -> str:
+    vowels = "аеиоуыэюя"
+    word = word.replace("ё", "е")
+    rv = next((i + 1 for i, c in enumerate(word) if c in vowels), len(word))
+    r2 = _region(word, vowels, _region(word, vowels))
+
+    def ending(one: list[str], two: list[str]) -> str:
+        found = [s for s in one if word.endswith(s) and len(word) - len(s) > rv and word[-len(s) - 1] in "ая"]
+        return max(found + [s for s in two if word.endswith(s) and len(word) - len(s) >= rv], key=len, default="")
+
+    found = ending(RU_GERUND1, RU_GERUND2)
+    if found:
+        word = _drop(word, found)
+    else:
+        word = _drop(word, ending([], ["ся", "сь"]))
+        found = ending([], RU_ADJECTIVE)
+        if found:
+            word = _drop(word, found)
+            word = _drop(word, ending(RU_PARTICIPLE1, RU_PARTICIPLE2))
+        else:
+            found = ending(RU_VERB1, RU_VERB2)
+            word = _drop(word, found or ending([], RU_NOUN))
+    word = _drop(word, ending([], ["и"]))
+    word = _drop(word, _longest(word, ["ост", "ость"], r2))
+    found = _longest(word, ["ейш", "ейше"], rv)
+    word = _drop(word, found)
+    if word.endswith("нн") and len(word) - 2 >= rv:
+        return word[:-1]
+    return word if found else _drop(word, ending([], ["ь"]))
+
+
+STEMMERS = {"danish": danish, "english": porter, "german": german, "norwegian": norwegian, "russian": russian, "swedish": swedish}

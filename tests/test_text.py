@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.collection import Collection
 from tessera.errors import EngineError
-from tessera.functions.stem import porter
+from tessera.functions.stem import STEMMERS, porter
 from tessera.functions.text import SPLITTERS, Analyzer, fold
 from tessera.search import search
 
@@ -52,6 +52,16 @@ def test_porter(word, stem):
     assert porter(word) == stem
 
 
+@pytest.mark.parametrize(
+    ("language", "word", "stem"),
+    [("german", "aufeinanderfolgenden", "aufeinanderfolg"), ("german", "häuser", "haus"), ("german", "kategorischen", "kategor"), ("german", "freundlichkeit", "freundlich"), ("german", "katers", "kat"),
+     ("swedish", "jaktkarlarne", "jaktkarl"), ("swedish", "klockornas", "klock"), ("swedish", "friskt", "frisk"), ("norwegian", "havnedistriktene", "havnedistrikt"), ("norwegian", "opplysningen", "opplysning"),
+     ("danish", "undersøgelserne", "undersøg"), ("danish", "indtage", "indtag"), ("russian", "важнейшими", "важн"), ("russian", "красивая", "красив"), ("russian", "книгами", "книг"), ("russian", "бегавшая", "бега")],
+)
+def test_other_stems(language, word, stem):
+    assert STEMMERS[language](word) == stem
+
+
 def plain_scores(texts: list[str], term: str, tolerance: int = 0) -> dict[int, float]:
     def tokens(t):
         return list(dict.fromkeys(w for w in (fold(x) for x in re.split(SPLITTERS["english"], t.lower())) if w))
