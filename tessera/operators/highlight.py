@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..collection import Collection
@@ -14,28 +14,22 @@ WORD = r"[\p{L}0-9_'-]+"
 MARK = "\x01"
 
 
-def word_positions(text: Column) -> Column:
-    """Array of (word, start, length) of a text: words are set between marks, and lengths of the pieces add up."""
-    clean = F.translate(text, MARK, "\x02")
-    pieces = F.split(F.regexp_replace(clean, f"({WORD})", f"{MARK}$1{MARK}"), MARK)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<word:string,start:int,length:int>>").alias("out"))
-
-    def step(a: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        item = F.array(F.struct(piece.alias("word"), a["at"].alias("start"), size.alias("length")))
-        return F.struct((a["at"] + size).alias("at"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 1, F.concat(a["out"], item)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(pieces, zero, step)["out"]
+def pieces(text: Column) -> Column:
+    """A text cut at its words: every second piece is a word."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, "\x02"), f"({WORD})", f"{MARK}$1{MARK}"), MARK)
 
 
 def positions(collection: Collection, docs: DataFrame | None = None) -> DataFrame:
-    """(_iid, prop, token, start, length): every word of every string property, by its token."""
+    """(_iid, prop, token, start, length): every word of every string property, by its token. A word starts after the
+    lengths of all pieces before it, which a window over each text adds up."""
     rows = collection.docs if docs is None else docs
     props = collection.schema.of_kind("string")
-    fields = F.array(*[F.struct(F.lit(p).alias("prop"), word_positions(collection.schema.column(p)).alias("words")) for p in props])
-    each = rows.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.explode("f.words").alias("w"))
-    token = F.element_at(collection.analyzer.tokens(F.lower("w.word"), ""), 1)
-    return each.select("_iid", "prop", token.alias("token"), "w.start", "w.length").where("token is not null")
+    fields = F.array(*[F.struct(F.lit(p).alias("prop"), pieces(collection.schema.column(p)).alias("pieces")) for p in props])
+    each = rows.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.posexplode("f.pieces").alias("i", "word"))
+    before = Window.partitionBy("_iid", "prop").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("length", F.length("word")).withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int"))
+    token = F.get(collection.analyzer.tokens(F.lower("word"), ""), 0)
+    return placed.where("i % 2 = 1").select("_iid", "prop", token.alias("token"), "start", "length").where("token is not null")
 
 
 def search_with_highlight(collection: Collection, params: dict) -> tuple[SearchResult, DataFrame]:

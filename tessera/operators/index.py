@@ -26,13 +26,6 @@ def field_tokens(schema: Schema, analyzer: Analyzer, path: str) -> Column:
     return analyzer.tokens(column, path)
 
 
-def term_frequencies(allow_duplicates: bool) -> Column:
-    """Array of (token, n) of an array of tokens; without duplicates each token counts once."""
-    if not allow_duplicates:
-        return F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n")))
-    return F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("n")))
-
-
 @dataclass
 class TextIndex:
     schema: Schema
@@ -51,9 +44,13 @@ class TextIndex:
         if self.stored is not None:
             rows = self.stored["postings"].where(F.col("prop").isin(props))
             return rows if keep is None else rows.where(keep)
-        rows = self.analysed(props).select("prop", "_iid", "field_len", F.explode(term_frequencies(self.analyzer.allow_duplicates)).alias("t"))
-        rows = rows.select("prop", F.col("t.token").alias("token"), "_iid", (F.col("t.n") / F.col("field_len")).alias("tf"), "field_len")
-        return rows if keep is None else rows.where(keep)
+        rows = self.analysed(props).select("prop", "_iid", "field_len", F.explode("tokens").alias("token"))
+        rows = rows if keep is None else rows.where(keep)
+        if self.analyzer.allow_duplicates:
+            rows = rows.groupBy("prop", "token", "_iid", "field_len").agg(F.count("*").alias("n"))
+        else:
+            rows = rows.withColumn("n", F.lit(1))
+        return rows.select("prop", "token", "_iid", (F.col("n") / F.col("field_len")).alias("tf"), "field_len")
 
     def field_stats(self, props: list[str]) -> DataFrame:
         """(prop, avg_len): the mean number of tokens over the documents that have the property."""

@@ -179,3 +179,23 @@ def apply_threshold(scored: DataFrame, index: TextIndex, query: TextQuery) -> Da
     most = -int(-(counts.n_rest * theta) // 1)
     rest = scored.where("not full").orderBy(F.desc("score"), "_iid").limit(most)
     return scored.where("full").unionByName(rest).select("_iid", "score")
+
+
+def merge_scores(lists: list[DataFrame], boost: float = 1.0, threshold: float = 0.0, keywords: int = 1) -> DataFrame:
+    """Merge several (_iid, score) lists into one: a document of several lists has its score so far raised by half
+    each time it comes again. Then the threshold decides how many documents stay that are not in `keywords` lists."""
+    if boost == 0:
+        raise EngineError("INVALID_BOOST_VALUE")
+    tagged = [rows.select("_iid", F.lit(i).alias("i"), (F.col("score") * boost).alias("s")) for i, rows in enumerate(lists)]
+    found = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("_iid").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda a, x: a * 1.5 + x["s"])
+    merged = found.select("_iid", total.alias("score"), F.size("all").alias("n"))
+    if threshold == 1 or (threshold == 0 and keywords == 1):
+        return merged.select("_iid", "score")
+    counts = merged.agg(F.count("*").alias("rows"), F.sum((F.col("n") == keywords).cast("long")).alias("full"), F.max("n").alias("most")).first()
+    full = counts.full if counts.most == keywords else 0
+    if threshold == 0:
+        return merged.where(F.col("n") == keywords if full else F.lit(False)).select("_iid", "score")
+    last = max((full or 0) - 1, 0)
+    kept = min(counts.rows, last + -int(-(threshold * (counts.rows - last)) // 1))
+    return merged.orderBy(F.desc("n"), F.desc("score"), "_iid").limit(kept).select("_iid", "score")

@@ -23,6 +23,9 @@ from .schema import vector_size
 
 SIMILARITY = 0.8
 
+#: Pages of more rows are not broadcast.
+MOST_BROADCAST = 10_000
+
 
 @dataclass
 class SearchResult:
@@ -36,6 +39,7 @@ class SearchResult:
     groups: DataFrame | None = None
     full: Ranking | None = None
     include_vectors: bool = False
+    limit: int = 10
     started: int = field(default_factory=time.perf_counter_ns)
     tokens: list[str] = field(default_factory=list)
 
@@ -52,7 +56,7 @@ class SearchResult:
         vectors = self.collection.schema.vectors
         docs = self.collection.docs
         shown = [F.lit(None).cast(f.dataType).alias(f.name) if f.name in vectors and not self.include_vectors else docs[f.name] for f in docs.schema.fields if f.name not in ("_iid", "id")]
-        page = F.broadcast(self.page_frame)  # a page has `limit` rows at most
+        page = F.broadcast(self.page_frame) if self.limit <= MOST_BROADCAST else self.page_frame
         joined = docs.join(page, "_iid")
         return joined.orderBy(*self.ranking.order).select("id", "score", *shown)
 
@@ -100,7 +104,7 @@ def _pages(collection: Collection, params: dict, ranking: Ranking, distinct: boo
     offset, limit = params.get("offset", 0), params.get("limit", 10)
     docs, schema = collection.docs, collection.schema
     shown = rank.distinct_on(ranking, docs, schema, params["distinctOn"]) if distinct and params.get("distinctOn") else ranking
-    made = SearchResult(collection, shown, None if params.get("preflight") else shown.page(offset, limit), full=ranking, include_vectors=params.get("includeVectors", False))
+    made = SearchResult(collection, shown, None if params.get("preflight") else shown.page(offset, limit), full=ranking, include_vectors=params.get("includeVectors", False), limit=limit)
     for prop, config in (params.get("facets") or {}).items():
         made.facets[prop] = rank.facet(ranking, docs, schema, prop, config)
         made.facet_sizes[prop] = made.facets[prop].agg(F.count("*").alias("count")) if (config or {}).get("ranges") else rank.facet_size(ranking, docs, schema, prop)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.collection import Collection
 from tessera.errors import EngineError
+from tessera.functions.cjk import ScriptAnalyzer
 from tessera.functions.stem import STEMMERS, porter
 from tessera.functions.text import SPLITTERS, Analyzer, fold
 from tessera.search import search
@@ -105,3 +106,15 @@ def test_running_average(spark):
         if length is not None:
             average = (average * (n - 1) + length) / n
     assert db.index.sequential_average("t").first().avg_len == pytest.approx(average)
+
+
+@pytest.mark.parametrize("language", ["japanese", "mandarin"])
+def test_scripts_without_spaces(spark, language):
+    a = ScriptAnalyzer(language, stop_words=("の",))
+    texts = ["東京都の天気 カメラ sunny", "早睡早起身体好", "", "々々 ABC123"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", a.tokens(F.col("t"), "t").alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: a.query_tokens(t) for i, t in enumerate(texts)}
+    assert a.query_tokens(texts[0]) == ["東京", "京都", "天気", "カメラ", "sunny"]
+    db = Collection(spark, {"t": "string"}, analyzer=a)
+    db.insert_multiple([{"id": "1", "t": texts[1]}, {"id": "2", "t": texts[0]}])
+    assert [h["id"] for h in search(db, {"term": "天気"}).collect()["hits"]] == ["2"]
