@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_array, key_columns
+
 UNIT = 64
 SIDE = 8  # blocks a frame in either direction
 FPS = 25
@@ -383,9 +385,9 @@ def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                yield pd.DataFrame({key: part["k"].astype("Int64"), "media": [store_payload(t.encode()) for t in part["t"]]})
+                yield pd.DataFrame({key: key_array(part), "media": [store_payload(t.encode()) for t in part["t"]]})
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(*key_columns(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return rows.mapInPandas(run, f"{key} long, media binary")
 
 
@@ -410,9 +412,9 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = pd.DataFrame([one(m) for m in batch["media"]], columns=names)
             for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes"):
                 rows[c] = rows[c].astype("Int64")
-            yield rows.assign(**{key: batch["k"].astype("Int64").to_numpy()})[[key, *names]]
+            yield rows.assign(**{key: key_array(batch)})[[key, *names]]
 
-    return media.select(F.col(key).cast("long").alias("k"), "media").mapInPandas(run, schema)
+    return media.select(*key_columns(key), "media").mapInPandas(run, schema)
 
 
 def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -420,7 +422,7 @@ def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, c.clip, c.start_ms, c.end_ms, c.frames, c.brightness) for k, m in zip(batch["k"], batch["media"], strict=True) if m is not None for c in video_clips(bytes(m))]
+            rows = [(k, c.clip, c.start_ms, c.end_ms, c.frames, c.brightness) for k, m in zip(key_array(batch), batch["media"], strict=True) if m is not None for c in video_clips(bytes(m))]
             yield pd.DataFrame(rows, columns=[key, "clip", "start_ms", "end_ms", "frames", "brightness"]).astype({key: "Int64"})
 
-    return media.select(F.col(key).cast("long").alias("k"), "media").mapInPandas(run, f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int")
+    return media.select(*key_columns(key), "media").mapInPandas(run, f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, stage
+from .common import WordHashes, held, key_array, key_columns, mix64, stage
 
 BLOCK = 256
 SLICE = 150_000  # n-grams hashed at a time
@@ -46,9 +46,6 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_words = WordHashes()
-
-
 def text_words(text: str | None) -> list[str]:
     """The words of a text: runs of characters other than white space, in lower case."""
     return (text or "").lower().split()
@@ -58,7 +55,7 @@ def shingles(words: list[str], n: int) -> np.ndarray:
     """Hashes of the word n-grams, repeated ones included. Fewer than n words make one n-gram of all of them."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = _words.of(words)
+    h = held("ngrams", WordHashes).of(words)
     k = min(n, len(h))
     factors = _odd(n, 11)
     total = np.full(len(h) - k + 1, k, np.uint64)
@@ -106,9 +103,9 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str)
                 if full:
                     for i, row in zip(full, signatures([shingles(words[i], n) for i in full], bands, rows), strict=True):
                         found[i] = row.tobytes()
-                yield pd.DataFrame({key: part["k"].astype("Int64"), "h": part["h"], "class": names, "bands": found})
+                yield pd.DataFrame({key: key_array(part), "h": part["h"], "class": names, "bands": found})
 
-    given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
+    given = docs.select(*key_columns(key), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
     return given.mapInPandas(run, f"{key} long, h long, class binary, bands binary")
 
 
@@ -117,13 +114,15 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, found = [], []
-            for name, t in zip(batch["class"], batch["t"], strict=True):
-                words = text_words(t)
-                if words and xxhash.xxh3_128_digest(" ".join(words)) == bytes(name):
-                    names.append(name)
-                    found.append(np.unique(shingles(words, n)).tobytes())
-            yield pd.DataFrame({"class": names, "set": found})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                names, found = [], []
+                for name, t in zip(part["class"], part["t"], strict=True):
+                    words = text_words(t)
+                    if words and xxhash.xxh3_128_digest(" ".join(words)) == bytes(name):
+                        names.append(name)
+                        found.append(np.unique(shingles(words, n)).tobytes())
+                yield pd.DataFrame({"class": names, "set": found})
 
     return texts.mapInPandas(run, "class binary, set binary")
 
@@ -312,6 +311,7 @@ def near_duplicates_removed(docs: DataFrame, threshold: float = 0.8, n: int = 5,
     found = _joined(docs.select(key, text), threshold, n, recall, key, text).where((F.col("class_id") == F.col(key)))
     alone = F.substring("class", 1, 1) == F.lit(b"-")  # rows without words are no class together
     kept = found.groupBy("class_id", F.when(alone, F.col("h")).alias("own")).agg(F.min("h").alias("_h")).select(F.col("class_id").alias("_key"), "_h").distinct()
-    rows = docs.withColumn("_h", text_hash(F.col(text))).withColumn("_key", F.col(key).cast("long"))
-    single = rows.join(kept, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).drop("_key", "_h")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), text_hash(F.col(text)).alias("_h"), F.col(key).cast("long").alias("_key"))
+    single = rows.join(kept, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).select("row.*")
     return single.unionByName(docs.where(F.col(key).isNull()))

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held
+
 BUCKETS = 1 << 17
 #: The documented bound of the training sample: labelled rows with the smallest hashes.
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 
 
 PREFIXES = (2, 3, 4)
@@ -36,7 +38,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class TokenBuckets(dict):
     """token -> its row in a table of buckets (word, shape, beginnings of the word); bounded."""
 
-    BOUND = 300_000
+    BOUND = 200_000
 
     def __init__(self):
         self.table = np.zeros((self.BOUND, 2 + len(PREFIXES)), np.int32)
@@ -69,14 +71,11 @@ def _level(part: float) -> int:
     return min(10, math.ceil(part * 10))
 
 
-_tokens = TokenBuckets()
-
-
 def features(text: str) -> np.ndarray:
     """Distinct buckets of a whole text, in ascending order. A null or empty text has one feature of its own."""
     words = (text or "").split()
     if not words:
-        return np.array([_bucket("r", "empty")])
+        return np.array([_bucket("r", "empty")], np.int32)
     distinct = set(words)
     lines = text.split("\n")
     n = len(words)
@@ -86,15 +85,12 @@ def features(text: str) -> np.ndarray:
         _bucket("r", f"same as the word before {_level(sum(map(operator.eq, words, words[1:])) / n)}"),
         _bucket("r", f"signs only {_level(sum(not w[0].isalnum() for w in words) / n)}"),
     ]
-    flags = _scratch
-    flags[_tokens.of(distinct)] = True
+    tokens, flags = held("ordinal", lambda: (TokenBuckets(), np.zeros(BUCKETS, bool)))
+    flags[tokens.of(distinct)] = True
     flags[ratios] = True
     found = np.flatnonzero(flags)
     flags[found] = False
-    return found
-
-
-_scratch = np.zeros(BUCKETS, bool)
+    return found.astype(np.int32)
 
 
 @dataclass
@@ -119,9 +115,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, ridge: float =
         return OrdinalModel(np.zeros(0, int), np.zeros(0), np.arange(levels - 1, dtype=float) - 10.0)
     flat = np.concatenate(rows)
     kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= max(5, len(rows) // 400))
-    column = np.full(BUCKETS, -1)
-    column[kept] = np.arange(len(kept))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.full(BUCKETS, -1, np.int32)
+    column[kept] = np.arange(len(kept), dtype=np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     column = column[flat]
     owner, column = owner[column >= 0], column[column >= 0]
     n = len(rows)
@@ -159,10 +155,12 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"grade": b["grade"], "h": b["h"], "x": [features(t) for t in b["t"]]})
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                yield pd.DataFrame({"grade": part["grade"], "h": part["h"], "x": [features(t) for t in part["t"]]})
 
     data = texts.mapInPandas(run, "grade int, h long, x array<int>").orderBy("h", "grade", "x").limit(sample_rows).toPandas()
-    return fit([np.asarray(x, np.int64) for x in data["x"]], data["grade"].to_numpy(np.int64), levels)
+    return fit([np.asarray(x, np.int32) for x in data["x"]], data["grade"].to_numpy(np.int64), levels)
 
 
 def _graded(docs: DataFrame, model: OrdinalModel, text: str, keep_tail: int | None, threshold: float) -> DataFrame:

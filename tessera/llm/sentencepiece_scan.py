@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import held, key_array, key_columns, stage
 
 GIANT = 16_384
 CHUNK = 8_192
@@ -59,7 +59,7 @@ class Lattice:
 
     def fit(self, a: str, b: str) -> bool:
         if (a, b) not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[a, b] = a not in self.pieces or b not in self.pieces or self.raw(a + b) == [self.pieces[a], self.pieces[b]]
         return self.known[a, b]
@@ -168,13 +168,8 @@ def spaced(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-_lattices: dict[str, Lattice] = {}
-
-
 def lattice_of(path: str) -> Lattice:
-    if path not in _lattices:
-        _lattices[path] = Lattice(path)
-    return _lattices[path]
+    return held(f"lattice {path}", lambda: Lattice(path))
 
 
 def encode_giant(lattice: Lattice, text: str, chunk: int = CHUNK) -> list[int]:
@@ -206,7 +201,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     """
     if chunk <= 64:
         raise ValueError("chunks must be longer than pieces")
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("crc", F.crc32("t"))
+    rows = docs.select(*key_columns(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("crc", F.crc32("t"))
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lib = lattice_of(model).library
@@ -214,7 +209,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
             texts = b["t"].tolist()
             for s in _slices(texts):
                 ids = [np.array(x, np.int32) for x in lib.encode(texts[s], num_threads=1)]
-                yield pd.DataFrame({key: b["k"].iloc[s].astype("Int64"), "text_crc32": b["crc"].iloc[s], "ids": ids})
+                yield pd.DataFrame({key: key_array(b.iloc[s]), "text_crc32": b["crc"].iloc[s], "ids": ids})
 
     small = rows.where(F.length("t") <= giant).mapInPandas(plain, f"{key} long, text_crc32 long, ids array<int>")
     large = rows.where(F.length("t") > giant).withColumn("name", F.sha2("t", 256))
@@ -257,7 +252,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     traced = chunks.join(states, ["name", "n"]).mapInPandas(back, "name string, n long, ids array<int>")
     whole = traced.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
-    joined = large.select(F.col("k").alias(key), F.col("crc").alias("text_crc32"), "name").join(whole, "name").select(key, "text_crc32", "ids")
+    joined = large.select(F.when(~F.col("k_null"), F.col("k")).alias(key), F.col("crc").alias("text_crc32"), "name").join(whole, "name").select(key, "text_crc32", "ids")
     return small.unionByName(joined)
 
 
@@ -270,9 +265,9 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
             for at in range(0, len(b), 200):
                 part = b.iloc[at : at + 200]
                 texts = [None if x is None else lib.decode(x.tolist()) for x in part["ids"]]
-                yield part.assign(text=texts, **{key: part[key].astype("Int64")})
+                yield pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"], "ids": part["ids"], "text": texts})
 
-    return encoded.select(key, "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, text string")
+    return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, text string")
 
 
 def ids_checksum(ids: np.ndarray) -> int:
@@ -285,18 +280,20 @@ def encoded_and_decoded(docs: DataFrame, model: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lib = lattice_of(model).library
-        for b in batches:
-            ids = b["ids"].tolist()
-            back = [lib.decode(x.tolist()) for x in ids]
-            yield pd.DataFrame(
-                {
-                    key: b[key].astype("Int64"),
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_crc32": [ids_checksum(x) for x in ids],
-                    "decoded_chars": [len(t) for t in back],
-                    "round_trip": [zlib.crc32(t.encode()) == c for t, c in zip(back, b["text_crc32"], strict=True)],
-                }
-            )
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                ids = part["ids"].tolist()
+                back = [lib.decode(x.tolist()) for x in ids]
+                yield pd.DataFrame(
+                    {
+                        key: key_array(part),
+                        "n_tokens": [len(x) for x in ids],
+                        "ids_crc32": [ids_checksum(x) for x in ids],
+                        "decoded_chars": [len(t) for t in back],
+                        "round_trip": [zlib.crc32(t.encode()) == c for t, c in zip(back, part["text_crc32"], strict=True)],
+                    }
+                )
 
     found = encode(docs, model, key, text, **options)
-    return found.mapInPandas(run, f"{key} long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    return found.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
