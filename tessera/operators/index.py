@@ -32,9 +32,13 @@ class TextIndex:
     analyzer: Analyzer
     docs: DataFrame
     stored: dict[str, DataFrame] | None = None
+    kept: DataFrame | None = None
+    known: tuple[int, dict[str, float]] | None = None
 
     def analysed(self, props: list[str]) -> DataFrame:
         """One pass over docs: the properties' tokens side by side, then one row each."""
+        if self.kept is not None:
+            return self.kept.where(F.col("prop").isin(props))
         fields = F.array(*[F.struct(F.lit(p).alias("prop"), field_tokens(self.schema, self.analyzer, p).alias("tokens")) for p in props])
         rows = self.docs.select("_iid", F.explode(fields).alias("f")).select("f.prop", "_iid", "f.tokens").where("tokens is not null")
         return rows.withColumn("field_len", F.size("tokens"))
@@ -81,12 +85,23 @@ class TextIndex:
             self.postings(props).repartition("prop", "token").sortWithinPartitions("prop", "token", "_iid").write.partitionBy("prop").mode("overwrite").parquet(f"{path}/postings")
             self.field_stats(props).write.mode("overwrite").parquet(f"{path}/field_stats")
 
+    def statistics(self, props: list[str]) -> tuple[int, dict[str, float]]:
+        """The number of documents and each property's mean length; asked for once and then remembered."""
+        if self.known is None:
+            every = self.schema.searchable
+            self.known = self.docs.count(), {r.prop: r.avg_len for r in self.field_stats(every).collect()}
+        return self.known[0], {p: a for p, a in self.known[1].items() if p in props}
+
     def cached(self) -> TextIndex:
-        """The same index with its tables kept by Spark, for many searches of one session."""
-        props = self.schema.searchable
-        if self.stored is not None or not props:
+        """The same index with its tokens kept by Spark and its statistics by the driver, for many searches."""
+        if not self.schema.searchable:
+            return self
+        if self.stored is not None:
+            self.statistics([])
             return self
-        return TextIndex(self.schema, self.analyzer, self.docs, {"postings": self.postings(props).persist(), "field_stats": self.field_stats(props).persist()})
+        made = TextIndex(self.schema, self.analyzer, self.docs, kept=self.analysed(self.schema.searchable).persist())
+        made.statistics([])
+        return made
 
 
 def dense_numbers(frame: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:

@@ -76,15 +76,23 @@ def bm25(tf: Column, df: Column, n_docs: Column, field_len: Column, avg_len: Col
 
 def bm25_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """BM25 of every document that a query reaches. Statistics are those of the whole collection; `allowed` (_iid)
-    limits the documents that are scored, not the counts. The statistics are one row for each property."""
+    limits the documents that are scored, not the counts. The statistics are one row for each property, or constants
+    where the index knows them."""
     found = index.postings(query.props, any_match(query, F.col("token")))
     counts = index.dictionary(query.props, any_match(query, F.col("token")))
-    per_prop = index.field_stats(query.props)
-    total = index.docs.agg(F.count("*").alias("n_docs"))
-    stats = per_prop.crossJoin(F.broadcast(total))
     if allowed is not None:
         found = found.join(allowed, "_iid", "left_semi")
-    rows = found.join(counts, ["prop", "token"]).join(F.broadcast(stats), "prop").withColumn("q", F.explode(matched_tokens(query, F.col("token"))))
+    rows = found.join(counts, ["prop", "token"])
+    if index.known is not None:
+        n, lengths = index.statistics(query.props)
+        average = F.lit(None).cast("double")
+        for prop, value in lengths.items():
+            average = F.when(F.col("prop") == prop, F.lit(value)).otherwise(average)
+        rows = rows.withColumn("n_docs", F.lit(n)).withColumn("avg_len", average)
+    else:
+        total = index.docs.agg(F.count("*").alias("n_docs"))
+        rows = rows.join(F.broadcast(index.field_stats(query.props).crossJoin(F.broadcast(total))), "prop")
+    rows = rows.withColumn("q", F.explode(matched_tokens(query, F.col("token"))))
     score = bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("field_len"), F.col("avg_len"), query.relevance)
     per_field = rows.withColumn("s", score * boosts(query)).groupBy("_iid", "prop").agg(F.sum("s").alias("s"), F.count("*").alias("hits"))
     return per_field.groupBy("_iid").agg(F.sum("s").alias("score"), F.max(F.col("hits") == max(len(query.tokens), 1)).alias("full"))
