@@ -34,6 +34,7 @@ class TextIndex:
     stored: dict[str, DataFrame] | None = None
     kept: DataFrame | None = None
     known: tuple[int, dict[str, float]] | None = None
+    sentences: DataFrame | None = None
 
     def analysed(self, props: list[str]) -> DataFrame:
         """One pass over docs: the properties' tokens side by side, then one row each."""

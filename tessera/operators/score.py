@@ -102,9 +102,13 @@ def pt15_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None =
     """Scores by position: a text's tokens fall into 15 buckets, the first counts 14, the last 0."""
     if query.tolerance or query.exact:
         raise ValueError("this scorer knows no tolerance and no exact match")
-    fields = F.array(*[F.struct(F.lit(p).alias("prop"), _texts_tokens(index, p).alias("tokens")) for p in query.props])
-    rows = index.docs if allowed is None else index.docs.join(allowed, "_iid", "left_semi")
-    texts = rows.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.explode("f.tokens").alias("tokens"))
+    if index.kept is not None and all(index.schema.types[p] == "string" for p in query.props):
+        texts = index.kept.where(F.col("prop").isin(query.props))
+    else:
+        fields = F.array(*[F.struct(F.lit(p).alias("prop"), _texts_tokens(index, p).alias("tokens")) for p in query.props])
+        texts = index.docs.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.explode("f.tokens").alias("tokens"))
+    if allowed is not None:
+        texts = texts.join(allowed, "_iid", "left_semi")
     placed = texts.select("_iid", "prop", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
     hit = placed.where(any_match(query, F.col("token"))).withColumn("q", F.explode(matched_tokens(query, F.col("token"))))
     place = F.when(F.col("n") < 15, F.col("i")).otherwise(F.floor(F.col("i") * 15 / F.col("n")))
@@ -152,8 +156,14 @@ def _sentences(analyzer, text: Column, prop: str) -> Column:
 def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """Scores by sentences: a matched word counts occ^2 / n, and 1 if it is a query token itself; words that share
     sentences add 2 for each shared one, which sums up to 2 (sum of bits - bits of the union)."""
-    rows = index.docs if allowed is None else index.docs.join(allowed, "_iid", "left_semi")
-    found = sentence_postings(index, query.props, rows).where(any_match(query, F.col("token")))
+    if index.kept is not None:
+        if index.sentences is None:  # as lazy as the tokens are: the first search fills it
+            index.sentences = sentence_postings(index, index.schema.searchable, index.docs).persist()
+        found = index.sentences.where(F.col("prop").isin(query.props)).where(any_match(query, F.col("token")))
+        found = found if allowed is None else found.join(allowed, "_iid", "left_semi")
+    else:
+        rows = index.docs if allowed is None else index.docs.join(allowed, "_iid", "left_semi")
+        found = sentence_postings(index, query.props, rows).where(any_match(query, F.col("token")))
     own = F.when(F.col("token").isin(query.tokens), 1.0).otherwise(0.0)
     score = (F.col("occ") * F.col("occ") / F.col("n") + own) * boosts(query)
     bits = F.bit_count("mask")

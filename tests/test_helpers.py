@@ -86,6 +86,15 @@ def test_stored_index_gives_the_same(spark, sf, tmp_path, way):
         assert rows[0] == rows[1]
 
 
+@pytest.mark.parametrize("scorer", ["qps", "pt15"])
+def test_kept_tokens_give_the_same(spark, sf, scorer):
+    frame = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    make = lambda: Collection.from_dataframe(spark, {"text": "string", "n_chars": "number"}, frame, "doc_id", "doc_id", scorer=scorer)
+    for params in ({"term": "the wh"}, {"term": "the", "where": {"n_chars": {"gt": 500}}}):
+        rows = [sorted((r["_iid"], round(r.score, 9)) for r in search(db, params).ranking.rows.collect()) for db in (make(), make().cache_index())]
+        assert rows[0] == rows[1]
+
+
 def test_pushdown(spark, sf, tmp_path):
     """A prefix search over a written index reads only its property's folder and pushes the prefix to the files."""
     frame = spark.read.parquet(f"{sf}/part.parquet")
