@@ -134,13 +134,15 @@ def disclosure(documents: DataFrame, holders: DataFrame, support: int = SUPPORT)
 
     documents: (t) all texts. holders: (h, entities, terms) of the documents with entities.
     """
-    occurrences = stage(holders.select("h", F.explode(F.array_distinct("entities")).alias("entity"), "terms"), "entities")
-    entities = stage(occurrences.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= support), "known")
+    holding = holders.select("h", F.explode(F.array_distinct("entities")).alias("entity")).groupBy("h", "entity").agg(F.count("*").alias("copies"))
+    entities = holding.groupBy("entity").agg(F.sum("copies").alias("df_entity")).where(F.col("df_entity") >= support)
+    known = stage(holding.join(entities, "entity"), "known")
+    texts = holders.join(known.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("terms").alias("terms"))
     pairs = stage(
-        occurrences.join(entities, "entity")
-        .select("entity", "df_entity", F.explode("terms").alias("term"))
+        known.join(texts, "h")
+        .select("entity", "df_entity", "copies", F.explode("terms").alias("term"))
         .groupBy("entity", "df_entity", "term")
-        .agg(F.count("*").alias("df_both"))
+        .agg(F.sum("copies").alias("df_both"))
         .where(F.col("df_both") >= support),
         "pairs",
     )
@@ -167,7 +169,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     plain = found.where(F.size("base") == 0).withColumn("spans", F.col("base"))
     held = stage(
         found.where(F.size("base") > 0).select(
-            "row", "t", "base", F.xxhash64("t").alias("h"), terms_of(F.col("t")).alias("terms"), F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities")
+            "row", "base", F.xxhash64("t").alias("h"), terms_of(F.col("t")).alias("terms"), F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities")
         ),
         "holders",
     )
@@ -183,7 +185,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
         .groupBy("h")
         .agg(F.sort_array(F.collect_list(F.when(F.col("d") >= remove, F.col("term")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("d") < remove, F.col("term")))).alias("hint"))
     )
-    joined = held.join(stage(flagged, "flagged"), "h", "left")
+    joined = held.join(stage(flagged, "flagged"), "h", "left").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
 
     def located(words: str, kind: str, order: int) -> Column:
         pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
