@@ -24,7 +24,8 @@ NUMBER_OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 
 
 def compile_where(where: dict, schema: Schema, analyzer: Analyzer) -> Column:
-    """Never null: a row whose property is null meets no condition, so `not` keeps it.
+    """A row whose property is null meets no condition: the condition is null, which a filter takes for false, and
+    `not` takes for false before it turns it around. So conditions stay plain comparisons that reach the scan.
 
     `and`, `or` and `not` rule at their level: with one of them, in this order, the other keys of the level are not
     looked at. An empty list of either gives no rows.
@@ -34,13 +35,13 @@ def compile_where(where: dict, schema: Schema, analyzer: Analyzer) -> Column:
             parts = [compile_where(w, schema, analyzer) for w in where[name]]
             return reduce(join, parts) if parts else F.lit(False)
     if where.get("not") is not None:
-        return ~compile_where(where["not"], schema, analyzer)
+        return ~F.coalesce(compile_where(where["not"], schema, analyzer), F.lit(False))
     parts = [_condition(path, value, schema, analyzer) for path, value in where.items()]
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
 
 
 def _any(column: Column, array: bool, test: Callable[[Column], Column]) -> Column:
-    return F.coalesce(F.exists(column, test) if array else test(column), F.lit(False))
+    return F.exists(column, test) if array else test(column)
 
 
 def _condition(path: str, value: object, schema: Schema, analyzer: Analyzer) -> Column:
@@ -49,7 +50,7 @@ def _condition(path: str, value: object, schema: Schema, analyzer: Analyzer) ->
         raise EngineError("UNKNOWN_FILTER_PROPERTY", path)
     column, array = schema.column(path), is_array(kind)
     if kind == "geopoint":
-        return F.coalesce(geo_condition(column, value), F.lit(False))
+        return geo_condition(column, value)
     if inner(kind) == "boolean":
         return _any(column, array, lambda c: c == F.lit(bool(value)))
     if inner(kind) == "string":
@@ -61,7 +62,7 @@ def _condition(path: str, value: object, schema: Schema, analyzer: Analyzer) ->
             return F.lit(False)
         wanted = F.array(*[F.lit(t) for t in tokens])
         found = F.flatten(F.transform(column, lambda c: analyzer.tokens(c, path))) if array else analyzer.tokens(column, path)
-        return F.coalesce(F.arrays_overlap(found, wanted), F.lit(False))
+        return F.arrays_overlap(found, wanted)
     if not isinstance(value, dict) or len(value) != 1:
         raise EngineError("INVALID_FILTER_OPERATION", len(value) if isinstance(value, dict) else 0)
     ((name, operand),) = value.items()
@@ -69,7 +70,7 @@ def _condition(path: str, value: object, schema: Schema, analyzer: Analyzer) ->
         if name not in NUMBER_OPERATORS:
             raise EngineError("INVALID_FILTER_OPERATION", name)
         return _any(column, array, lambda c: NUMBER_OPERATORS[name](c, operand))
-    return F.coalesce(_enum_condition(column, array, name, operand), F.lit(False))
+    return _enum_condition(column, array, name, operand)
 
 
 def _enum_condition(column: Column, array: bool, name: str, operand: object) -> Column:

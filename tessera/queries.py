@@ -185,7 +185,10 @@ def bm25_filtered(spark, sf_dir):
     return ranked(search(documents(spark, sf_dir), {"term": DOC_TERM, "where": {"n_chars": {"gt": 2000}}}), "doc_id")
 
 
-@query("long_text_complex_filter", f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['the', 'than', 'with', 'inging', 'for', 'tion', 'of', 'and', 'that'], where=chr(110) + '_chars >= 1000 AND lang IN (' + quote('en') + ',' + quote('fr') + ')')} {RANKED_DOC}")
+LONG_WHERE = "n_chars >= 1000 AND lang IN ('en', 'fr')"
+
+
+@query("long_text_complex_filter", f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['the', 'than', 'with', 'inging', 'for', 'tion', 'of', 'and', 'that'], where=LONG_WHERE)} {RANKED_DOC}")
 def long_text_complex_filter(spark, sf_dir):
     where = {"n_chars": {"gte": 1000}, "lang": {"in": ["en", "fr"]}}
     return ranked(search(documents(spark, sf_dir), {"term": "the than with inging for tion of and that", "where": where}), "doc_id")
@@ -329,10 +332,6 @@ def facet_enum_array(spark, sf_dir):
     return search(parts(spark, sf_dir), {"facets": {"tags": {}}}).facets["tags"]
 
 
-def first_brands(offset: int) -> str:
-    return f"part_docs WHERE p_retailprice > {offset}"
-
-
 @query(
     "group_1",
     f"WITH {PART_SQL}, k AS (SELECT iid, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST, iid DESC) AS n FROM part_docs WHERE p_brand IS NOT NULL) SELECT p_brand AS g0, iid AS p_partkey FROM k WHERE n <= 3",
@@ -549,14 +548,14 @@ def highlight_positions(spark, sf_dir):
 
 @query(
     "rag_retrieve",
-    f"""WITH qs AS (SELECT conv_id, turn, unnest({tokens_sql("text")}) AS token FROM conversations WHERE role = 'user' AND turn = 0),
+    f"""WITH qs AS (SELECT conv_id, turn, unnest({tokens_sql("text")}) AS token FROM conversations WHERE role = 'user'),
 ds AS (SELECT doc_id, unnest({tokens_sql("text")}) AS token FROM documents WHERE text IS NOT NULL),
 c AS (SELECT conv_id, turn, doc_id, count(*) AS shared FROM qs JOIN ds USING (token) GROUP BY conv_id, turn, doc_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, doc_id) AS rn FROM c)
 SELECT conv_id, turn, CAST(rn AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS id, shared FROM k WHERE rn <= 3""",
 )
 def rag_retrieve(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
     return answers.retrieve(documents(spark, sf_dir), asked, ["conv_id", "turn"], "text", "text", 3)
 
 

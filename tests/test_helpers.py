@@ -101,3 +101,14 @@ def test_pushdown(spark, sf, tmp_path):
     db = Collection.from_dataframe(spark, {"p_name": "string", "p_type": "string"}, frame, "p_partkey", "p_partkey").checkpoint(str(tmp_path / "i"))
     plan = db.index.postings(["p_name"], F.col("token").startswith("st"))._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(token,st)" in plan and "PartitionFilters" in plan and "prop" in plan
+
+
+def test_filters_reach_the_scan(spark, sf):
+    frame = spark.read.parquet(f"{sf}/orders.parquet").withColumnsRenamed({"o_totalprice": "price", "o_orderstatus": "status"})
+    db = Collection.from_dataframe(spark, {"price": "number", "status": "enum"}, frame, "o_orderkey", "o_orderkey")
+    found = search(db, {"where": {"and": [{"price": {"gt": 1000}}, {"status": {"in": ["F", "O"]}}]}}).ranking.rows
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,1000.0)" in plan and "In(o_orderstatus" in plan
+    assert "o_orderpriority" not in plan
+    scored = search(db, {"where": {"not": {"price": {"gt": 1000}}}})
+    assert scored.count == frame.where("price <= 1000").count()
