@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -130,29 +130,24 @@ def sentence_postings(index: TextIndex, props: list[str], rows: DataFrame) -> Da
 
     Sentences end at . ? or !; the sentence number goes on after one of more than one token and stops at 19.
     """
-    analyzer, schema = index.analyzer, index.schema
-    parts = []
+    schema, parts = index.schema, []
     for p in props:
         column = schema.column(p)
         text = F.array_join(column, ". ") if schema.types[p] == "string[]" else column
-        parts.append(F.struct(F.lit(p).alias("prop"), _sentences(analyzer, text, p).alias("sentences")))
-    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.prop", "f.sentences").where("sentences is not null")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<bit:int,tokens:array<string>>>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        made = F.struct(F.least(a["at"], F.lit(19)).alias("bit"), s.alias("tokens"))
-        return F.struct((a["at"] + F.when(F.size(s) > 1, 1).otherwise(0)).alias("at"), F.concat(a["out"], F.array(made)).alias("out"))
-
-    numbered = each.withColumn("s", F.aggregate("sentences", begin, step)["out"])
-    total = F.aggregate("sentences", F.lit(0), lambda a, s: a + F.size(s))
-    words = numbered.select("_iid", "prop", total.alias("n"), F.explode("s").alias("s")).select("_iid", "prop", "n", "s.bit", F.explode("s.tokens").alias("token"))
+        parts.append(F.struct(F.lit(p).alias("prop"), F.split(text, r"[.?!]").alias("sentences")))
+    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.prop", F.posexplode("f.sentences").alias("k", "sentence"))
+    tokens = F.lit(None).cast("array<string>")
+    for p in props:
+        tokens = F.when(F.col("prop") == p, index.analyzer.tokens(F.col("sentence"), p)).otherwise(tokens)
+    text = Window.partitionBy("_iid", "prop")
+    before = text.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    cut = each.select("_iid", "prop", "k", tokens.alias("tokens")).withColumn("size", F.size("tokens"))
+    bit = F.least(F.coalesce(F.sum(F.when(F.col("size") > 1, 1).otherwise(0)).over(before), F.lit(0)), F.lit(19)).cast("int")
+    numbered = cut.select("_iid", "prop", "tokens", bit.alias("bit"), F.sum("size").over(text).alias("n"))
+    words = numbered.select("_iid", "prop", "n", "bit", F.explode("tokens").alias("token"))
     return words.groupBy("_iid", "prop", "token").agg(F.count("*").alias("occ"), F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.max("n").alias("n"))
 
 
-def _sentences(analyzer, text: Column, prop: str) -> Column:
-    return F.transform(F.split(text, r"[.?!]"), lambda s: analyzer.tokens(s, prop))
-
-
 def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """Scores by sentences: a matched word counts occ^2 / n, and 1 if it is a query token itself; words that share
     sentences add 2 for each shared one, which sums up to 2 (sum of bits - bits of the union)."""
