@@ -21,11 +21,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old layout keeps each source in one of 32 shards; 40 even shards follow."""
-    from .sharding import reshard
+    """The old layout keeps each source in one of 32 shards; 40 even shards are written, and read back."""
+    from .sharding import resharded
 
     old = F.pmod(F.crc32(F.col("source")), F.lit(32)).cast("int")
-    placed = reshard(table(spark, sf_dir, "documents"), old, shards=40, old_shards=32)
+    placed = resharded(table(spark, sf_dir, "documents"), old, shards=40, old_shards=32)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

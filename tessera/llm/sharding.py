@@ -18,10 +18,12 @@ from heapq import heapify, heapreplace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import stage, utf8_size
+from .common import fresh_dir, stage, utf8_size
 
 ROW_OVERHEAD = 16
+FILE_BYTES = 64 << 20  # text bytes that are dealt to one file of a shard
 MOVE_COST = 1
 
 
@@ -109,6 +111,22 @@ def even_capacities(total: int, shards: int) -> dict[int, int]:
     return {j: total // shards + (j < total % shards) for j in range(shards)}
 
 
+def _checksum(text: str) -> Column:
+    return F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+
+
+def _bytes(text: str) -> Column:
+    return utf8_size(F.col(text)) + ROW_OVERHEAD
+
+
+def _bucket(key: str, crc: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key, crc), F.lit(buckets)).cast("int")
+
+
+def _old(old_shard: Column) -> Column:
+    return F.coalesce(old_shard, F.lit(0)).cast("int")
+
+
 def reshard(
     docs: DataFrame,
     old_shard: Column,
@@ -127,14 +145,12 @@ def reshard(
     all stay, each with a slot of its own; an empty table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    crc = F.crc32(F.encode(body, "UTF-8"))
     rows = docs.select(
         F.col(key).alias("k"),
-        (utf8_size(F.col(text)) + ROW_OVERHEAD).alias("size"),
-        crc.alias("crc"),
-        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("k", "crc"), F.lit(buckets)).cast("int"))
+        _bytes(text).alias("size"),
+        _checksum(text).alias("crc"),
+        _old(old_shard).alias("old"),
+    ).withColumn("bucket", _bucket("k", "crc", buckets))
     in_block = Window.partitionBy("old", "bucket").orderBy("k", "crc", "size")
     placed = stage(
         rows.withColumn("rn", F.row_number().over(in_block).cast("long")).withColumn(
@@ -219,26 +235,89 @@ def affected_shards(assigned: DataFrame) -> DataFrame:
     return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def rewrite_affected(
+    docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id", text: str = "text", old_shard: Column | None = None, buckets: int = 512
+) -> DataFrame:
     """Write the rows of affected shards anew, one folder for each shard, and return (shard).
 
-    Shards that keep all their rows and get no others are not read for writing and stay as they are.
-    Rows are matched by key and text checksum; equal rows are interchangeable. A shard's rows are dealt to several
-    tasks and files by slot, so that one large shard is not one task.
+    Shards that keep all their rows and get no others are not read for writing and stay as they are; folders of shards
+    that lose all their rows are removed once the others are written. Rows are matched by key, text checksum and, where
+    old_shard is given (as to reshard), old shard; equal rows are interchangeable. A block that goes to one shard whole
+    takes its shard and first slot from a table of blocks, so texts are shuffled once; only rows of divided blocks are
+    matched with assigned one by one. A shard's rows are dealt to several tasks and files by bytes, so that one large
+    shard is not one task.
     """
+    spark = docs.sparkSession
     shards = affected_shards(assigned)
-    mark = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    nth = Window.partitionBy(key, "text_crc32").orderBy("shard", "slot")
-    goal = assigned.withColumn("nth", F.row_number().over(nth)).select(key, "text_crc32", "nth", "shard", "slot")
-    have = docs.withColumn("text_crc32", mark).withColumn("nth", F.row_number().over(Window.partitionBy(key, "text_crc32").orderBy(F.lit(1))))
-    on = have[key].eqNullSafe(goal[key]) & (have["text_crc32"] == goal["text_crc32"]) & (have["nth"] == goal["nth"])
-    rows = have.join(goal.join(F.broadcast(shards), "shard", "left_semi"), on).select(*[have[c] for c in docs.columns], goal["shard"].alias("_shard"), goal["slot"].alias("_slot"))
+    affected = {r.shard for r in shards.collect()}
+    filled = {r.shard for r in assigned.select("shard").distinct().collect()}
+    block, order = ["_old", "_bucket"], ["_k", "_crc", "_size"]
+    goal = assigned.select(
+        F.col(key).alias("_k"),
+        F.col("text_crc32").alias("_crc"),
+        F.col("size").alias("_size"),
+        (F.lit(0) if old_shard is None else F.col("old_shard")).alias("_old"),
+        F.col("shard").alias("_shard"),
+        F.col("slot").cast("long").alias("_slot"),
+    ).withColumn("_bucket", _bucket("_k", "_crc", buckets))
+    have = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(key).alias("_k"),
+        _checksum(text).alias("_crc"),
+        _bytes(text).alias("_size"),
+        (F.lit(0) if old_shard is None else _old(old_shard)).alias("_old"),
+    ).withColumn("_bucket", _bucket("_k", "_crc", buckets))
+
+    totals = goal.groupBy(*block).agg(
+        F.min("_shard").alias("shard"), F.max("_shard").alias("last"), F.min("_slot").alias("first"), F.max("_slot").alias("end"), F.count("*").alias("n"), F.sum("_size").alias("size")
+    )
+    whole, divided, laid = [], [], {}
+    for b in sorted(totals.collect(), key=lambda b: (b.shard, b.first)):
+        if b.shard != b.last or b.end - b.first + 1 != b.n:
+            divided.append((b._old, b._bucket))
+        elif b.shard in affected:
+            whole.append((b._old, b._bucket, b.shard, b.first, laid.get(b.shard, 0) // FILE_BYTES))
+            laid[b.shard] = laid.get(b.shard, 0) + b.size
+    whole_df = spark.createDataFrame(whole, "_old int, _bucket int, _shard int, _first long, _file long")
+    divided_df = F.broadcast(spark.createDataFrame(divided, "_old int, _bucket int"))
+
+    def numbered(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.join(divided_df, block, "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy(*block).orderBy(*order, *more)))
+
+    one_by_one = numbered(goal, "_shard", "_slot").join(F.broadcast(shards.withColumnRenamed("shard", "_shard")), "_shard", "left_semi")
+    parted = numbered(have).join(one_by_one.select(*block, "_rn", "_shard", "_slot"), [*block, "_rn"]).withColumn("_file", F.floor(F.col("_slot") / 100_000))
+    full = have.join(F.broadcast(whole_df), block)
+    kept = ["_row", *order, *block, "_shard", "_file"]
+    rows = full.select(*kept, "_first", F.lit(None).cast("long").alias("_slot")).unionByName(parted.select(*kept, F.lit(None).cast("long").alias("_first"), "_slot"))
+    nth = F.row_number().over(Window.partitionBy("_shard", "_file", *block).orderBy(*order))
     (
-        rows.repartition("_shard", F.floor(F.col("_slot") / 100_000))
+        rows.repartition("_shard", "_file")
+        .withColumn("_slot", F.coalesce("_slot", F.col("_first") + nth - 1))
+        .select("_row.*", "_shard", "_slot")
         .sortWithinPartitions("_shard", "_slot")
         .write.partitionBy("_shard")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
+    folders = spark._jvm.org.apache.hadoop.fs.Path
+    for j in sorted(affected - filled):
+        gone = folders(f"{path.rstrip('/')}/_shard={j}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return shards
+
+
+def resharded(docs: DataFrame, old_shard: Column, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, size, text_crc32, old_shard, shard, slot) as reshard gives, of the files that are written for it.
+
+    The affected shards go to a fresh folder in the shared one, and what is returned of them is read from these files.
+    Shards that stay as they are have no new files; their rows are those of the assignment.
+    """
+    spark = docs.sparkSession
+    placed = stage(reshard(docs, old_shard, key=key, text=text, **options), "placed")
+    path = fresh_dir(spark, "shards")
+    shards = rewrite_affected(docs, placed, path, key, text, old_shard, options.get("buckets", 512))
+    stored = StructType([*docs.schema.fields, StructField("_slot", LongType()), StructField("_shard", IntegerType())])
+    files = spark.read.schema(stored).parquet(path)
+    columns = [F.col(key), _bytes(text).alias("size"), _checksum(text).alias("text_crc32"), _old(old_shard).alias("old_shard"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot")]
+    return files.select(*columns).unionByName(placed.join(F.broadcast(shards), "shard", "left_anti"))

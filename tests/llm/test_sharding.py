@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.sharding import affected_shards, cheapest_transfers, even_capacities, reshard, rewrite_affected
+from tessera.llm.sharding import affected_shards, cheapest_transfers, even_capacities, reshard, resharded, rewrite_affected
 
 
 def moved(plan):
@@ -62,3 +62,24 @@ def test_files_that_stay(spark, docs_of, tmp_path):
     assert {r.shard for r in changed.collect()} == {r.shard for r in affected_shards(placed).collect()}
     written = spark.read.parquet(str(tmp_path / "shards"))
     assert {r._shard: r["count"] for r in written.groupBy("_shard").count().collect()} == {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
+
+
+def test_emptied_shards_are_cleared(spark, docs_of, tmp_path):
+    docs = docs_of([(i % 90, "w" * (10 + i % 5), f"s{i % 4}") for i in range(180)])
+    old, path = F.substring("source", 2, 1).cast("int"), str(tmp_path / "shards")
+    docs.withColumn("_slot", F.lit(0).cast("long")).withColumn("_shard", old).write.partitionBy("_shard").parquet(path)
+    placed = reshard(docs, old, shards=2, old_shards=4, buckets=8).persist()
+    rewrite_affected(docs, placed, path, old_shard=old, buckets=8)
+    found = spark.read.parquet(path)
+    assert sorted(map(str, found.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {r._shard for r in found.collect()} == {0, 1}
+
+
+def test_rows_of_the_files(spark, docs_of, odd, empty):
+    many = docs_of([(i, "word " * (i % 37 + 1), f"s{0 if i % 3 else i % 7}") for i in range(400)])
+    for docs, shards in ((many, 6), (odd, 3), (empty, 2)):
+        old = F.pmod(F.crc32("source"), F.lit(8)).cast("int")
+        files = resharded(docs, old, shards=shards, old_shards=8, buckets=16)
+        assert sorted(map(str, files.collect())) == sorted(map(str, reshard(docs, old, shards=shards, old_shards=8, buckets=16).select(files.columns).collect()))
+        if docs is not empty:
+            assert any("/shards-" in f for f in files.inputFiles())
