@@ -246,7 +246,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str, text: str) -> DataFrame:
-    """(key, h, class, class_id, n_links) of every row, h being its text's hash."""
+    """(key, h, class, component, class_id, n_links) of every row, h being its text's hash. component: the least class
+    that its class is connected with; unlike class_id it tells apart unlinked texts of one key."""
     bands, rows = banding(threshold, recall)
     signed = stage(_signed(docs, n, bands, rows, key, text), "signed")
     classes = stage(signed.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
@@ -278,17 +279,17 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str,
     component = components(links.select(F.col("class").alias("u"), F.col("peer").alias("v")))
     linked = classes.join(component.withColumnRenamed("node", "class"), "class").select("class", "rep", "component")
     least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_class = linked.join(least, "component").select("class", "class_id").join(links.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
+    of_class = linked.join(least, "component").select("class", "component", "class_id").join(links.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
     summary = stage(
         classes.join(of_class, "class", "left").select(
-            "class", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+            "class", F.coalesce("component", "class").alias("component"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         ),
         "summary",
     )
     # rows without words are spread by their key and find no class
     own = F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")
     out = signed.select(key, "h", F.coalesce("class", own).alias("class")).join(summary, "class", "left")
-    return out.select(key, "h", "class", F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(key, "h", "class", F.coalesce("component", "class").alias("component"), F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,18 +300,19 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     Null texts and texts without words have no n-grams: they link to none and their class is their own key. Texts of
     fewer than n words have one n-gram of all their words. Null keys take part and get the class of the others; rows
     with equal keys and texts count as copies; an empty table gives an empty result. Other columns are not looked at.
+    class_id is a key: where one key has several unlinked texts, their classes have the same class_id.
     """
     return _joined(docs, threshold, n, recall, key, text).select(key, "class_id", "n_links")
 
 
 def near_duplicates_removed(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class of linked documents, that with the least key (and, of this key, the least text
-    hash); documents without links all stay. Rows of the same key and text are one document. Rows with a null key
+    hash); documents without links all stay, those of one key with several texts too. Rows of the same key and text are one document. Rows with a null key
     cannot be told apart by it and all stay.
     """
     found = _joined(docs.select(key, text), threshold, n, recall, key, text).where((F.col("class_id") == F.col(key)))
     alone = F.substring("class", 1, 1) == F.lit(b"-")  # rows without words are no class together
-    kept = found.groupBy("class_id", F.when(alone, F.col("h")).alias("own")).agg(F.min("h").alias("_h")).select(F.col("class_id").alias("_key"), "_h").distinct()
+    kept = found.groupBy("component", "class_id", F.when(alone, F.col("h")).alias("own")).agg(F.min("h").alias("_h")).select(F.col("class_id").alias("_key"), "_h").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), text_hash(F.col(text)).alias("_h"), F.col(key).cast("long").alias("_key"))
     single = rows.join(kept, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).select("row.*")

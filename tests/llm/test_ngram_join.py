@@ -95,3 +95,10 @@ def test_banding_and_matrix_overlaps():
     sets = [np.unique(rnd.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]
     pairs = np.array([(i, j) for i in range(40) for j in range(i + 1, 40)])
     assert nj._overlaps(sets, pairs).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in pairs]
+
+
+def test_one_key_with_several_texts(docs_of):
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(4)]
+    rows = [(1, t) for t in texts] + [(1, texts[0]), (2, texts[1].upper()), (3, texts[2] + " more"), (4, "quite another text of its own")]
+    kept = sorted((r.doc_id, r.text) for r in nj.near_duplicates_removed(docs_of(rows)).collect())
+    assert kept == sorted([(1, t) for t in texts] + [(4, "quite another text of its own")])
