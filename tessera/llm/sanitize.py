@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what else reveals them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. The found values are the
-protected entities. From the corpus one counts in how many documents a term (a run of TERM_LETTERS letters or more)
+protected entities. From the corpus one counts in how many documents a term (a run of letters and digits outside of base spans)
 occurs, in how many an entity occurs, and in how many both do. The pointwise mutual information of term and entity,
 divided by the entity's own information, is the term's disclosure: 1 if the term occurs with the entity only, near 0
 if it tells nothing. In a document that holds the entity, terms of a disclosure from REMOVE up are removed, and those
@@ -32,7 +32,9 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-TERM_LETTERS = 4
+#: A term, of any length: short names and numbers of accounts or cases count too; the threshold decides.
+TERM = r"[\p{L}\p{N}]+"
+BETWEEN = r"[^\p{L}\p{N}]+"
 SUPPORT = 2
 REMOVE, GENERALISE = 0.9, 0.75
 BITMAP = 1 << 20
@@ -82,6 +84,21 @@ def marked_spans(text: Column, pattern: Column | str, kind: str, order: int) ->
     return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, add)["out"]).otherwise(F.array().cast(SPAN))
 
 
+def term_spans(text: Column, drop: Column, hint: Column) -> Column:
+    """Spans of the terms of a text that stand in the array drop (kind `term`) or hint; null arrays are empty."""
+    pieces = F.split(F.regexp_replace(unmarked(text), TERM, f"{MARK}$0{MARK}"), MARK)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(SPAN).alias("out"))
+
+    def add(a: Column, piece: Column) -> Column:
+        end, order = a["at"] + F.length(piece), len(KINDS)
+        kind = F.when(a["i"] % 2 == 1, F.when(F.array_contains(drop, piece), "term").when(F.array_contains(hint, piece), "hint"))
+        span = F.struct(a["at"].alias("start"), F.when(kind == "term", order).otherwise(order + 1).alias("ord"), end.alias("end"), kind.alias("kind"), piece.alias("value"))
+        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), F.when(kind.isNotNull(), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    some = (F.coalesce(F.size(drop), F.lit(0)) > 0) | (F.coalesce(F.size(hint), F.lit(0)) > 0)
+    return F.when(some, F.aggregate(pieces, start, add)["out"]).otherwise(F.array().cast(SPAN))
+
+
 def unmarked(text: Column) -> Column:
     """The text without the mark, which no pattern knows; lengths stay."""
     return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\x02")).otherwise(text)
@@ -101,16 +118,20 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def terms_of(text: Column) -> Column:
-    """The distinct terms of a text, outside of what looks like a base span."""
-    bare = text
-    for kind in KINDS:
-        bare = F.regexp_replace(bare, PATTERNS[kind], " ")
-    return _terms(bare)
+def terms_of(text: Column, base: Column) -> Column:
+    """The distinct terms of a text, outside of its base spans."""
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        gap = F.substring(text, a["end"] + 1, F.greatest(s["start"] - a["end"], F.lit(0)))
+        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(gap)).alias("out"))
+
+    done = F.aggregate(base, zero, add)
+    return _terms(F.concat_ws(" ", done["out"], F.substring(text, done["end"] + 1, F.length(text))))
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda t: F.length(t) >= TERM_LETTERS)
+    return F.filter(F.array_distinct(F.split(text, BETWEEN)), lambda t: F.length(t) > 0)
 
 
 def _bitmap(terms: DataFrame) -> Column:
@@ -169,7 +190,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     plain = found.where(F.size("base") == 0).withColumn("spans", F.col("base"))
     held = stage(
         found.where(F.size("base") > 0).select(
-            "row", "base", F.xxhash64("t").alias("h"), terms_of(F.col("t")).alias("terms"), F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities")
+            "row", "base", F.xxhash64("t").alias("h"), terms_of(F.col("t"), F.col("base")).alias("terms"), F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities")
         ),
         "holders",
     )
@@ -187,19 +208,16 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     )
     joined = held.join(stage(flagged, "flagged"), "h", "left").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
 
-    def located(words: str, kind: str, order: int) -> Column:
-        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
-        return F.when(F.size(words) > 0, marked_spans(unmarked(F.col("t")), pattern, kind, order)).otherwise(F.array().cast(SPAN))
-
-    more = F.concat(located("drop", "term", len(KINDS)), located("hint", "hint", len(KINDS) + 1))
+    more = term_spans(F.col("t"), F.col("drop"), F.col("hint"))
     apart = F.filter(more, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     full = joined.select("row", "t", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
     return plain.unionByName(full)
 
 
 def shape(value: Column) -> Column:
-    """The generalised form of a term: its letters' kinds only."""
-    return F.regexp_replace(F.regexp_replace(value, r"\p{Lu}\p{L}*", "[Name]"), r"\p{Ll}\p{L}*", "[word]")
+    """The generalised form of a term: [number] if it holds a digit, else its letters' kinds."""
+    named = F.when(value.rlike(r"^\p{Lu}"), "[Name]").otherwise("[word]")
+    return F.when(value.rlike(r"\p{N}"), "[number]").otherwise(named)
 
 
 def sanitised(text: Column, spans: Column) -> Column:

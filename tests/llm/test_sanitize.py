@@ -83,3 +83,12 @@ def test_odd_rows(odd, empty):
     assert find_personal_data(empty).count() == 0
     same = sorted(map(str, odd.select("doc_id", "text").collect()))
     assert sorted(map(str, sanitise(odd).select("doc_id", "text").collect())) == same
+
+
+def test_short_names_and_numbers_reveal(docs_of):
+    card = "4111111111111112"  # fails the Luhn test, so no base span
+    rows = [(i, f"filler{i} words common Li and K77 {card} contact jo@x.org please") for i in range(3)]
+    rows += [(10 + i, f"filler{i % 7} words common and nothing contact please") for i in range(60)]
+    made = {r.doc_id: r.text for r in sanitise(docs_of(rows)).collect()}
+    assert all(x not in made[i].split() for i in range(3) for x in ("Li", "K77", card))
+    assert all(x in made[i].split() for i in range(3) for x in ("words", "common", "and"))
