@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what else reveals them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. The found values are the
-protected entities. From the corpus one counts in how many documents a term (a run of letters and digits outside of base spans)
+protected entities. From the corpus one counts in how many distinct texts a term (a run of letters and digits outside of base spans)
 occurs, in how many an entity occurs, and in how many both do. The pointwise mutual information of term and entity,
 divided by the entity's own information, is the term's disclosure: 1 if the term occurs with the entity only, near 0
 if it tells nothing. In a document that holds the entity, terms of a disclosure from REMOVE up are removed, and those
-from GENERALISE up are generalised to their shape. Entities of one document allow no estimate and protect no terms.
+from GENERALISE up are generalised to their shape. Exact copies count once. The counts are of the corpus that is given
+away, not a sample of it, so an entity of one text has terms that reveal it like others: those that stand there alone.
 
 Only DataFrame functions are used. The one thing collected is a bitmap of BITMAP bits that marks candidate terms'
 hashes, so that the corpus-wide count looks at few terms; a term that shares a bit is counted too and does no harm.
@@ -35,7 +36,6 @@ BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A term, of any length: short names and numbers of accounts or cases count too; the threshold decides.
 TERM = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
-SUPPORT = 2
 REMOVE, GENERALISE = 0.9, 0.75
 BITMAP = 1 << 20
 
@@ -134,10 +134,10 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text, BETWEEN)), lambda t: F.length(t) > 0)
 
 
-def _bitmap(terms: DataFrame) -> Column:
-    """A literal array of longs with a bit for each term's hash; at most BITMAP bits are collected."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(BITMAP))
-    words = terms.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
+def _bitmap(values: DataFrame) -> Column:
+    """A literal array of longs with a bit for the hash of each value of the only column; at most BITMAP bits are collected."""
+    bit = F.pmod(F.xxhash64(values.columns[0]), F.lit(BITMAP))
+    words = values.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).distinct()
     rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
     table = [0] * (BITMAP // 64)
     for r in rows:
@@ -145,68 +145,78 @@ def _bitmap(terms: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
-def _marked(table: Column, term: Column) -> Column:
-    bit = F.pmod(F.xxhash64(term), F.lit(BITMAP))
+def _marked(table: Column, value: Column) -> Column:
+    bit = F.pmod(F.xxhash64(value), F.lit(BITMAP))
     return F.getbit(F.element_at(table, (F.shiftright(bit, 6) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
 
 
-def disclosure(documents: DataFrame, holders: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) for entities and terms that share `support` documents or more.
+def disclosure(documents: DataFrame, holders: DataFrame, least: float = 0.0) -> DataFrame:
+    """(entity, term, disclosure, elsewhere) for entities and terms that share a text.
 
-    documents: (t) all texts. holders: (h, entities, terms) of the documents with entities.
+    documents: (t) all texts; equal texts count once. holders: (h, entities, terms), one row for each distinct text with
+    entities, h being its hash. Terms that cannot reach the disclosure `least` may be left out; so are, for a term
+    that one holder alone has, all but its rarest entity, which has the greatest disclosure. elsewhere: whether the
+    term also stands in a text without entities.
     """
-    holding = holders.select("h", F.explode(F.array_distinct("entities")).alias("entity")).groupBy("h", "entity").agg(F.count("*").alias("copies"))
-    entities = holding.groupBy("entity").agg(F.sum("copies").alias("df_entity")).where(F.col("df_entity") >= support)
-    known = stage(holding.join(entities, "entity"), "known")
-    texts = holders.join(known.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("terms").alias("terms"))
-    pairs = stage(
-        known.join(texts, "h")
-        .select("entity", "df_entity", "copies", F.explode("terms").alias("term"))
-        .groupBy("entity", "df_entity", "term")
-        .agg(F.sum("copies").alias("df_both"))
-        .where(F.col("df_both") >= support),
-        "pairs",
+    texts = documents.select("t", F.xxhash64("t").alias("h"))
+    sizes = stage(texts.groupBy("h").count(), "texts")
+    n = float(max(sizes.count(), 2))
+    words = holders.select("h", F.explode("terms").alias("term"))
+    held = stage(words.groupBy("term").agg(F.count("*").alias("df_held")), "held_terms")
+    table, repeated = _bitmap(held.select("term")), _bitmap(sizes.where(F.col("count") > 1).select("h"))
+    rest = texts.where(F.size(base_spans(F.col("t"))) == 0)
+    marked = F.filter(_terms(F.col("t")), lambda x: _marked(table, x)).alias("terms")
+    again = _marked(repeated, F.col("h"))
+    once = rest.where(~again).select(marked).unionByName(rest.where(again).select("h", marked).dropDuplicates(["h"]).select("terms"))
+    counted = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_rest"))
+
+    holding = holders.select("h", F.explode(F.array_distinct("entities")).alias("entity"))
+    frequency = holding.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    known = stage(holding.join(frequency, "entity").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df_entity", "entity"))).alias("of")), "known")
+    most = known.agg(F.max(F.element_at("of", -1)["df_entity"])).first()[0] or 1
+    rest_too = F.coalesce("df_rest", F.lit(0))
+    counts = held.join(counted, "term", "left").select("term", "df_held", (F.col("df_held") + rest_too).alias("df_term"), (rest_too > 0).alias("elsewhere"))
+    # both are at most df_entity documents, so more than n^(1 - least) * df_entity^least documents of a term are too many
+    counts = counts.where(F.col("df_term") <= n ** (1 - least) * most**least * (1 + 1e-9))
+    of = F.when(F.col("df_held") == 1, F.slice("of", 1, 1)).otherwise(F.col("of"))
+    both = (
+        words.join(counts, "term")
+        .join(known, "h")
+        .select("term", "df_term", "elsewhere", F.explode(of).alias("e"))
+        .groupBy("e.entity", "e.df_entity", "term", "df_term", "elsewhere")
+        .agg(F.count("*").alias("df_both"))
     )
-    table = _bitmap(pairs.select("term"))
-    counted = documents.select(F.explode(F.filter(_terms(F.col("t")), lambda x: _marked(table, x))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    total = documents.count()
-    both = pairs.join(counted, "term")
-    n = F.lit(float(max(total, 2)))
-    mutual = F.log(n * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    own = F.log(n / F.col("df_entity"))
-    return both.select("entity", "term", F.when(own > 0, mutual / own).otherwise(F.lit(0.0)).alias("disclosure"))
+    mutual = F.log(F.lit(n) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
+    own = F.log(F.lit(n) / F.col("df_entity"))
+    return both.select("entity", "term", F.when(own > 0, mutual / own).otherwise(F.lit(0.0)).alias("disclosure"), "elsewhere")
 
 
-def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE, text: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, text: str = "text") -> DataFrame:
     """(row, t, base, spans): each row of docs as a struct, its text, its base spans and all spans.
 
     Spans of the method have the kinds `term` (removed) and `hint` (generalised); none overlaps a base span.
-    Null texts are empty texts and have no spans; repeated rows all stay and count as documents of their own; an
+    Null texts are empty texts and have no spans; repeated rows all stay, and their text counts once; an
     empty table gives an empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     t = F.coalesce(F.col(text), F.lit("")).alias("t")
     found = docs.select(row, t).withColumn("base", base_spans(F.col("t")))
     plain = found.where(F.size("base") == 0).withColumn("spans", F.col("base"))
-    held = stage(
-        found.where(F.size("base") > 0).select(
-            "row", "base", F.xxhash64("t").alias("h"), terms_of(F.col("t"), F.col("base")).alias("terms"), F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities")
-        ),
-        "holders",
-    )
-    every = docs.select(t)
-    shown = disclosure(every, held.select("h", "entities", "terms"), support).where(F.col("disclosure") >= generalise)
-    # which terms of which text: by the text's hash, so that copies are looked up once
-    texts = held.dropDuplicates(["h"]).select("h", F.explode("entities").alias("entity"), "terms")
+    held = stage(found.where(F.size("base") > 0).select("row", "base", F.xxhash64("t").alias("h")), "held").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    # which terms of which text: by the text's hash, so that copies are looked up and counted once
+    texts = stage(held.select("h", entities.alias("entities"), terms_of(F.col("t"), F.col("base")).alias("terms")).dropDuplicates(["h"]), "holders")
+    shown = disclosure(docs.select(t), texts, generalise).where(F.col("disclosure") >= generalise)
     flagged = (
-        texts.select("h", "entity", F.explode("terms").alias("term"))
+        texts.select("h", F.explode("entities").alias("entity"), "terms")
+        .select("h", "entity", F.explode("terms").alias("term"))
         .join(shown, ["entity", "term"])
         .groupBy("h", "term")
         .agg(F.max("disclosure").alias("d"))
         .groupBy("h")
         .agg(F.sort_array(F.collect_list(F.when(F.col("d") >= remove, F.col("term")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("d") < remove, F.col("term")))).alias("hint"))
     )
-    joined = held.join(stage(flagged, "flagged"), "h", "left").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
+    joined = held.join(stage(flagged, "flagged"), "h", "left")
 
     more = term_spans(F.col("t"), F.col("drop"), F.col("hint"))
     apart = F.filter(more, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

@@ -92,3 +92,11 @@ def test_short_names_and_numbers_reveal(docs_of):
     made = {r.doc_id: r.text for r in sanitise(docs_of(rows)).collect()}
     assert all(x not in made[i].split() for i in range(3) for x in ("Li", "K77", card))
     assert all(x in made[i].split() for i in range(3) for x in ("words", "common", "and"))
+
+
+def test_entities_of_one_text(spark, docs_of):
+    rows = [(0, "common words here about zebrafish contact jo@x.org"), (1, "common words here about zebrafish contact jo@x.org"), (2, "common words here about heliotrope contact al@x.org")]
+    rows += [(10 + i, f"common words here about contact filler{i}") for i in range(60)]
+    made = {r.doc_id: r.text for r in sanitise(docs_of(rows)).collect()}
+    assert made[0] == made[1] == made[2] == "common words here about [term] contact [email]"
+    assert all(made[i] == t for i, t in rows if i >= 10)
