@@ -4,8 +4,8 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers in whol
 protected entities. From the corpus one counts in how many distinct texts a term (a run of letters and digits outside of base spans)
 occurs, in how many an entity occurs, and in how many both do. The pointwise mutual information of term and entity,
 divided by the entity's own information, is the term's disclosure: 1 if the term occurs with the entity only, near 0
-if it tells nothing. In a document that holds the entity, terms of a disclosure from REMOVE up are removed, and those
-from GENERALISE up are generalised to their shape. Exact copies count once. The counts are of the corpus that is given
+if it tells nothing. Terms whose greatest disclosure of any entity is from REMOVE up are removed from all documents,
+with or without the entity, and those from GENERALISE up are generalised to their shape. Exact copies count once. The counts are of the corpus that is given
 away, not a sample of it, so an entity of one text has terms that reveal it like others: those that stand there alone.
 
 Only DataFrame functions are used. The one thing collected is a bitmap of BITMAP bits that marks candidate terms'
@@ -201,23 +201,27 @@ def find_spans(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     t = F.coalesce(F.col(text), F.lit("")).alias("t")
     found = docs.select(row, t).withColumn("base", base_spans(F.col("t")))
-    plain = found.where(F.size("base") == 0).withColumn("spans", F.col("base"))
     held = stage(found.where(F.size("base") > 0).select("row", "base", F.xxhash64("t").alias("h")), "held").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
     # which terms of which text: by the text's hash, so that copies are looked up and counted once
     texts = stage(held.select("h", entities.alias("entities"), terms_of(F.col("t"), F.col("base")).alias("terms")).dropDuplicates(["h"]), "holders")
-    shown = disclosure(docs.select(t), texts, generalise).where(F.col("disclosure") >= generalise)
+    shown = stage(
+        disclosure(docs.select(t), texts, generalise).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"), F.max("elsewhere").alias("elsewhere")), "shown"
+    )
+    # a term reveals in whichever text it stands: texts without entities are looked through for terms known to be there
+    table = _bitmap(shown.where("elsewhere").select("term"))
+    bare = found.where(F.size("base") == 0).withColumn("terms", F.filter(_terms(F.col("t")), lambda x: _marked(table, x)))
+    plain = bare.where(F.size("terms") == 0).select("row", "t", "base", F.col("base").alias("spans"))
+    others = stage(bare.where(F.size("terms") > 0).select("row", "base", F.xxhash64("t").alias("h"), "terms"), "others").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
     flagged = (
-        texts.select("h", F.explode("entities").alias("entity"), "terms")
-        .select("h", "entity", F.explode("terms").alias("term"))
-        .join(shown, ["entity", "term"])
-        .groupBy("h", "term")
-        .agg(F.max("disclosure").alias("d"))
+        texts.select("h", "terms")
+        .unionByName(others.select("h", "terms").dropDuplicates(["h"]))
+        .select("h", F.explode("terms").alias("term"))
+        .join(shown, "term")
         .groupBy("h")
         .agg(F.sort_array(F.collect_list(F.when(F.col("d") >= remove, F.col("term")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("d") < remove, F.col("term")))).alias("hint"))
     )
-    joined = held.join(stage(flagged, "flagged"), "h", "left")
-
+    joined = held.unionByName(others.drop("terms")).join(stage(flagged, "flagged"), "h", "left")
     more = term_spans(F.col("t"), F.col("drop"), F.col("hint"))
     apart = F.filter(more, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     full = joined.select("row", "t", "base", F.array_sort(F.concat("base", apart)).alias("spans"))

@@ -100,3 +100,12 @@ def test_entities_of_one_text(spark, docs_of):
     made = {r.doc_id: r.text for r in sanitise(docs_of(rows)).collect()}
     assert made[0] == made[1] == made[2] == "common words here about [term] contact [email]"
     assert all(made[i] == t for i, t in rows if i >= 10)
+
+
+def test_terms_reveal_in_every_text(docs_of):
+    rows = [(i, f"common words here about zebrafish contact jo@x.org filler{i}") for i in range(8)]
+    rows += [(8, "common words here about zebrafish alone"), (9, "common words here about zebrafish and al@x.org")]
+    rows += [(10 + i, f"common words here about contact and alone filler{i}") for i in range(900)]
+    made = {r.doc_id: r.text for r in sanitise(docs_of(rows)).collect()}
+    assert all("zebrafish" not in made[i] and "common words here about" in made[i] for i in range(10))
+    assert made[8] in ("common words here about [term] alone", "common words here about [word] alone")
