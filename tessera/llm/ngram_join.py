@@ -6,8 +6,8 @@ with the same words form one class and are compared once. The steps:
 1. Each class gets a MinHash signature. Rows per band and the number of bands are chosen for a target recall at the
    threshold (`banding`); the band hashes are the only candidates' keys.
 2. Band hashes that two or more classes share are buckets. Buckets of exactly the same classes are kept once.
-3. The n-gram sets of classes in buckets meet in groups of bounded size: a bucket of more than BLOCK classes is dealt
-   into blocks, and each pair of blocks is a group. A pair of classes is verified on its full sets in the first band
+3. The n-gram sets of classes in buckets meet in groups of bounded size: a bucket of more than BLOCK classes, or of
+   more than BLOCK_GRAMS n-grams, is dealt into blocks, and each pair of blocks is a group. A pair of classes is verified on its full sets in the first band
    that it shares, so no pair is counted twice, and none is left out however large its bucket is.
 4. A group returns, for each class, the links it verified and one peer of its component there, never the pairs.
    Components follow from these edges by minimum labels with pointer jumping.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, held, key_array, key_columns, mix64, stage
 
 BLOCK = 256
+BLOCK_GRAMS = 4_000_000  # n-grams of one block, 8 bytes each
 SLICE = 150_000  # n-grams hashed at a time
 
 
@@ -103,10 +104,11 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str)
                 if full:
                     for i, row in zip(full, signatures([shingles(words[i], n) for i in full], bands, rows), strict=True):
                         found[i] = row.tobytes()
-                yield pd.DataFrame({key: key_array(part), "h": part["h"], "class": names, "bands": found})
+                grams = [max(1, len(w) - n + 1) if w else 0 for w in words]
+                yield pd.DataFrame({key: key_array(part), "h": part["h"], "class": names, "bands": found, "grams": grams})
 
     given = docs.select(*key_columns(key), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
-    return given.mapInPandas(run, f"{key} long, h long, class binary, bands binary")
+    return given.mapInPandas(run, f"{key} long, h long, class binary, bands binary, grams long")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -250,21 +252,28 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str,
     that its class is connected with; unlike class_id it tells apart unlinked texts of one key."""
     bands, rows = banding(threshold, recall)
     signed = stage(_signed(docs, n, bands, rows, key, text), "signed")
-    classes = stage(signed.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    # one row stands for its class: its key and the hash of its text, which no other class has, find the text again
+    one = F.min(F.struct(key, "h"))
+    classes = stage(signed.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), one.alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("grams").alias("grams")), "classes")
     # band b of the packed signature is 8 bytes
     split = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.substring(F.col("bands"), b * 8 + 1, F.lit(8)).alias("hash")))
-    banded = classes.select("class", F.explode(split).alias("s")).select("class", "s.band", "s.hash")
-    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bit_xor(F.xxhash64("class")).alias("x")).where("n > 1")
-    buckets = stage(shared.groupBy("n", "lo", "hi", "x").agg(F.min(F.struct("band", "hash")).alias("s")).select("s.band", "s.hash", "n"), "buckets")
-    members = stage(banded.join(buckets, ["band", "hash"]), "members")
-
-    wanted = members.select("class").distinct().join(classes.select("class", "rep", "copies", "bands"), "class")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
-    held = wanted.select("class", "rep")
-    found = texts.join(held, texts["rep"].eqNullSafe(held["rep"])).select("class", "t")
+    banded = classes.select("class", "grams", F.explode(split).alias("s")).select("class", "grams", "s.band", "s.hash")
+    shared = (
+        banded.groupBy("band", "hash")
+        .agg(F.count("*").alias("n"), F.sum("grams").alias("all"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.bit_xor(F.xxhash64("class")).alias("x"))
+        .where("n > 1")
+        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int"))
+    )
+    buckets = stage(shared.groupBy("n", "blocks", "lo", "hi", "x").agg(F.min(F.struct("band", "hash")).alias("s")).select("s.band", "s.hash", "blocks"), "buckets")
+    members = stage(banded.select("class", "band", "hash").join(buckets, ["band", "hash"]), "members")
+
+    wanted = members.select("class").distinct().join(classes.select("class", "one", "copies", "bands"), "class")
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
+    held = wanted.select("class", F.col(f"one.{key}").alias("k"), F.col("one.h").alias("h"))
+    found = texts.join(held, (texts["h"] == held["h"]) & texts["k"].eqNullSafe(held["k"])).select("class", "t")
     sets = _sets(found, n).groupBy("class").agg(F.first("set").alias("set"))
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     blk = F.pmod(F.xxhash64(F.col("class"), F.lit(5)), blocks).cast("int")
     grouped = (
         members.join(wanted.select("class", "copies", "bands"), "class")
@@ -286,10 +295,12 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str,
         ),
         "summary",
     )
-    # rows without words are spread by their key and find no class
+    # rows without words have no class; the join spreads them by their key
     own = F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")
-    out = signed.select(key, "h", F.coalesce("class", own).alias("class")).join(summary, "class", "left")
-    return out.select(key, "h", "class", F.coalesce("component", "class").alias("component"), F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select(key, "h", F.col("class").isNull().alias("alone"), F.coalesce("class", own).alias("class")).join(summary.withColumn("alone", F.lit(False)), ["class", "alone"], "left")
+    return out.select(
+        key, "h", "alone", "class", F.coalesce("component", "class").alias("component"), F.coalesce("class_id", F.col(key)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,14 +317,16 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
 
 
 def near_duplicates_removed(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class of linked documents, that with the least key (and, of this key, the least text
-    hash); documents without links all stay, those of one key with several texts too. Rows of the same key and text are one document. Rows with a null key
-    cannot be told apart by it and all stay.
+    """docs with one row of each class of linked documents: that with the least key (nulls last) and, of this key, the
+    least text hash. Documents without links all stay, those of one key, or without a key, with several texts too.
+    Rows of the same key and text are one document, whether the key is null or not; rows without words link to none
+    and stay once for each key and text.
     """
-    found = _joined(docs.select(key, text), threshold, n, recall, key, text).where((F.col("class_id") == F.col(key)))
-    alone = F.substring("class", 1, 1) == F.lit(b"-")  # rows without words are no class together
-    kept = found.groupBy("component", "class_id", F.when(alone, F.col("h")).alias("own")).agg(F.min("h").alias("_h")).select(F.col("class_id").alias("_key"), "_h").distinct()
+    found = _joined(docs.select(key, text), threshold, n, recall, key, text)
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h"))
+    kept = found.where(~F.col("alone")).groupBy("component").agg(least.alias("m")).select(F.col("m.k").alias("_key"), F.col("m.h").alias("_h"))
+    kept = kept.unionByName(found.where("alone").select(F.col(key).alias("_key"), F.col("h").alias("_h")).distinct())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), text_hash(F.col(text)).alias("_h"), F.col(key).cast("long").alias("_key"))
-    single = rows.join(kept, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]).select("row.*")
-    return single.unionByName(docs.where(F.col(key).isNull()))
+    same = rows["_key"].eqNullSafe(kept["_key"]) & (rows["_h"] == kept["_h"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_key", "_h"]).select("row.*")

@@ -102,3 +102,63 @@ def test_one_key_with_several_texts(docs_of):
     rows = [(1, t) for t in texts] + [(1, texts[0]), (2, texts[1].upper()), (3, texts[2] + " more"), (4, "quite another text of its own")]
     kept = sorted((r.doc_id, r.text) for r in nj.near_duplicates_removed(docs_of(rows)).collect())
     assert kept == sorted([(1, t) for t in texts] + [(4, "quite another text of its own")])
+
+
+def components_of(rows, n=5, threshold=0.8):
+    """A component's number for each row, by all pairs; rows without words are alone with their equals."""
+    sets = []
+    for _, t in rows:
+        w = nj.text_words(t)
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            linked = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold if sets[i] and sets[j] else rows[i] == rows[j]
+            if linked and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_repeated_and_null_keys(docs_of):
+    """Keys that are null, or repeat with linked and unlinked texts: one row of each component stays."""
+    rnd = random.Random(12)
+    texts = [" ".join(f"w{g}x{j if rnd.random() > 0.01 else -j}" for j in range(60)) for g in range(6) for _ in range(4)] + [None, "", "  "]
+    rows = [(rnd.choice([None, None, 1, 1, 2, 3]), rnd.choice(texts)) for _ in range(120)]
+    found = sorted((r.doc_id, r.text) if r.doc_id is not None else (-1, r.text) for r in nj.near_duplicates_removed(docs_of(rows)).fillna("-", ["text"]).collect())
+    root = components_of(rows)
+    kept = {}
+    for r, (k, t) in zip(root, rows, strict=True):
+        kept.setdefault(r, []).append((k is None, k or 0, t))
+    assert len(found) == len(kept)
+    least = sorted((-1 if none else k) for none, k, _ in (min(v, key=lambda x: x[:2]) for v in kept.values()))
+    assert sorted(k for k, _ in found) == least
+    links = nj.jaccard_join(docs_of(rows))
+    assert links.count() == len(rows)
+
+
+def test_many_rows_without_a_key(spark, docs_of):
+    """Texts are found again by key and hash: what is read for verification grows with the rows, not their square."""
+    texts = [" ".join(f"w{i % 150}x{j}" for j in range(40)) + (" more" if i % 2 else "") for i in range(300)]
+    rows = docs_of([(None, t) for t in texts])
+    found = nj.jaccard_join(rows).collect()
+    assert len(found) == 300 and {r.n_links for r in found} == {1} and {r.class_id for r in found} == {None}
+    assert nj.near_duplicates_removed(rows).count() == 150
+
+
+def test_groups_by_n_grams(docs_of, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_GRAMS", 300)
+    rows = corpus(4, copies=5)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in nj.jaccard_join(docs_of(rows)).collect()) == plain(rows)
+
+
+def test_recall_against_exact_pairs():
+    """Bands and rows for the target recall find the pairs at the threshold and above."""
+    rnd = np.random.default_rng(5)
+    bands, rows = nj.banding(0.8, 0.9995)
+    hit = total = 0
+    for _ in range(400):
+        base = rnd.integers(0, 1 << 62, 90).astype(np.uint64)
+        other = np.concatenate([base[:80], rnd.integers(0, 1 << 62, 10).astype(np.uint64)])  # 80 of 100: similarity 0.8
+        a, b = nj.signatures([np.unique(base), np.unique(other)], bands, rows)
+        total, hit = total + 1, hit + bool((a == b).any())
+    assert hit / total >= 0.99
