@@ -1,15 +1,20 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of what else reveals them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers in whole texts. The found values are the
-protected entities. From the corpus one counts in how many distinct texts a term (a run of letters and digits outside of base spans)
-occurs, in how many an entity occurs, and in how many both do. The pointwise mutual information of term and entity,
-divided by the entity's own information, is the term's disclosure: 1 if the term occurs with the entity only, near 0
-if it tells nothing. Terms whose greatest disclosure of any entity is from REMOVE up are removed from all documents,
-with or without the entity, and those from GENERALISE up are generalised to their shape. Exact copies count once. The counts are of the corpus that is given
-away, not a sample of it, so an entity of one text has terms that reveal it like others: those that stand there alone.
-
-Only DataFrame functions are used. The one thing collected is a bitmap of BITMAP bits that marks candidate terms'
-hashes, so that the corpus-wide count looks at few terms; a term that shares a bit is counted too and does no harm.
+protected entities. A term (a run of letters and digits outside of base spans) co-occurs with an entity in a text if
+it stands within REACH characters of it there. From the corpus one counts in how many distinct texts an entity stands,
+in how many a term stands (near an entity or not), and in how many both co-occur; exact copies count once.
+
+P(entity | term) is estimated with Jeffreys' half count, (both + P(entity) / 2) / (texts of the term + 1 / 2), so that
+a single text is weak evidence. Its logarithm over P(entity), divided by the entity's own information, is the term's
+disclosure: near 1 if the term all but names the entity, near 0 if it tells nothing. A term reveals an entity if it
+makes it more likely than not (P(entity | term) > LIKELY) and its disclosure reaches a threshold: from REMOVE up it is
+removed from all texts, with or without the entity, and from GENERALISE up it is generalised to its shape. So a rare
+word far from any entity stays, and so does a word that stands as often without the entity as with it. An entity of
+one text has terms that reveal it like others: those near it that stand in this text alone.
+
+Only DataFrame functions are used. What is collected is bitmaps of BITMAP bits (of candidate terms' hashes, of the
+hashes of texts to look at again): a term or text that shares a bit is looked at too and does no harm.
 """
 
 from __future__ import annotations
@@ -36,8 +41,9 @@ BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A term, of any length: short names and numbers of accounts or cases count too; the threshold decides.
 TERM = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
-REMOVE, GENERALISE = 0.9, 0.75
-BITMAP = 1 << 20
+REMOVE, GENERALISE, LIKELY = 0.9, 0.75, 0.5
+REACH = 120  # characters on either side of an entity
+BITMAP = 1 << 22
 
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
@@ -118,16 +124,31 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def terms_of(text: Column, base: Column) -> Column:
-    """The distinct terms of a text, outside of its base spans."""
+def masked(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its base spans; lengths stay."""
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
 
     def add(a: Column, s: Column) -> Column:
         gap = F.substring(text, a["end"] + 1, F.greatest(s["start"] - a["end"], F.lit(0)))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(gap)).alias("out"))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(gap, blank)).alias("out"))
 
     done = F.aggregate(base, zero, add)
-    return _terms(F.concat_ws(" ", done["out"], F.substring(text, done["end"] + 1, F.length(text))))
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["end"] + 1, F.length(text)))
+
+
+def entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["value"])
+
+
+def near_terms(clear: Column, span: Column, reach: int = REACH) -> Column:
+    """The distinct terms that lie whole within `reach` characters of a span of the text, whose masked form is clear."""
+    first = F.greatest(span["start"] - reach, F.lit(0))
+    before = F.substring(clear, first + 1, span["start"] - first)
+    before = F.when(first > 0, F.regexp_replace(before, rf"^{TERM}", "")).otherwise(before)
+    after = F.substring(clear, span["end"] + 1, F.lit(reach))
+    after = F.when(F.length(clear) > span["end"] + reach, F.regexp_replace(after, rf"{TERM}$", "")).otherwise(after)
+    return _terms(F.concat_ws(" ", before, after))
 
 
 def _terms(text: Column) -> Column:
@@ -150,48 +171,46 @@ def _marked(table: Column, value: Column) -> Column:
     return F.getbit(F.element_at(table, (F.shiftright(bit, 6) + 1).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
 
 
-def disclosure(documents: DataFrame, holders: DataFrame, least: float = 0.0) -> DataFrame:
-    """(entity, term, disclosure, elsewhere) for entities and terms that share a text.
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
-    documents: (t) all texts; equal texts count once. holders: (h, entities, terms), one row for each distinct text with
-    entities, h being its hash. Terms that cannot reach the disclosure `least` may be left out; so are, for a term
-    that one holder alone has, all but its rarest entity, which has the greatest disclosure. elsewhere: whether the
-    term also stands in a text without entities.
-    """
-    texts = documents.select("t", F.xxhash64("t").alias("h"))
-    sizes = stage(texts.groupBy("h").count(), "texts")
-    n = float(max(sizes.count(), 2))
-    words = holders.select("h", F.explode("terms").alias("term"))
-    held = stage(words.groupBy("term").agg(F.count("*").alias("df_held")), "held_terms")
-    table, repeated = _bitmap(held.select("term")), _bitmap(sizes.where(F.col("count") > 1).select("h"))
-    rest = texts.where(F.size(base_spans(F.col("t"))) == 0)
-    marked = F.filter(_terms(F.col("t")), lambda x: _marked(table, x)).alias("terms")
-    again = _marked(repeated, F.col("h"))
-    once = rest.where(~again).select(marked).unionByName(rest.where(again).select("h", marked).dropDuplicates(["h"]).select("terms"))
-    counted = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_rest"))
-
-    holding = holders.select("h", F.explode(F.array_distinct("entities")).alias("entity"))
-    frequency = holding.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    known = stage(holding.join(frequency, "entity").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df_entity", "entity"))).alias("of")), "known")
-    most = known.agg(F.max(F.element_at("of", -1)["df_entity"])).first()[0] or 1
-    rest_too = F.coalesce("df_rest", F.lit(0))
-    counts = held.join(counted, "term", "left").select("term", "df_held", (F.col("df_held") + rest_too).alias("df_term"), (rest_too > 0).alias("elsewhere"))
-    # both are at most df_entity documents, so more than n^(1 - least) * df_entity^least documents of a term are too many
-    counts = counts.where(F.col("df_term") <= n ** (1 - least) * most**least * (1 + 1e-9))
-    of = F.when(F.col("df_held") == 1, F.slice("of", 1, 1)).otherwise(F.col("of"))
-    both = (
-        words.join(counts, "term")
-        .join(known, "h")
-        .select("term", "df_term", "elsewhere", F.explode(of).alias("e"))
-        .groupBy("e.entity", "e.df_entity", "term", "df_term", "elsewhere")
-        .agg(F.count("*").alias("df_both"))
-    )
-    mutual = F.log(F.lit(n) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    own = F.log(F.lit(n) / F.col("df_entity"))
-    return both.select("entity", "term", F.when(own > 0, mutual / own).otherwise(F.lit(0.0)).alias("disclosure"), "elsewhere")
-
-
-def find_spans(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, text: str = "text") -> DataFrame:
+
+def entity_terms(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """(h, entity, terms): for each distinct text of docs (h, t) and each of its entities, the terms near it."""
+    found = docs.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0).withColumn("clear", masked(F.col("t"), F.col("base")))
+    near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), near_terms(F.col("clear"), s, reach).alias("terms")))
+    once = found.select("h", near.alias("near")).dropDuplicates(["h"])
+    rows = once.select("h", F.explode("near").alias("n")).select("h", "n.entity", "n.terms")
+    return rows.groupBy("h", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+
+
+def likelihood(both: Column, texts: Column, share: Column) -> Column:
+    """P(entity | term) with Jeffreys' half count, which is shared out like the entity."""
+    return (both + share / 2) / (texts + 0.5)
+
+
+def candidates(near: DataFrame, n: int, likely: float = LIKELY) -> DataFrame:
+    """(entity, term, df_entity, df_both) that can pass `likely`. A term stands in no fewer texts than those in which it
+    is near some entity, which leaves out frequent words before the corpus is counted."""
+    frequency = near.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    pairs = near.select("h", "entity", F.explode("terms").alias("term"))
+    seen = pairs.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_both")).join(frequency, "entity").join(seen, "term")
+    able = likelihood(F.col("df_both"), F.col("df_near"), F.col("df_entity") / n) > likely
+    return both.where(able).select("entity", "term", "df_entity", "df_both")
+
+
+def disclosure(able: DataFrame, where: DataFrame, n: int, likely: float = LIKELY) -> DataFrame:
+    """(entity, term, likely, disclosure) of candidates. where: (h, term), the texts of each candidate term; n: the
+    number of distinct texts."""
+    texts = where.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    share = F.col("df_entity") / F.lit(float(max(n, 2)))
+    known = able.join(texts, "term").withColumn("likely", likelihood(F.col("df_both"), F.col("df_term"), share)).where(F.col("likely") > likely)
+    part = F.when(share < 1, F.log(F.col("likely") / share) / -F.log(share)).otherwise(F.lit(0.0))
+    return known.select("entity", "term", "likely", part.alias("disclosure"))
+
+
+def find_spans(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, likely: float = LIKELY, reach: int = REACH, text: str = "text") -> DataFrame:
     """(row, t, base, spans): each row of docs as a struct, its text, its base spans and all spans.
 
     Spans of the method have the kinds `term` (removed) and `hint` (generalised); none overlaps a base span.
@@ -199,33 +218,29 @@ def find_spans(docs: DataFrame, remove: float = REMOVE, generalise: float = GENE
     empty table gives an empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    t = F.coalesce(F.col(text), F.lit("")).alias("t")
-    found = docs.select(row, t).withColumn("base", base_spans(F.col("t")))
-    held = stage(found.where(F.size("base") > 0).select("row", "base", F.xxhash64("t").alias("h")), "held").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
-    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
-    # which terms of which text: by the text's hash, so that copies are looked up and counted once
-    texts = stage(held.select("h", entities.alias("entities"), terms_of(F.col("t"), F.col("base")).alias("terms")).dropDuplicates(["h"]), "holders")
-    shown = stage(
-        disclosure(docs.select(t), texts, generalise).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"), F.max("elsewhere").alias("elsewhere")), "shown"
-    )
-    # a term reveals in whichever text it stands: texts without entities are looked through for terms known to be there
-    table = _bitmap(shown.where("elsewhere").select("term"))
-    bare = found.where(F.size("base") == 0).withColumn("terms", F.filter(_terms(F.col("t")), lambda x: _marked(table, x)))
-    plain = bare.where(F.size("terms") == 0).select("row", "t", "base", F.col("base").alias("spans"))
-    others = stage(bare.where(F.size("terms") > 0).select("row", "base", F.xxhash64("t").alias("h"), "terms"), "others").withColumn("t", F.coalesce(F.col(f"row.`{text}`"), F.lit("")))
-    flagged = (
-        texts.select("h", "terms")
-        .unionByName(others.select("h", "terms").dropDuplicates(["h"]))
-        .select("h", F.explode("terms").alias("term"))
-        .join(shown, "term")
-        .groupBy("h")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("d") >= remove, F.col("term")))).alias("drop"), F.sort_array(F.collect_list(F.when(F.col("d") < remove, F.col("term")))).alias("hint"))
-    )
-    joined = held.unionByName(others.drop("terms")).join(stage(flagged, "flagged"), "h", "left")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")
+    h = text_hash(F.col("t")).alias("h")
+    texts = docs.select(t).select("t", h)
+    n = texts.select("h").distinct().count()
+    near = stage(entity_terms(texts, reach), "near")
+    able = stage(candidates(near, n, likely), "candidates")
+    wanted, holders = _bitmap(able.select("term").distinct()), _bitmap(near.select("h"))
+    # terms outside of base spans, in every text; only texts that may have entities are searched for spans again
+    maybe = _marked(holders, F.col("h"))
+    clear = F.when(maybe, masked(F.col("t"), base_spans(F.col("t")))).otherwise(F.col("t"))
+    where = stage(texts.select("h", F.explode(F.filter(_terms(clear), lambda x: _marked(wanted, x))).alias("term")), "where")
+    shown = disclosure(able, where, n, likely).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("d"))
+    drop, hint = F.when(F.col("d") >= remove, F.col("term")), F.when(F.col("d") < remove, F.col("term"))
+    flagged = stage(where.distinct().join(shown, "term").groupBy("h").agg(F.sort_array(F.collect_list(drop)).alias("drop"), F.sort_array(F.collect_list(hint)).alias("hint")), "flagged")
+
+    again = maybe | _marked(_bitmap(flagged.select("h")), F.col("h"))
+    none = F.array().cast(SPAN)
+    rows = docs.select(row, t).select("row", "t", h)
+    plain = rows.where(~again).select("row", "t", none.alias("base"), none.alias("spans"))
+    joined = rows.where(again).join(flagged, "h", "left").withColumn("base", base_spans(F.col("t")))
     more = term_spans(F.col("t"), F.col("drop"), F.col("hint"))
     apart = F.filter(more, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    full = joined.select("row", "t", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
-    return plain.unionByName(full)
+    return plain.unionByName(joined.select("row", "t", "base", F.array_sort(F.concat("base", apart)).alias("spans")))
 
 
 def shape(value: Column) -> Column:
