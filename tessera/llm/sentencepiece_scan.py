@@ -8,10 +8,13 @@ same lattice; a BPE model's scores are merge ranks and cannot be added, so they
 
 A document of more than GIANT characters is cut into chunks at any place. The state at a boundary is the piece that
 covers the last character before it. A chunk's matrix holds, for each state at its start and each at its end, the
-weight of the best path between them. Matrices combine associatively under (max, +); prefix and suffix products of a
-document leave one state at each boundary on the full path. Then each chunk is traced back on its own, between the
-pieces fixed at its two ends. No piece goes on over a space that follows a letter, so such places part a chunk into
-independent segments, and the lattice is searched only from the chunk's ends to the nearest such places.
+weight of the best path between them. Matrices combine associatively under (max, +). They are combined as a tree: the
+products of FAN neighbours make the next level, until one product is left of each document; on the way down, prefix
+and suffix products inside each group of FAN leave one state at each of its boundaries, given those at its ends. So a
+task never holds more than FAN matrices of a document, and the depth is the logarithm of its length. Then each chunk
+is traced back on its own, between the pieces fixed at its two ends, along back-pointers. No piece goes on over a space
+that follows a letter, so such places part a chunk into independent segments: the lattice is searched only from the
+chunk's ends to the nearest such places, and what lies between these is encoded as a text of its own.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .common import held, key_array, key_columns, stage
 
 GIANT = 16_384
 CHUNK = 8_192
+FAN = 64  # matrices that one task combines at a time
 SLICE = 1_000_000  # characters that the library gets at a time
 SPACE = "▁"
 NEVER = -np.inf
@@ -94,6 +98,34 @@ class Lattice:
         return seen
 
 
+    def way(self, z: str, start: tuple[int, int], until: int, goal: tuple[int, int] | None) -> list[tuple[int, int]]:
+        """The pieces after start on the path to goal or, without one, to the piece that ends at `until`."""
+        back: dict[tuple[int, int], tuple[int, int] | None] = {start: None}
+        at: dict[int, list[tuple[int, int]]] = {start[1]: [start]}
+        for e in range(start[1], until):
+            for f in self.from_place(z, e) if e in at else []:
+                for s, _ in at[e]:
+                    if s == e or self.fit(z[s:e], z[e:f]):
+                        back[e, f] = s, e
+                        at.setdefault(f, []).append((e, f))
+                        break
+        here = goal if goal is not None else next((x for x in at.get(until, []) if x in back), None)
+        if here is None or here not in back:
+            raise ValueError("no path through the lattice")
+        out = []
+        while here != start:
+            out.append(here)
+            here = back[here]
+        return out[::-1]
+
+    def piece_ids(self, z: str, pieces: list[tuple[int, int]]) -> list[int]:
+        found: list[int] = []
+        for s, e in pieces:
+            known = self.pieces.get(z[s:e])
+            found += self.raw(z[s:e]) if known is None else [known]
+        return found
+
+
 def hard_cuts(z: str, p: int, q: int) -> tuple[int, int] | None:
     """The first and last place in (p, q) where a space follows another character; no piece goes over it."""
     a = p + 1
@@ -140,12 +172,22 @@ def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each chunk's end on the best path, by prefix and suffix products."""
-    ahead = [matrices[0]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = maxplus(out, m)
+    return out
+
+
+def inner_states(matrices: list[np.ndarray], entry: int, end: int | None) -> list[int]:
+    """The state at each matrix's end on the best path from the state `entry` to `end` (None: to the best one)."""
+    ahead = [matrices[0][entry][None, :]]
     for m in matrices[1:]:
         ahead.append(maxplus(ahead[-1], m))
     behind = np.zeros((matrices[-1].shape[1], 1))
+    if end is not None:
+        behind[:] = NEVER
+        behind[end] = 0.0
     out = [0] * len(matrices)
     for k in range(len(matrices) - 1, -1, -1):
         total = ahead[k][0] + behind[:, 0]
@@ -157,10 +199,18 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
 
 
 def trace(lattice: Lattice, z: str, p: int, q: int, entry: int, end: int) -> list[int]:
-    """Ids of the pieces that start in [p, q), given the states at both ends: the stretch between two boundaries of
-    pieces has the library's encoding of this stretch alone."""
+    """Ids of the pieces that follow the entry state up to the end state: back-pointers from either end to the nearest
+    places that no piece goes over, and the library for the segments between these."""
     first, last = lattice.states(z, p)[entry], lattice.states(z, q)[end]
-    return lattice.raw(z[first[1] : last[0]]) + lattice.raw(z[last[0] : last[1]]) if last[0] >= first[1] else []
+    if last == first or last[0] < first[1]:
+        return []
+    cuts = hard_cuts(z, p, q)
+    if cuts is None:
+        return lattice.piece_ids(z, lattice.way(z, first, q, last))
+    a, b = cuts
+    head = lattice.way(z, first, a, None) if first[1] < a else []
+    tail = lattice.way(z, (b, b), q, last)
+    return lattice.piece_ids(z, head) + lattice.raw(z[a:b]) + lattice.piece_ids(z, tail)
 
 
 def spaced(text: str) -> str:
@@ -179,7 +229,7 @@ def encode_giant(lattice: Lattice, text: str, chunk: int = CHUNK) -> list[int]:
     if len(places) > 2 and places[-1] - places[-2] <= lattice.longest:
         del places[-2]
     spans = list(zip(places, places[1:], strict=False))
-    ends = boundary_states([transfer(lattice, z, p, q) for p, q in spans])
+    ends = inner_states([transfer(lattice, z, p, q) for p, q in spans], 0, None)
     return [i for (p, q), e, x in zip(spans, [0, *ends], ends, strict=False) for i in trace(lattice, z, p, q, e, x)]
 
 
@@ -193,7 +243,71 @@ def _slices(texts: list[str]) -> Iterator[slice]:
     yield slice(at, len(texts))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def _packed(m: np.ndarray) -> tuple[int, bytes]:
+    return len(m), (m == 0).astype("u1").tobytes()
+
+
+def _unpacked(rows: int, m: bytes) -> np.ndarray:
+    return np.where(np.frombuffer(m, "u1").reshape(rows, -1) == 1, 0.0, NEVER)
+
+
+def _grouped(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows with equal name and grp, which come one after another."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in batch[["name", "grp", *columns]].itertuples(index=False, name=None):
+            if held and held[-1][:2] != row[:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def boundary_states(chunks: DataFrame, model: str, fan: int, parts: int) -> DataFrame:
+    """(name, n, entry, end): the states at both ends of every chunk (name, n, base, p, q, z) on its document's path."""
+
+    def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = lattice_of(model)
+        for b in batches:
+            found = [_packed(transfer(lattice, r.z, r.p - r.base, r.q - r.base)) for r in b.itertuples()]
+            yield pd.DataFrame({"name": b["name"], "n": b["n"], "rows": [r for r, _ in found], "m": [m for _, m in found]})
+
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches, ["n", "rows", "m"]):
+            rows, m = _packed(product([_unpacked(*g[3:]) for g in group]))
+            yield pd.DataFrame({"name": [group[0][0]], "n": [group[0][1]], "rows": [rows], "m": [m]})
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for group in _grouped(batches, ["n", "rows", "m", "entry", "end"]):
+            ends = inner_states([_unpacked(*g[3:5]) for g in group], int(group[0][5]), int(group[0][6]) if group[0][6] >= 0 else None)
+            out += [(g[0], g[2], a, b) for g, a, b in zip(group, [int(group[0][5]), *ends], ends, strict=False)]
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=["name", "n", "entry", "end"])
+                out = []
+        yield pd.DataFrame(out, columns=["name", "n", "entry", "end"]).astype({"n": "int64", "entry": "int32", "end": "int32"})
+
+    def in_groups(level: DataFrame) -> DataFrame:
+        dealt = level.withColumn("grp", F.floor(F.col("n") / fan).cast("long"))
+        return dealt.repartition(parts, "name", "grp").sortWithinPartitions("name", "grp", "n")
+
+    schema = "name string, n long, rows int, m binary"
+    levels = [stage(chunks.mapInPandas(matrix, schema), "matrices")]
+    most = levels[0].agg(F.max("n")).first()[0] or 0
+    while most >= fan:
+        levels.append(stage(in_groups(levels[-1]).mapInPandas(up, schema), "matrices"))
+        most //= fan
+    states = levels[-1].select("name", F.lit(0).cast("long").alias("grp")).distinct().select("name", "grp", F.lit(0).alias("entry"), F.lit(-1).alias("end"))
+    for level in reversed(levels):
+        both = level.withColumn("grp", F.floor(F.col("n") / fan).cast("long")).join(states, ["name", "grp"])
+        states = in_groups(both).mapInPandas(down, "name string, n long, entry int, end int")
+        if level is not levels[0]:
+            states = stage(states, "states").withColumnRenamed("n", "grp")
+    return states
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(key, text_crc32, ids): the ids of every whole text, without begin and end ids.
 
     Null and empty texts have no ids. Texts of more than `giant` characters are scanned in chunks, equal ones once.
@@ -227,22 +341,11 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                     part = [(name, at + i, max(0, p - margin), p, q, z[max(0, p - margin) : q + margin]) for i, (p, q) in enumerate(spans[at : at + 1000])]
                     yield pd.DataFrame(part, columns=["name", "n", "base", "p", "q", "z"])
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = large.select("name", "t").dropDuplicates(["name"]).mapInPandas(cut, "name string, n long, base long, p long, q long, z string")
-    chunks = stage(pieces.repartition("name", "n"), "chunks")
-
-    def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = lattice_of(model)
-        for b in batches:
-            found = [transfer(lattice, r.z, r.p - r.base, r.q - r.base) for r in b.itertuples()]
-            yield pd.DataFrame({"name": b["name"], "n": b["n"], "rows": [len(m) for m in found], "m": [(m == 0).astype("u1").tobytes() for m in found]})
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        found = [np.where(np.frombuffer(m, "u1").reshape(r, -1) == 1, 0.0, NEVER) for m, r in zip(group["m"], group["rows"], strict=True)]
-        ends = boundary_states(found)
-        return pd.DataFrame({"name": group["name"], "n": group["n"], "entry": [0, *ends[:-1]], "end": ends})
+    chunks = stage(pieces.repartition(parts, "name", "n"), "chunks")
 
-    states = chunks.mapInPandas(matrix, "name string, n long, rows int, m binary").groupBy("name").applyInPandas(scan, "name string, n long, entry int, end int")
+    states = boundary_states(chunks, model, fan, parts)
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = lattice_of(model)

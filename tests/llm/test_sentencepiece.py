@@ -49,3 +49,35 @@ def test_frames(lattice, docs_of, odd, empty):
     assert len(odds) == odd.count() and sum(r.doc_id is None for r in odds) == 1
     assert all(r.round_trip for r in odds)
     assert sp.encode(empty, MODEL).count() == 0
+
+
+def test_tree_of_products(lattice, docs_of):
+    """Several levels of products give the library's ids, whatever the fan."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice(["abc", " the", "ing", "漢", "  ", "zzzz"]) for _ in range(n))) for i, n in enumerate([2500, 900, 2501, 150])]
+    for fan in (2, 5):
+        found = {r.doc_id: list(r.ids) for r in sp.encode(docs_of(rows), MODEL, giant=500, chunk=100, fan=fan).collect()}
+        assert found == {i: lattice.library.encode(t) for i, t in rows}
+
+
+def test_groups_agree_with_one_chain(lattice):
+    """States inside groups, given those at the groups' ends, are those of the whole chain."""
+    text = "abcab theing  z漢" * 120
+    z = sp.spaced(text)
+    places = [*range(0, len(z), 90), len(z)]
+    chain = [sp.transfer(lattice, z, p, q) for p, q in zip(places, places[1:], strict=False)]
+    whole = sp.inner_states(chain, 0, None)
+    at = 0
+    for lo in range(0, len(chain), 4):
+        part = chain[lo : lo + 4]
+        assert sp.inner_states(part, at, whole[min(lo + 4, len(chain)) - 1]) == whole[lo : lo + 4]
+        at = whole[min(lo + 4, len(chain)) - 1]
+
+
+def test_back_pointers_without_cuts(lattice):
+    """Between two states of a stretch without spaces the pieces come from the lattice alone."""
+    text = "internationalization" * 8
+    z = sp.spaced(text)
+    ids = lattice.library.encode(text)
+    ends = np.cumsum([len(lattice.library.id_to_piece(i)) for i in ids])
+    assert lattice.piece_ids(z, lattice.way(z, (0, 0), len(z), (int(ends[-2]), int(ends[-1])))) == ids
