@@ -34,6 +34,32 @@ FPS = 25
 #: The zigzag order of JPEG.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 
+#: The Huffman tables of the JPEG standard, which motion-JPEG frames without tables are coded with: the
+#: number of codes of each length, and the first symbols; the other symbols follow in ascending order.
+STANDARD = {
+    (0, 0): ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    (0, 1): ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    (1, 0): (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    ),
+    (1, 1): (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+    ),
+}
+
+
+def standard_tables() -> dict[tuple[int, int], tuple[bytes, bytes]]:
+    out = {}
+    for (kind, number), (lengths, first) in STANDARD.items():
+        symbols = bytes.fromhex(first)
+        if kind:
+            symbols += bytes(r << 4 | n for r in range(16) for n in range(1, 11) if r << 4 | n not in symbols)
+        out[kind, number] = bytes.fromhex(lengths), symbols
+    return out
+
+
 #: The orthonormal DCT basis: pixels = DCT.T @ coefficients @ DCT.
 _grid = np.arange(8)
 DCT = (np.cos((2 * _grid[None, :] + 1) * _grid[:, None] * np.pi / 16) * np.where(_grid[:, None] == 0, np.sqrt(1 / 8), 0.5)).astype(np.float32)
@@ -90,9 +116,10 @@ class Jpeg:
 
 
 def parse_jpeg(frame: bytes) -> Jpeg:
+    """The headers of a baseline frame; without Huffman tables of its own it has those of the standard."""
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, quant, huffman, restart, size, parts = 2, {}, {}, 0, (0, 0), []
+    at, quant, huffman, restart, size, parts = 2, {}, standard_tables(), 0, (0, 0), []
     while True:
         marker, length = frame[at + 1], struct.unpack(">H", frame[at + 2 : at + 4])[0]
         body = frame[at + 4 : at + 2 + length]
@@ -341,6 +368,8 @@ def video_clips(data: bytes) -> list[Clip]:
 def _clips(planes: list[np.ndarray], frame_us: int) -> list[Clip]:
     histograms = np.array([np.bincount(p.ravel() >> 3, minlength=32) for p in planes], np.float64).reshape(len(planes), 32)
     starts = detect_shots(histograms)
+    if not starts:
+        return []
     clips = []
     for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(planes)], strict=True)):
         total = sum(int(p.sum(dtype=np.int64)) for p in planes[a:b])
@@ -378,8 +407,14 @@ def read_payload(data: bytes) -> tuple[int, bytes, list[Clip]]:
     return n, b"".join(parts)[:size], _clips(planes, avi.frame_us)
 
 
+#: What reading a damaged file may raise.
+DAMAGED = (ValueError, IndexError, KeyError, TypeError, AttributeError, struct.error)
+
+
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, media): each text stored as an AVI file. A null text is an empty one; every row stays."""
+    """(key, media): each text stored as an AVI file. A null text is an empty one; every row stays. A file takes 1.2 bytes
+    a byte of text or so, so texts near 2 GB exceed what a binary value can hold and fail.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -394,20 +429,24 @@ def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read stored payloads back: sizes, checksums, and as `feature` the timed clips.
 
-    A null media value gives nulls.
+    A null media value gives nulls. One that is no stored payload, or a damaged one, gives nulls but for its own size
+    and checksum, and `error` says why; error is null otherwise.
     """
-    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 7
+            return (None,) * 8
         data = bytes(data)
-        n, payload, clips = read_payload(data)
+        try:
+            n, payload, clips = read_payload(data)
+        except DAMAGED as e:
+            return None, None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, f"{type(e).__name__}: {e}"
         feature = f"shots={len(clips)};" + ",".join(f"{c.start_ms}-{c.end_ms}:{c.frames}:{c.brightness}" for c in clips)
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
         for batch in batches:
             rows = pd.DataFrame([one(m) for m in batch["media"]], columns=names)
             for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes"):
@@ -418,11 +457,21 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, clip, start_ms, end_ms, frames, brightness) of any motion-JPEG AVI files in a binary column `media`."""
+    """(key, clip, start_ms, end_ms, frames, brightness, error) of any motion-JPEG AVI files in a binary column `media`.
+
+    Nulls and files without frames have no clips. A damaged file has one row with its error and no clip.
+    """
+    names = [key, "clip", "start_ms", "end_ms", "frames", "brightness", "error"]
+
+    def rows_of(k: int | None, data: bytes) -> list[tuple]:
+        try:
+            return [(k, c.clip, c.start_ms, c.end_ms, c.frames, c.brightness, None) for c in video_clips(data)]
+        except DAMAGED as e:
+            return [(k, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, c.clip, c.start_ms, c.end_ms, c.frames, c.brightness) for k, m in zip(key_array(batch), batch["media"], strict=True) if m is not None for c in video_clips(bytes(m))]
-            yield pd.DataFrame(rows, columns=[key, "clip", "start_ms", "end_ms", "frames", "brightness"]).astype({key: "Int64"})
+            rows = [r for k, m in zip(key_array(batch), batch["media"], strict=True) if m is not None for r in rows_of(k, bytes(m))]
+            yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(names[:-1], "Int64"))
 
-    return media.select(*key_columns(key), "media").mapInPandas(run, f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int")
+    return media.select(*key_columns(key), "media").mapInPandas(run, f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int, error string")

@@ -71,3 +71,83 @@ def test_frames(spark, docs_of, odd, empty):
     assert md.media_features(md.with_media(empty)).count() == 0
     clips = md.clip_rows(spark.createDataFrame([(5, bytearray(md.write_avi([grey_frame(9)], 16, 16))), (6, None)], "doc_id long, media binary")).collect()
     assert [(c.doc_id, c.clip, c.end_ms) for c in clips] == [(5, 0, 40)]
+
+
+def jvm_pixels(spark, frame):
+    """Brightness of a frame by the JVM's own JPEG decoder, an independent one."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(frame))
+    raster = image.getRaster()
+    w, h = raster.getWidth(), raster.getHeight()
+    return np.array(list(raster.getSamples(0, 0, w, h, 0, spark.sparkContext._gateway.new_array(jvm.int, w * h)))).reshape(h, w)
+
+
+def jvm_frame(spark, pixels):
+    """A grey frame by the JVM's own JPEG encoder, which uses the standard tables."""
+    jvm = spark._jvm
+    h, w = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 10)
+    flat = spark.sparkContext._gateway.new_array(jvm.int, w * h)
+    for i, v in enumerate(pixels.ravel().tolist()):
+        flat[i] = v
+    image.getRaster().setSamples(0, 0, w, h, 0, flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def without_tables(frame):
+    """The frame without its Huffman tables, as ordinary motion-JPEG files have it."""
+    at, out = 2, frame[:2]
+    while frame[at + 1] != 0xDA:
+        end = at + 2 + struct.unpack(">H", frame[at + 2 : at + 4])[0]
+        out += b"" if frame[at + 1] == 0xC4 else frame[at:end]
+        at = end
+    return out + frame[at:]
+
+
+def squared(blocks, w, h):
+    """Blocks in raster order as an image."""
+    return blocks.reshape(-1, w // 8, 8, 8).transpose(0, 2, 1, 3).reshape(-1, w)[:h]
+
+
+def test_frames_against_another_decoder(spark):
+    """Pixels and features of stored payloads as an independent decoder sees them."""
+    stored = md.store_payload(bytes(range(256)) * 20 + b"\x80\x7f" * 500)
+    avi = md.parse_avi(stored)
+    planes = []
+    for at, size in avi.frames:
+        frame = stored[at : at + size]
+        theirs = jvm_pixels(spark, frame)
+        ours = squared(md.decode_luma(frame), avi.width, avi.height).astype(int)
+        assert np.abs(ours - theirs).max() <= 1
+        planes.append(theirs)
+    clips = md.video_clips(stored)
+    assert sum(c.frames for c in clips) == len(planes)
+    assert all(abs(c.brightness - np.mean([p.mean() for p in planes[c.start_ms // 40 : c.end_ms // 40]])) <= 1 for c in clips)
+
+
+def test_frames_without_tables(spark):
+    rnd = np.random.default_rng(3)
+    pixels = np.clip(np.add.outer(np.arange(24) * 4, np.arange(32) * 3) + rnd.integers(-20, 20, (24, 32)), 0, 255).astype(int)
+    frame = jvm_frame(spark, pixels)
+    bare = without_tables(frame)
+    assert b"\xff\xc4" not in bare
+    theirs = jvm_pixels(spark, frame)
+    assert np.abs(squared(md.decode_luma(bare), 32, 24).astype(int) - theirs).max() <= 1
+    clips = md.video_clips(md.write_avi([bare] * 3, 32, 24))
+    assert [(c.start_ms, c.end_ms, c.frames) for c in clips] == [(0, 120, 3)]
+
+
+def test_damaged_rows(spark):
+    """Damaged files give an error in their own row and harm no other."""
+    fine = md.store_payload(b"some text")
+    cut = fine[: fine.index(b"movi") + 20]
+    rows = [(1, fine), (2, b"no avi"), (3, md.write_avi([], 16, 16)), (4, md.write_avi([b"\xff\xd8\xff\xc0 broken"], 16, 16)), (5, None), (6, b""), (7, cut)]
+    media = spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "doc_id long, media binary")
+    found = {r.doc_id: r for r in md.media_features(media).collect()}
+    assert found[1].error is None and found[1].n_bytes == 9
+    assert all(found[i].error and found[i].n_bytes is None and found[i].media_bytes == len(m) for i, m in rows if i in (2, 3, 4, 6))
+    assert found[5].error is None and found[5].media_bytes is None
+    clips = {r.doc_id: r for r in md.clip_rows(media).collect()}
+    assert set(clips) - {7} == {1, 2, 4, 6} and clips[1].error is None and all(clips[i].error and clips[i].clip is None for i in (2, 4, 6))
