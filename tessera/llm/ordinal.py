@@ -29,7 +29,8 @@ from .common import held
 BUCKETS = 1 << 17
 #: The documented bound of the training sample: labelled rows with the smallest hashes.
 SAMPLE_ROWS = 6_000
-
+#: Buckets met in fewer training rows get no weight, since so few rows do not tell what they mean.
+SUPPORT = 5
 
 PREFIXES = (2, 3, 4)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -47,7 +48,7 @@ class TokenBuckets(dict):
         word = "".join(LETTERS.findall(token))
         rest = LETTERS.sub("", token)
         case = "U" if len(word) > 1 and word.isupper() else "l"
-        shape = f"{case}{'d' if re.search(r'[0-9]', rest) else re.sub(r'(.)\1+', r'\1+', rest)[:8]}"
+        shape = f"{case}{'d' if re.search(r'[0-9]', rest) else re.sub(r'(.)\1+', r'\1+', rest)}"
         word = word.lower()
         row = len(self)
         self.table[row] = [_bucket("w", word), _bucket("s", shape), *(_bucket("p", word[:n]) for n in PREFIXES)]
@@ -109,12 +110,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, ridge: float = 3.0, rate: float = 0.1, steps: int = 200) -> OrdinalModel:
-    """Maximum likelihood with a ridge, by Adam over all rows. Buckets met in fewer than 5 rows, or one row in 400, are left out."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, ridge: float = 3.0, rate: float = 0.1, steps: int = 200, support: int = SUPPORT) -> OrdinalModel:
+    """Maximum likelihood with a ridge, by Adam over all rows, with steps that shrink to nothing so that it settles."""
     if not len(rows) or levels < 2:
         return OrdinalModel(np.zeros(0, int), np.zeros(0), np.arange(levels - 1, dtype=float) - 10.0)
     flat = np.concatenate(rows)
-    kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= max(5, len(rows) // 400))
+    kept = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= support)
     column = np.full(BUCKETS, -1, np.int32)
     column[kept] = np.arange(len(kept), dtype=np.int32)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
@@ -139,12 +140,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, ridge: float =
         dgap = np.exp(p[k + 1 :]) * np.array([dt[j + 1 :].sum() for j in range(levels - 2)])
         g = np.concatenate([np.bincount(column, ds[owner], minlength=k) + ridge * p[:k], [dt.sum()], dgap]) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p -= rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     t = p[k] + np.concatenate([[0.0], np.cumsum(np.exp(p[k + 1 :]))])
     return OrdinalModel(kept, p[:k].copy(), t)
 
 
-def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text") -> OrdinalModel:
+def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SAMPLE_ROWS, support: int = SUPPORT, key: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on the graded rows (key, grade) with the smallest hashes, sample_rows at most; their ids are broadcast.
 
     Rows with a null key or grade are left out; a key with several grades takes the lowest.
@@ -160,7 +161,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SA
                 yield pd.DataFrame({"grade": part["grade"], "h": part["h"], "x": [features(t) for t in part["t"]]})
 
     data = texts.mapInPandas(run, "grade int, h long, x array<int>").orderBy("h", "grade", "x").limit(sample_rows).toPandas()
-    return fit([np.asarray(x, np.int32) for x in data["x"]], data["grade"].to_numpy(np.int64), levels)
+    return fit([np.asarray(x, np.int32) for x in data["x"]], data["grade"].to_numpy(np.int64), levels, support=support)
 
 
 def _graded(docs: DataFrame, model: OrdinalModel, text: str, keep_tail: int | None, threshold: float) -> DataFrame:
