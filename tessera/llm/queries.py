@@ -41,9 +41,11 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled urls are those of pages that show labelled documents."""
     from .urls import RULES, filter_urls, labelled_urls
 
-    return filter_urls(table(spark, sf_dir, "pages"), labelled_urls(spark), RULES)
+    pages, docs, labels = (table(spark, sf_dir, name) for name in ("pages", "documents", "labels"))
+    return filter_urls(pages, labelled_urls(pages, docs, labels), RULES)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
