@@ -36,6 +36,8 @@ EXACT, EXACT_SINGLE = 2.0**53, 2.0**24
 #: The documented bound of the sample that pivots are chosen from: the rows with the smallest hashes.
 SAMPLE_ROWS = 1024
 NOTHING = -np.inf
+#: Distances are stored as single floats; differences of two of them are exact to this part of the greater one.
+ROUNDING = 5e-7
 #: Candidates of the first slice; each later one is four times as long.
 SLICE = 64
 
@@ -89,9 +91,10 @@ def _wide(data: bytes, n: int, dim: int) -> np.ndarray:
 
 def _block(blk: int, dim: int, ids: np.ndarray, own: np.ndarray, data: np.ndarray, table: np.ndarray, best: np.ndarray | None = None) -> tuple:
     """own: (block, place) of each vector, which tells rows with equal ids apart."""
+    table = table.astype("<f4")
     lo, hi = (table.min(1), table.max(1)) if len(table) else (np.zeros(0), np.zeros(0))
     norm = float((data.astype(np.float64) ** 2).sum(1).max())
-    return blk, dim, len(ids), ids.astype("<i8").tobytes(), own.astype("<i8").tobytes(), _narrow(data), table.astype("<f8").tobytes(), lo.tolist(), hi.tolist(), norm, None if best is None else best.astype("<f8").tobytes()
+    return blk, dim, len(ids), ids.astype("<i8").tobytes(), own.astype("<i8").tobytes(), _narrow(data), table.tobytes(), lo.tolist(), hi.tolist(), norm, None if best is None else best.astype("<f8").tobytes()
 
 
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
@@ -140,7 +143,7 @@ def _questions(batches: Iterator[pd.DataFrame], every: int, size: int, k: int, p
     for batch in batches:
         for b in batch.itertuples():
             ids, own, data = np.frombuffer(b.ids, "<i8"), np.frombuffer(b.own, "<i8").reshape(-1, 2), _wide(b.data, b.n, b.dim)
-            table = np.frombuffer(b.tab, "<f8").reshape(-1, b.n).T
+            table = np.frombuffer(b.tab, "<f4").reshape(-1, b.n).T
             asked = np.flatnonzero(ids % every == 0)
             for at in range(0, len(asked), size):
                 part = asked[at : at + size]
@@ -151,23 +154,24 @@ def _questions(batches: Iterator[pd.DataFrame], every: int, size: int, k: int, p
         yield block(dim)
 
 
-def _greatest(both: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The greatest score at a distance of low or more, with room for the rounding of the distances, whose squares are
-    exact to a few parts in 1e15 of the norms. both: the sum of the two squared norms."""
-    return (both - low**2) / 2 + 1e-9 * both + 1e-6 + 1e-6 * low * np.sqrt(both + 1)
+def _greatest(both: np.ndarray, low: np.ndarray, most: float) -> np.ndarray:
+    """The greatest score at a distance of low or more, with room for the rounding of the distances. both: the sum of
+    the two squared norms; most: the greatest distance that low comes from."""
+    low = np.maximum(low - ROUNDING * most, 0).astype(np.float64)
+    return (both - low**2) / 2 + 1e-9 * both + 1e-6
 
 
-def search_block(q: np.ndarray, place: int, of_query: np.ndarray, least: float, ids: np.ndarray, rows: np.ndarray, table: np.ndarray, norm: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
+def search_block(q: np.ndarray, place: int, of_query: np.ndarray, least: float, ids: np.ndarray, rows: np.ndarray, table: np.ndarray, norm: np.ndarray, most: float, k: int) -> tuple[list[tuple[int, int]], int]:
     """The k best (-score, id) of one block for a query, of those that reach `least`, and how many were evaluated.
 
-    place: the query's own place in the block, or -1. table: (pivot, row).
+    place: the query's own place in the block, or -1. table: (pivot, row). most: the greatest distance to a pivot.
     """
     own = float((q.astype(np.float64) ** 2).sum())
-    low = np.zeros(len(ids))
+    low, gap = np.zeros(len(ids), table.dtype), np.empty(len(ids), table.dtype)
     for p in range(len(table)):
-        np.maximum(low, np.abs(table[p] - of_query[p]), out=low)
-    both = norm + own
-    bound = _greatest(both, low)
+        np.subtract(table[p], of_query[p], out=gap)
+        np.maximum(low, np.abs(gap, out=gap), out=low)
+    bound = _greatest(norm + own, low, most)
     if place >= 0:
         bound[place] = NOTHING
     able = np.flatnonzero(bound >= least) if least > NOTHING else np.delete(np.arange(len(ids)), [place] if place >= 0 else [])
@@ -193,18 +197,20 @@ def _search(batches: Iterator[pd.DataFrame], k: int, report: bool) -> Iterator[p
     for batch in batches:
         out: list[tuple] = []
         for b in batch.itertuples():
-            data, table, ids = _wide(b.data, b.n, b.dim), np.frombuffer(b.tab, "<f8").reshape(-1, b.n), np.frombuffer(b.ids, "<i8")
+            data, table, ids = _wide(b.data, b.n, b.dim), np.frombuffer(b.tab, "<f4").reshape(-1, b.n), np.frombuffer(b.ids, "<i8")
             if b.side == 0:
                 held = b.r, ids, data, table, (data.astype(np.float64) ** 2).sum(1)
                 lo, hi, norm = np.asarray(b.lo), np.asarray(b.hi), b.norm
+                reach = float(hi.max(initial=0))
                 continue
             assert held is not None and held[0] == b.r
             own, least = np.frombuffer(b.own, "<i8").reshape(-1, 2), np.frombuffer(b.best, "<f8")
             low = np.maximum(table - hi[:, None], lo[:, None] - table).max(0, initial=0) if len(table) else np.zeros(b.n)
-            upper = _greatest(norm + (data.astype(np.float64) ** 2).sum(1), low)
+            most = max(reach, float(table.max(initial=0)))
+            upper = _greatest(norm + (data.astype(np.float64) ** 2).sum(1), low, most)
             for i in np.flatnonzero(upper >= least):
                 place = int(own[i, 1]) if own[i, 0] == b.r else -1
-                best, done = search_block(data[i], place, table[:, i], float(least[i]), *held[1:], k)
+                best, done = search_block(data[i], place, table[:, i], float(least[i]), *held[1:], most, k)
                 if report:
                     out.append((b.blk, *own[i], ids[i], 0, 0, done, len(held[1]) - (place >= 0)))
                 else:
@@ -229,9 +235,10 @@ def _raised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _upper(a: str, b: str) -> Column:
     """The greatest score that any vectors of two blocks can have: of each pivot, the gap between the ranges of distances."""
     gaps = F.zip_with(F.arrays_zip(f"{a}.lo", f"{a}.hi"), F.arrays_zip(f"{b}.lo", f"{b}.hi"), lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"], F.lit(0.0)))
-    low = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    most = F.greatest(F.array_max(f"{a}.hi"), F.array_max(f"{b}.hi"))
+    low = F.greatest(F.coalesce(F.array_max(gaps) - most * ROUNDING, F.lit(0.0)), F.lit(0.0))
     both = F.col(f"{a}.norm") + F.col(f"{b}.norm")
-    return (both - low * low) / 2 + both * 1e-9 + 1e-6 + low * F.sqrt(both + 1) * 1e-6
+    return (both - low * low) / 2 + both * 1e-9 + 1e-6
 
 
 def _met(pairs: DataFrame, blocks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -303,7 +310,7 @@ def top_k(
     k: int = 5,
     query_every: int = 50,
     scale: float = 256.0,
-    pivots: int = 64,
+    pivots: int = 128,
     query_block: int = 512,
     row_block: int = 4096,
     key: str = "vec_id",
@@ -326,7 +333,7 @@ def elimination(
     k: int = 5,
     query_every: int = 50,
     scale: float = 256.0,
-    pivots: int = 64,
+    pivots: int = 128,
     query_block: int = 512,
     row_block: int = 4096,
     key: str = "vec_id",

@@ -80,9 +80,10 @@ def test_bounds_stop_exactly():
         rows = rnd.integers(-6, 7, (90, 4)).astype(np.float32)
         ids, q = rnd.permutation(90).astype(np.int64), rnd.integers(-6, 7, 4).astype(np.float32)
         pivots = spread_pivots(rows.astype(float), trial % 9)
-        table = np.sqrt(((pivots[:, None] - rows[None]) ** 2).sum(2)) if len(pivots) else np.zeros((0, 90))
-        of_query = np.sqrt(((pivots - q) ** 2).sum(1))
+        table = np.sqrt(((pivots[:, None] - rows[None]) ** 2).sum(2)).astype(np.float32) if len(pivots) else np.zeros((0, 90), np.float32)
+        of_query = np.sqrt(((pivots - q) ** 2).sum(1)).astype(np.float32)
+        most = float(max(table.max(initial=0), of_query.max(initial=0)))
         least = float(rnd.integers(-20, 60)) if trial % 3 else -np.inf
-        best, done = search_block(q, 7, of_query, least, ids, rows, table, (rows.astype(float) ** 2).sum(1), 5)
+        best, done = search_block(q, 7, of_query, least, ids, rows, table, (rows.astype(float) ** 2).sum(1), most, 5)
         scores = sorted((-int(s), int(i)) for p, (s, i) in enumerate(zip(rows @ q, ids, strict=True)) if p != 7 and s >= least)
         assert best == scores[:5] and done <= 89
