@@ -323,10 +323,9 @@ def near_duplicates_removed(docs: DataFrame, threshold: float = 0.8, n: int = 5,
     and stay once for each key and text.
     """
     found = _joined(docs.select(key, text), threshold, n, recall, key, text)
-    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "h"))
-    kept = found.where(~F.col("alone")).groupBy("component").agg(least.alias("m")).select(F.col("m.k").alias("_key"), F.col("m.h").alias("_h"))
-    kept = kept.unionByName(found.where("alone").select(F.col(key).alias("_key"), F.col("h").alias("_h")).distinct())
+    none, known = F.col(key).isNull().alias("_none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key")
+    first = found.where(~F.col("alone")).groupBy("component").agg(F.min(F.struct(none, known, F.col("h").alias("_h"))).alias("m")).select("m.*")
+    kept = first.unionByName(found.where("alone").select(none, known, F.col("h").alias("_h")).distinct())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), text_hash(F.col(text)).alias("_h"), F.col(key).cast("long").alias("_key"))
-    same = rows["_key"].eqNullSafe(kept["_key"]) & (rows["_h"] == kept["_h"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_key", "_h"]).select("row.*")
+    rows, same = docs.select(row.alias("row"), text_hash(F.col(text)).alias("_h"), known, none), ["_none", "_key", "_h"]
+    return rows.join(kept, same, "left_semi").dropDuplicates(same).select("row.*")
