@@ -29,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_staged: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _staged.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _staged[-1]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -44,6 +48,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the staged tables and files that this process wrote, once no result that reads them is needed any more;
+    returns how many folders went."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _staged:
+        path = paths(_staged.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def utf8_size(text: Column) -> Column:
     """UTF-8 bytes of a text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -23,6 +23,7 @@ from .common import stage, utf8_size
 
 GRID = 4096
 WAYS = 16
+LEAST_BLOCKS, BLOCK_TOKENS = 256, 4_000_000
 
 
 def token_estimate(text: Column) -> Column:
@@ -80,7 +81,7 @@ def mix(
     entropy: float = 0.95,
     max_repeat: float = 2.0,
     budget: int | None = None,
-    blocks: int = 256,
+    blocks: int | None = None,
     seed: int = 17,
     key: str = "doc_id",
     text: str = "text",
@@ -94,6 +95,9 @@ def mix(
     A null source is a source of its own; null and empty texts count one token; equal rows all stay; a row that comes
     in several epochs is returned once for each; an empty table gives an empty result.
     """
+    if blocks is None:
+        corpus = docs.agg(F.sum(token_estimate(F.col(text)))).first()[0] or 0
+        blocks = max(LEAST_BLOCKS, -(-corpus // BLOCK_TOKENS))
     made = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
         made.alias("row"),

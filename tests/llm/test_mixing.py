@@ -61,3 +61,20 @@ def test_odd_rows(odd, empty):
     made = mixed_documents(odd)
     assert made.columns == odd.columns and made.count() == odd.count()
     assert mixed_documents(empty).count() == 0
+
+
+def test_blocks_grow_with_the_corpus(docs_of, monkeypatch):
+    from tessera.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5)
+    made = mix(table(docs_of))
+    assert made.agg(F.max("mix_block")).first()[0] > mixing.LEAST_BLOCKS
+    assert made.select("row.doc_id").distinct().count() == table(docs_of).count()
+
+
+def test_staged_tables_go(spark, docs_of):
+    from tessera.llm import common
+
+    common._staged.clear()
+    kept = common.stage(docs_of([(1, "x")]), "some")
+    assert kept.count() == 1 and common.drop_staged(spark) == 1 and not common._staged
