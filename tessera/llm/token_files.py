@@ -5,7 +5,8 @@ One file holds the documents of one range of doc_id, in ascending order:
     frame 0 | frame 1 | ... | document index (skippable frame) | seek table (skippable frame)
 
 Each frame holds the ids of some consecutive documents as little-endian unsigned 32-bit integers and decompresses on
-its own. The document index lists (frame, offset in the frame, ids) of each document. The seek table comes last and
+its own; a document longer than a frame goes on in frames of its own. The document index lists (frame, offset in the
+frame, ids) of each document. The seek table comes last and
 follows the public seekable format: compressed size, decompressed size and checksum (the low 32 bits of xxh64) of each
 frame, then the number of frames, a flag byte and a magic number. A reader fetches the last bytes, then the table,
 then only the frames of the documents asked for, and checks each against its checksum.
@@ -37,6 +38,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 18
+FILE_BYTES, MOST_FILES = 128 << 20, 100_000
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("ids", "<u8")])
 
 
@@ -56,11 +58,16 @@ class FrameWriter:
         self.index: list[tuple[int, int, int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.index.append((doc_id or 0, doc_id is None, len(self.frames), self.filled, len(ids) // 4))
-        self.open.append(ids)
-        self.filled += len(ids)
-        if self.filled >= self.limit:
+        if len(ids) > self.limit and self.filled:
             self._close_frame()
+        self.index.append((doc_id or 0, doc_id is None, len(self.frames), self.filled, len(ids) // 4))
+        whole = self.limit // 4 * 4
+        for at in range(0, len(ids), whole) if len(ids) > self.limit else [0]:
+            part = ids[at : at + whole] if len(ids) > self.limit else ids
+            self.open.append(part)
+            self.filled += len(part)
+            if self.filled >= whole:
+                self._close_frame()
 
     def _close_frame(self) -> None:
         raw = b"".join(self.open)
@@ -114,10 +121,17 @@ class FrameReader:
     def document(self, n: int) -> np.ndarray:
         """The ids of the n-th document."""
         d = self.index[n]
-        return np.frombuffer(self.frame(int(d["frame"])), "<u4", int(d["ids"]), int(d["offset"])) if d["ids"] else np.zeros(0, "<u4")
+        k, at, left, parts = int(d["frame"]), int(d["offset"]), 4 * int(d["ids"]), []
+        while left:
+            parts.append(self.frame(k)[at : at + left])
+            k, at, left = k + 1, 0, left - len(parts[-1])
+        return np.frombuffer(b"".join(parts), "<u4")
 
     def find(self, doc_id: int) -> list[int]:
-        return [int(n) for n in np.flatnonzero((self.index["doc_id"] == doc_id) & (self.index["null"] == 0))]
+        """The places of the documents with this id, by binary search; nulls come first and are not looked at."""
+        first = int(self.index["null"].sum())
+        lo, hi = (int(np.searchsorted(self.index["doc_id"][first:], doc_id, side)) for side in ("left", "right"))
+        return list(range(first + lo, first + hi))
 
 
 #: Letters (lower case) and numbers that the quick split knows; texts with other characters take the library's own way.
@@ -193,15 +207,26 @@ def _bounded(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def _estimated_bytes(docs: DataFrame) -> int:
+    """The size of one source as the planner knows it; 0 if it does not, or where several sources meet."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else 0
+
+
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Encode and write docs under path; returns the manifest (part, file, documents, ids), part in ascending order of key.
+    """Encode and write docs under path; returns the manifest (part, file, documents, ids, first, last), part in ascending
+    order of key; first and last are the least and greatest key of a file, null if it has only null keys.
 
     A task writes under a name of its own, so an attempt that is lost or repeated harms no other; only files in the
-    manifest count.
+    manifest count. There are as many files as the tables' estimated size asks for. Rows of one key are ordered by their
+    text's hash and then by their place, so that a key with very many rows is spread over several files.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_FILES, -(-_estimated_bytes(docs) // FILE_BYTES)))
+    given = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t"), F.col("place")]
+    ordered = given.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -224,9 +249,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
         if out is not None:
             writer.finish()
             out.close()
-            yield pd.DataFrame({"file": [name], "documents": [len(writer.index)], "ids": [ids]})
+            known = [i[0] for i in writer.index if not i[1]]
+            ends = pd.array([known[0], known[-1]] if known else [pd.NA, pd.NA], "Int64")
+            yield pd.DataFrame({"file": [name], "documents": [len(writer.index)], "ids": [ids], "first": ends[:1], "last": ends[1:]})
 
-    written = ordered.select(*key_columns("k"), "t").mapInPandas(run, "file string, documents long, ids long")
+    written = ordered.select(*key_columns("k"), "t").mapInPandas(run, "file string, documents long, ids long, first long, last long")
     return stage(written.withColumn("part", F.spark_partition_id()), "manifest")
 
 
@@ -260,11 +287,49 @@ def read_files(manifest: DataFrame, path: str, key: str = "doc_id") -> DataFrame
     return listed.mapInPandas(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(manifest: DataFrame, path: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ids): the ids of each document whose key is in `wanted` (key), once for each such document.
+
+    The files that can hold a key follow from the manifest's ends; of these only the index and the frames of wanted
+    documents are read. Null and unknown keys have no row; repeated wanted keys count once.
+    """
+    files = sorted((r.first, r.last, r.file) for r in manifest.where("first is not null").select("first", "last", "file").collect())
+    first, last = (np.array([f[i] for f in files], np.int64) for i in (0, 1))
+    names = [f[2] for f in files]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            k = batch["k"].to_numpy(np.int64)
+            lo, hi = np.searchsorted(last, k, "left"), np.searchsorted(first, k, "right")
+            n = np.maximum(hi - lo, 0)
+            at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if n.sum() else np.zeros(0, int)
+            yield pd.DataFrame({"file": [names[i] for i in at], "k": np.repeat(k, n)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, rows in batch.groupby("file", sort=False):
+                with fs.open_input_file(name) as f:
+                    reader, out, held = FrameReader(f), [], 0
+                    for k in rows["k"]:
+                        for n in reader.find(int(k)):
+                            out.append((k, reader.document(n).astype("<i8")))
+                            held += len(out[-1][1])
+                            if held > 1_000_000:
+                                yield pd.DataFrame(out, columns=[key, "ids"])
+                                out, held = [], 0
+                    yield pd.DataFrame(out, columns=[key, "ids"]).astype({key: "int64"})
+
+    asked = wanted.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
+    found = asked.mapInPandas(place, "file string, k long").repartition("file").sortWithinPartitions("file", "k")
+    return found.mapInPandas(run, f"{key} long, ids array<long>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents' ids to files and read them back: (key, start, n_tokens, ids_crc32).
 
     Null texts are empty texts: their ids are the end id alone. Null keys come first; rows with equal keys follow one
-    another in the order of their texts; an empty table writes no file and gives an empty result. A text of any length
+    another in the order of their texts' hashes; an empty table writes no file and gives an empty result. A text of any length
     is encoded whole. Other columns are not looked at. path: a folder that all executors reach, as a URI.
     """
     path = path or fresh_dir(docs.sparkSession, "ids")

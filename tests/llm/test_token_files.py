@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -58,3 +59,54 @@ def test_frames(docs_of, odd, empty):
     assert len(odds) == odd.count() and odds[0].doc_id is None
     assert [r.start for r in odds] == [sum(x.n_tokens for x in odds[:i]) for i in range(len(odds))]
     assert tf.token_files(empty, PATH).count() == 0
+
+
+def test_random_texts_equal_library():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(11)
+    alphabet = [*"abcXYZ019 '-_.,!?\n\t", " the", "'s", "'ll", "ing", "é", "ß", "ñ", "²", "½", "Œ", "\u00a0", "«", "漢"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
+    library = Tokenizer.from_file(PATH)
+    found = tf.WordEncoder(PATH).encode(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_documents_go_on_in_frames():
+    out = io.BytesIO()
+    writer = tf.FrameWriter(out, frame_bytes=64)
+    docs = [(1, 3), (2, 200), (3, 16), (4, 17), (5, 0), (6, 1), (7, 40)]
+    for d, n in docs:
+        writer.add(d, np.arange(n, dtype="<u4").tobytes())
+    writer.finish()
+    reader = tf.FrameReader(io.BytesIO(out.getvalue()))
+    assert reader.frames[:, 1].max() <= 128
+    assert [reader.document(n).tolist() for n in range(len(docs))] == [list(range(n)) for _, n in docs]
+
+
+def test_requested_documents_only(spark, docs_of, monkeypatch, tmp_path):
+    """Reading some documents gives their ids, and opens no frame without one of them."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    rows = [(i // 2, f"some words of text {i} " * 20) for i in range(400)] + [(None, "no key")]
+    path = f"file://{tmp_path}/ids"
+    manifest = tf.write_files(docs_of(rows), path, PATH, 2, partitions=5)
+    wanted = [3, 77, 77, 150, 9999, None]
+    found = tf.read_documents(manifest, path, spark.createDataFrame([(i,) for i in wanted], "doc_id long"))
+    right = sorted((i, [*library.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows if i in {3, 77, 150})
+    assert sorted((r.doc_id, list(r.ids)) for r in found.collect()) == right
+    assert tf.read_documents(manifest, path, spark.createDataFrame([], "doc_id long")).count() == 0
+    files = manifest.where("first is not null").collect()
+    with open(files[0].file, "rb") as f:
+        reader = tf.FrameReader(f)
+        reader.document(reader.find(files[0]["first"])[0])
+        assert reader.fetched == 1
+
+
+def test_one_key_over_several_files(docs_of):
+    """A key, null or not, that holds most rows is spread over files, and starts still add up."""
+    rows = [(None, f"text {i % 50}") for i in range(300)] + [(5, "same")] * 200
+    found = sorted(tf.token_files(docs_of(rows), PATH).collect(), key=lambda r: r.start)
+    assert len(found) == 500 and [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(500)]
+    assert [r.doc_id for r in found] == [None] * 300 + [5] * 200
