@@ -373,6 +373,20 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, text string")
 
 
+def checked(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
+    """(key, text_crc32, ids, round_trip) of rows (key, text_crc32, ids): whether the decoded ids give the text again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lib = lattice_of(model).library
+        for b in batches:
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                same = [zlib.crc32(lib.decode(x.tolist()).encode()) == c for x, c in zip(part["ids"], part["text_crc32"], strict=True)]
+                yield pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"], "ids": part["ids"], "round_trip": same})
+
+    return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, round_trip boolean")
+
+
 def ids_checksum(ids: np.ndarray) -> int:
     """crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
