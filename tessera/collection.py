@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import EngineError
+from .functions.documents import nested
 from .functions.text import Analyzer
-from .operators.index import TextIndex, dense_numbers
+from .operators.index import TextIndex, by_token, dense_numbers
 from .operators.rank import PinRule
 from .operators.score import SCORERS, Scorer
 from .schema import Schema, conform_columns, python_document
@@ -32,9 +35,14 @@ HOOKS = [
     if not (what == "Search" and many)
 ] + ["beforeLoad", "afterLoad", "afterCreate"]
 
-#: The components that may be replaced.
+#: The components that may be replaced. getDocumentIndexId(document) gives an id;
+#: getDocumentProperties(document, paths) the values that are indexed, by path; a sorter sorts like rank.sort_by; pinning
+#: gives the pins of a term like rank.active_pins. Documents are always stored as tables.
 FUNCTION_COMPONENTS = ["validateSchema", "getDocumentIndexId", "getDocumentProperties", "formatElapsedTime"]
-OBJECT_COMPONENTS = ["tokenizer", "index", "documentsStore", "sorter", "pinning"]
+OBJECT_COMPONENTS = ["tokenizer", "index", "sorter", "pinning"]
+
+#: Documents that wait in memory before they become a table.
+PENDING = 10_000
 
 
 @dataclass
@@ -45,6 +53,7 @@ class Plugin:
     hooks: dict[str, Callable] = field(default_factory=dict)
     components: dict[str, Any] = field(default_factory=dict)
     extra: Any = None
+    frame: Callable[[Collection, DataFrame], DataFrame] | None = None  # what it makes of frames that are inserted
 
 
 class Collection:
@@ -92,8 +101,12 @@ class Collection:
         self.scorer: Scorer = SCORERS[chosen] if isinstance(chosen, str) else chosen
         self.sort_enabled, self.unsortable = sort_enabled, frozenset(unsortable)
         self.pins: dict[str, PinRule] = {}
-        self._docs = spark.createDataFrame([], self._row_type())
-        self._next = 1
+        self.positions: DataFrame | None = None
+        self._base = spark.createDataFrame([], self._row_type())
+        self._empty = True
+        self._pending: dict[str, tuple] = {}
+        self._view: DataFrame | None = None
+        self._next: int | None = 1
         self._index: TextIndex | None = None
         self._run("afterCreate", self)
 
@@ -108,8 +121,21 @@ class Collection:
         """(_iid, id, properties, _extra as JSON)"""
         return self._docs
 
-    def _set(self, docs: DataFrame) -> None:
-        self._docs, self._index = docs, None
+    @property
+    def _docs(self) -> DataFrame:
+        """Documents inserted one by one wait in memory, PENDING at most, and are one branch of the plan."""
+        if self._view is None:
+            self._view = self._base.unionByName(self.spark.createDataFrame(list(self._pending.values()), self._row_type())) if self._pending else self._base
+        return self._view
+
+    def _set(self, docs: DataFrame, index: TextIndex | None = None) -> None:
+        self._base, self._empty, self._pending, self._view, self._index = docs, False, {}, docs, index
+
+    def _first_free(self) -> int:
+        """The next internal id; looked up once after a load that brought its own."""
+        if self._next is None:
+            self._next = (self._docs.agg(F.max("_iid")).first()[0] or 0) + 1
+        return self._next
 
     @property
     def index(self) -> TextIndex:
@@ -125,7 +151,7 @@ class Collection:
         """Write documents and index out and go on from the files."""
         save(self, path)
         fresh = load(self.spark, path, self)
-        self._docs, self._index = fresh._docs, fresh._index
+        self._set(fresh._docs, fresh._index)
         return self
 
     def _run(self, hook: str, *args: Any) -> None:
@@ -135,35 +161,58 @@ class Collection:
     # ---- insert ----
 
     @staticmethod
-    def from_dataframe(spark: SparkSession, schema: dict, frame: DataFrame, id_column: str, iid: str | None = None, **options) -> Collection:
+    def from_dataframe(spark: SparkSession, schema: dict, frame: DataFrame, id_column: str, iid: str | None = None, unique: bool = False, **options) -> Collection:
         """A collection of a frame's rows. iid: a unique integral column that gives the order of insertion; without
-        one, rows are numbered in the order of their ids."""
+        one, rows are numbered in the order of their ids. unique: see insert_dataframe."""
         made = Collection(spark, schema, **options)
-        made.insert_dataframe(frame, id_column, iid)
+        made.insert_dataframe(frame, id_column, iid, unique)
         return made
 
-    def insert_dataframe(self, frame: DataFrame, id_column: str | None = None, iid: str | None = None) -> Collection:
+    def _check_new(self, rows: DataFrame, iid: str | None) -> None:
+        """Raise if ids repeat among new rows (_id, _iid), or with the documents that are there: narrow aggregates."""
+        keys = {"_id": "id", "_iid": "_iid"} if iid else {"_id": "id"}
+        for new, old in keys.items():
+            every = rows.select(F.col(new).alias("k")) if self._empty and not self._pending else rows.select(F.col(new).alias("k")).union(self._docs.select(old))
+            again = every.where("k is not null").groupBy("k").count().where("count > 1").select("k").head(1)
+            if again or (new == "_iid" and rows.where("_iid is null").head(1)):
+                raise EngineError("DOCUMENT_ALREADY_EXISTS", again[0].k if again else None)
+
+    def insert_dataframe(self, frame: DataFrame, id_column: str | None = None, iid: str | None = None, unique: bool = False) -> Collection:
+        """Insert a frame's rows. Ids, and internal ids where iid names them, that repeat or are there already raise
+        DOCUMENT_ALREADY_EXISTS. unique: the caller knows that none do (a primary key), so nothing is looked up."""
+        for f in self._frame_hooks():
+            frame = f(self, frame)
         self._run("beforeInsertMultiple", self, frame)
         keys = [(F.col(f"`{id_column}`").cast("string") if id_column else F.uuid()).alias("_id")]
         keys += [F.col(f"`{iid}`").cast("long").alias("_iid")] if iid else []
         names = [n for n in frame.columns if n in self.schema.nested]
         rows = frame.select(*keys, *[F.col(f"`{n}`") for n in names])
+        if not unique and (id_column or iid):
+            self._check_new(rows, iid)
         if iid is None:
-            rows = dense_numbers(rows, ["_id"], "_iid", self._next)
-            self._next += rows.count()
+            first = self._first_free()
+            rows = dense_numbers(rows, ["_id"], "_iid", first)
+            self._next = first + rows.count()
+        else:
+            self._next = None
         body = conform_columns(rows, self.schema, skip=("id",))
         self._set(self._docs.unionByName(rows.select("_iid", F.col("_id").alias("id"), *body, F.lit(None).cast("string").alias("_extra"))))
         self._run("afterInsertMultiple", self, frame)
         return self
 
+    def _frame_hooks(self) -> list[Callable[[Collection, DataFrame], DataFrame]]:
+        """What plugins make of frames before they are inserted."""
+        return [p.frame for p in self.plugins if p.frame is not None]
+
     def _python_rows(self, documents: list[dict]) -> list[tuple]:
         rows, names = [], [f.name for f in self._row_type().fields][2:-1]
+        id_of, values_of = self.components.get("getDocumentIndexId"), self.components.get("getDocumentProperties")
         for d in documents:
-            given = d.get("id")
+            given = id_of(d) if id_of else d.get("id")
             if given is not None and not isinstance(given, str):
                 raise EngineError("DOCUMENT_ID_MUST_BE_STRING", type(given).__name__)
             self._validate(d)
-            made = python_document(self.schema, d)
+            made = python_document(self.schema, nested(values_of(d, list(self.schema.types))) if values_of else d)
             extra = {k: v for k, v in d.items() if k not in self.schema.nested and k != "id"}
             rows.append((given or uuid.uuid4().hex, *[made.get(n) for n in names], json.dumps(extra) if extra else None))
         return rows
@@ -175,13 +224,17 @@ class Collection:
 
     def _append(self, rows: list[tuple]) -> list[str]:
         ids = [r[0] for r in rows]
-        again = {i for i in ids if ids.count(i) > 1} if len(set(ids)) < len(ids) else set()
-        present = {r.id for r in self._docs.where(F.col("id").isin(ids)).select("id").collect()} | again
+        present = {i for i, n in Counter(ids).items() if n > 1} | (self._pending.keys() & set(ids))
+        if not present and not self._empty:
+            present = {r.id for r in self._base.where(F.col("id").isin(ids)).select("id").collect()}
         if present:
             raise EngineError("DOCUMENT_ALREADY_EXISTS", sorted(present)[0])
-        numbered = [(self._next + i, *r) for i, r in enumerate(rows)]
-        self._next += len(rows)
-        self._set(self._docs.unionByName(self.spark.createDataFrame(numbered, self._row_type())))
+        first = self._first_free()
+        self._pending |= {r[0]: (first + i, *r) for i, r in enumerate(rows)}
+        self._next = first + len(rows)
+        self._view = self._index = None
+        if len(self._pending) > PENDING:
+            self._set(self._docs)
         return ids
 
     def insert(self, document: dict) -> str:
@@ -263,10 +316,11 @@ class Collection:
         self._run("afterUpsertMultiple", self, made)
         return made
 
-    def upsert_dataframe(self, frame: DataFrame, id_column: str, iid: str | None = None) -> Collection:
-        """Rows of the frame replace rows of the same id; one anti-join and one union."""
+    def upsert_dataframe(self, frame: DataFrame, id_column: str, iid: str | None = None, unique: bool = False) -> Collection:
+        """Rows of the frame replace rows of the same id; one anti-join and one union. Ids that repeat inside the frame
+        raise, unless `unique` says that none do."""
         self._set(self._docs.join(frame.select(F.col(id_column).cast("string").alias("id")), "id", "left_anti").select(*self._docs.columns))
-        return self.insert_dataframe(frame, id_column, iid)
+        return self.insert_dataframe(frame, id_column, iid, unique)
 
     # ---- pins ----
 
@@ -310,46 +364,100 @@ def to_document(row: Any) -> dict:
 # ---- snapshots --------------------------------------------------------------------------------------------------
 
 
-def save(collection: Collection, path: str) -> None:
-    """A snapshot: documents, postings and statistics as Parquet, and one row that describes the rest."""
-    collection.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    TextIndex(collection.schema, collection.analyzer, collection.docs).write(path)
-    about = {
+def _about(collection: Collection, more: tuple[str, ...] = ()) -> dict:
+    """What a snapshot says beside its tables. Functions (stemmers, hooks, scorers of one's own) are not saved."""
+    named = [n for n, s in SCORERS.items() if s is collection.scorer]
+    return {
         "schema": collection.schema.nested,
         "language": collection.language,
-        "next": collection._next,
+        "scorer": named[0] if named else "bm25",
+        "next": collection._first_free(),
         "pins": [[r.id, r.conditions, r.promote] for r in collection.all_pins()],
+        "more": list(more),
     }
-    collection.spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def _described(spark: SparkSession, about: dict, like: Collection | None = None, **options) -> Collection:
+    options = ({"analyzer": like.analyzer, "scorer": like.scorer} if like else {"language": about["language"], "scorer": about["scorer"]}) | options
+    if options.get("analyzer") is not None:
+        options.pop("language", None)
+    made = Collection(spark, about["schema"], **options)
+    for i, conditions, promote in about["pins"]:
+        made.insert_pin(PinRule(i, tuple(map(tuple, conditions)), tuple(map(tuple, promote))))
+    return made
+
+
+def save(collection: Collection, path: str, more: tuple[str, ...] = ()) -> None:
+    """A snapshot: documents, postings, dictionary and statistics as Parquet, and one row that describes the rest.
+
+    more: `sentences` and `placed` for the scorers by sentence and by position, `positions` for highlights.
+    """
+    collection.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    docs = collection.spark.read.schema(collection._row_type()).parquet(f"{path}/docs")
+    TextIndex(collection.schema, collection.analyzer, docs).write(path, tuple(m for m in more if m != "positions"))
+    if "positions" in more:
+        from .operators.highlight import positions
+
+        by_token(positions(collection, docs)).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/positions")
+    _write_text(collection.spark, json.dumps(_about(collection, more)), f"{path}/manifest")
+
+
+def _write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "about string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load(spark: SparkSession, path: str, like: Collection | None = None, **options) -> Collection:
     """A collection from a snapshot. Functions (stemmers, hooks, scorers) are not saved; pass them again."""
     about = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    made = Collection(spark, about["schema"], analyzer=like.analyzer, scorer=like.scorer) if like else Collection(spark, about["schema"], **({"language": about["language"]} | options))
+    made = _described(spark, about, like, **options)
     made._run("beforeLoad", made)
-    made._docs = spark.read.schema(made._row_type()).parquet(f"{path}/docs")
+    docs = spark.read.schema(made._row_type()).parquet(f"{path}/docs")
+    more = tuple(m for m in about.get("more", []) if m != "positions")
+    made._set(docs, TextIndex.read(made.schema, made.analyzer, docs, path, more) if made.schema.searchable else None)
     made._next = about["next"]
-    if made.schema.searchable:
-        stored = {"postings": spark.read.parquet(f"{path}/postings"), "field_stats": spark.read.parquet(f"{path}/field_stats")}
-        made._index = TextIndex(made.schema, made.analyzer, made._docs, stored)
-    for i, conditions, promote in about["pins"]:
-        made.insert_pin(PinRule(i, tuple(map(tuple, conditions)), tuple(map(tuple, promote))))
+    if "positions" in about.get("more", []):
+        made.positions = spark.read.parquet(f"{path}/positions")
     made._run("afterLoad", made)
     return made
 
 
-def persist_to_file(collection: Collection, path: str, format: str = "parquet") -> str:
-    """Documents alone, as Parquet or JSON lines."""
-    getattr(collection.docs.write.mode("overwrite"), format)(path)
+#: The formats of files; those of bytes are for collections that fit on the driver.
+FILE_FORMATS, BYTE_FORMATS = ("parquet", "orc", "json"), ("json", "binary")
+
+
+def persist_to_file(collection: Collection, path: str | None = None, format: str = "parquet") -> str:
+    """Documents in one of FILE_FORMATS and all else that a snapshot holds but the index; path: `collection.<format>` by
+    default. Returns the path."""
+    path = path or f"collection.{format}"
+    getattr(collection.docs.write.mode("overwrite"), format)(f"{path}/docs")
+    _write_text(collection.spark, json.dumps(_about(collection) | {"format": format}), f"{path}/manifest")
     return path
 
 
-def restore_from_file(spark: SparkSession, path: str, schema: dict, format: str = "parquet", **options) -> Collection:
-    made = Collection(spark, schema, **options)
-    made._set(getattr(spark.read.schema(made._row_type()), format)(path))
-    made._next = (made._docs.agg(F.max("_iid")).first()[0] or 0) + 1
+def restore_from_file(spark: SparkSession, path: str, schema: dict | None = None, format: str | None = None, **options) -> Collection:
+    """The collection that was persisted: documents, pins, language and scorer; its index is made when it is asked for.
+    schema and format are those of the manifest unless given."""
+    about = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    made = _described(spark, about | ({"schema": schema} if schema else {}), **options)
+    made._set(getattr(spark.read.schema(made._row_type()), format or about["format"])(f"{path}/docs"))
+    made._next = about["next"]
+    return made
+
+
+def persist(collection: Collection, format: str = "json") -> bytes:
+    """The collection as bytes, for one that fits on the driver: JSON, or JSON compressed."""
+    rows = [json.loads(r[0]) for r in collection.docs.select(F.to_json(F.struct("*"))).collect()]
+    data = json.dumps(_about(collection) | {"docs": rows}).encode()
+    return zlib.compress(data) if format == "binary" else data
+
+
+def restore(spark: SparkSession, data: bytes, format: str = "json", **options) -> Collection:
+    about = json.loads(zlib.decompress(data) if format == "binary" else data)
+    made = _described(spark, about, **options)
+    lines = spark.createDataFrame([(json.dumps(d),) for d in about["docs"]], "d string")
+    made._set(lines.select(F.from_json("d", made._row_type()).alias("d")).select("d.*"))
+    made._next = about["next"]
     return made
 
 
-__all__ = ["Collection", "Plugin", "load", "persist_to_file", "restore_from_file", "save", "to_document"]
+__all__ = ["Collection", "Plugin", "load", "persist", "persist_to_file", "restore", "restore_from_file", "save", "to_document"]

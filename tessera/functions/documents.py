@@ -20,6 +20,18 @@ def flatten(document: dict, head: str = "") -> dict[str, Any]:
     return out
 
 
+def nested(flat: dict[str, Any]) -> dict:
+    """{'a.b': 1} as {'a': {'b': 1}}."""
+    out: dict = {}
+    for path, value in flat.items():
+        *heads, name = path.split(".")
+        part = out
+        for h in heads:
+            part = part.setdefault(h, {})
+        part[name] = value
+    return out
+
+
 def is_point(value: Any) -> bool:
     return isinstance(value, dict) and all(isinstance(value.get(k), int | float) for k in ("lat", "lon"))
 

@@ -1,8 +1,11 @@
 """The inverted index as plain tables.
 
 analysed   (prop, _iid, tokens, field_len)     one row for each document and text property
-postings   (prop, token, _iid, tf, field_len)  exploded; written to disk it is partitioned by prop and sorted by token
-field_stats(prop, avg_len)                     one row for each text property
+postings   (prop, token, _iid, tf, field_len)  exploded; on disk partitioned by prop, range-partitioned and sorted by
+                                               token and document, so that no word has to fit into one file
+dictionary (prop, token, df)                   on disk sorted by token; a search reads document frequencies from it
+field_stats(prop, avg_len, n_fields, n_docs)   one row for each text property
+sentences, placed                              what the scorers by sentence and by position look at, stored on demand
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ class TextIndex:
     kept: DataFrame | None = None
     known: tuple[int, dict[str, float]] | None = None
     sentences: DataFrame | None = None
+    placed: DataFrame | None = None
 
     def analysed(self, props: list[str]) -> DataFrame:
         """One pass over docs: the properties' tokens side by side, then one row each."""
@@ -65,9 +69,10 @@ class TextIndex:
 
     def dictionary(self, props: list[str], keep: Column | None = None) -> DataFrame:
         """(prop, token, df)"""
-        weight = F.col("n") if self.analyzer.allow_duplicates else F.lit(1)
-        rows = self.postings(props, keep).withColumn("n", F.round(F.col("tf") * F.col("field_len")).cast("long"))
-        return rows.groupBy("prop", "token").agg(F.sum(weight).cast("long").alias("df"))
+        if self.stored is not None:
+            rows = self.stored["dictionary"].where(F.col("prop").isin(props))
+            return (rows if keep is None else rows.where(keep)).select("prop", "token", "df")
+        return frequencies(self.postings(props, keep), self.analyzer.allow_duplicates)
 
     def sequential_average(self, prop: str) -> DataFrame:
         """(prop, avg_len) as it comes out when documents arrive one by one and those without the property leave the
@@ -80,11 +85,29 @@ class TextIndex:
         total = F.sum(F.when(~F.col("missing"), F.col("len") * F.exp("up")).otherwise(0.0))
         return rows.agg((total / F.max("n")).alias("avg_len")).select(F.lit(prop).alias("prop"), "avg_len")
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, more: tuple[str, ...] = ()) -> None:
+        """Write the tables under path; more: `sentences`, `placed`."""
         props = self.schema.searchable
-        if props:
-            self.postings(props).repartition("prop", "token").sortWithinPartitions("prop", "token", "_iid").write.partitionBy("prop").mode("overwrite").parquet(f"{path}/postings")
-            self.field_stats(props).write.mode("overwrite").parquet(f"{path}/field_stats")
+        if not props:
+            return
+        write_postings(self.postings(props), path)
+        write_dictionary(frequencies(self.docs.sparkSession.read.parquet(f"{path}/postings"), self.analyzer.allow_duplicates), path)
+        stats = self.analysed(props).groupBy("prop").agg(F.avg("field_len").alias("avg_len"), F.count("*").alias("n_fields"))
+        stats.crossJoin(F.broadcast(self.docs.agg(F.count("*").alias("n_docs")))).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+        for name in more:
+            from . import score
+
+            made = {"sentences": score.sentence_postings, "placed": score.placed_tokens}[name](self, props, self.docs)
+            by_token(made).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def read(schema: Schema, analyzer: Analyzer, docs: DataFrame, path: str, more: tuple[str, ...] = ()) -> TextIndex:
+        """The index whose tables `write` left under path. The field statistics, a row for each property, are read now."""
+        spark = docs.sparkSession
+        stored = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "dictionary", "field_stats", *more)}
+        found = stored["field_stats"].collect()
+        known = (found[0].n_docs, {r.prop: r.avg_len for r in found}) if found else (docs.count(), {})
+        return TextIndex(schema, analyzer, docs, stored, known=known, sentences=stored.get("sentences"), placed=stored.get("placed"))
 
     def statistics(self, props: list[str]) -> tuple[int, dict[str, float]]:
         """The number of documents and each property's mean length; asked for once and then remembered."""
@@ -105,6 +128,27 @@ class TextIndex:
         return made
 
 
+def frequencies(postings: DataFrame, repeated: bool = False) -> DataFrame:
+    """(prop, token, df): in how many documents a token occurs; where tokens may repeat, how often it does."""
+    weight = F.round(F.col("tf") * F.col("field_len")) if repeated else F.lit(1)
+    return postings.groupBy("prop", "token").agg(F.sum(weight).cast("long").alias("df"))
+
+
+def by_token(rows: DataFrame) -> DataFrame:
+    """Rows by ranges of (prop, token, document), so that a frequent word is spread over partitions."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "prop", "token", "_iid").sortWithinPartitions("prop", "token", "_iid")
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    by_token(postings).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/postings")
+
+
+def write_dictionary(dictionary: DataFrame, path: str) -> None:
+    n = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dictionary.repartitionByRange(n, "prop", "token").sortWithinPartitions("prop", "token").write.partitionBy("prop").mode("overwrite").parquet(f"{path}/dictionary")
+
+
 def dense_numbers(frame: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
     """Consecutive numbers in the order of some columns, without one task for all rows: rows are range-partitioned,
     and each partition adds the number of rows before it. The driver sees one count for each partition."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,20 +102,25 @@ def pt15_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None =
     """Scores by position: a text's tokens fall into 15 buckets, the first counts 14, the last 0."""
     if query.tolerance or query.exact:
         raise ValueError("this scorer knows no tolerance and no exact match")
-    if index.kept is not None and all(index.schema.types[p] == "string" for p in query.props):
-        texts = index.kept.where(F.col("prop").isin(query.props))
-    else:
-        fields = F.array(*[F.struct(F.lit(p).alias("prop"), _texts_tokens(index, p).alias("tokens")) for p in query.props])
-        texts = index.docs.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.explode("f.tokens").alias("tokens"))
+    placed = index.placed.where(F.col("prop").isin(query.props)) if index.placed is not None else placed_tokens(index, query.props, index.docs)
     if allowed is not None:
-        texts = texts.join(allowed, "_iid", "left_semi")
-    placed = texts.select("_iid", "prop", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
+        placed = placed.join(allowed, "_iid", "left_semi")
     hit = placed.where(any_match(query, F.col("token"))).withColumn("q", F.explode(matched_tokens(query, F.col("token"))))
     place = F.when(F.col("n") < 15, F.col("i")).otherwise(F.floor(F.col("i") * 15 / F.col("n")))
     scored = hit.withColumn("s", (14 - place) * boosts(query)).groupBy("_iid", "prop").agg(F.sum("s").alias("s"), F.count("*").alias("hits"))
     return scored.groupBy("_iid").agg(F.sum("s").cast("double").alias("score"), F.max(F.col("hits") == max(len(query.tokens), 1)).alias("full"))
 
 
+def placed_tokens(index: TextIndex, props: list[str], rows: DataFrame) -> DataFrame:
+    """(_iid, prop, n, i, token): each token of each text by its place among the text's n tokens."""
+    if index.kept is not None and all(index.schema.types[p] == "string" for p in props):
+        texts = index.kept.where(F.col("prop").isin(props))
+    else:
+        fields = F.array(*[F.struct(F.lit(p).alias("prop"), _texts_tokens(index, p).alias("tokens")) for p in props])
+        texts = rows.select("_iid", F.explode(fields).alias("f")).select("_iid", "f.prop", F.explode("f.tokens").alias("tokens"))
+    return texts.select("_iid", "prop", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
+
+
 def _texts_tokens(index: TextIndex, prop: str) -> Column:
     """Token arrays of a property's texts: one for a string, one for each element of an array."""
     column = index.schema.column(prop)
@@ -125,35 +130,41 @@ def _texts_tokens(index: TextIndex, prop: str) -> Column:
     return F.when(tokens.isNotNull(), F.array(tokens))
 
 
+def _tokens_of(index: TextIndex, prop: str, text: Column) -> Column:
+    return index.analyzer.tokens(text, prop)
+
+
 def sentence_postings(index: TextIndex, props: list[str], rows: DataFrame) -> DataFrame:
     """(_iid, prop, token, occ, mask, n): in how many sentences a token occurs, their bits, tokens of all sentences.
 
-    Sentences end at . ? or !; the sentence number goes on after one of more than one token and stops at 19.
+    Sentences end at . ? or !; the sentence number goes on after one of more than one token and stops at 19. Numbers
+    are made inside each row, so that one explosion and one aggregate, which is complete before its shuffle, remain.
     """
     schema, parts = index.schema, []
     for p in props:
         column = schema.column(p)
         text = F.array_join(column, ". ") if schema.types[p] == "string[]" else column
-        parts.append(F.struct(F.lit(p).alias("prop"), F.split(text, r"[.?!]").alias("sentences")))
-    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.prop", F.posexplode("f.sentences").alias("k", "sentence"))
-    tokens = F.lit(None).cast("array<string>")
-    for p in props:
-        tokens = F.when(F.col("prop") == p, index.analyzer.tokens(F.col("sentence"), p)).otherwise(tokens)
-    text = Window.partitionBy("_iid", "prop")
-    before = text.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    cut = each.select("_iid", "prop", "k", tokens.alias("tokens")).withColumn("size", F.size("tokens"))
-    bit = F.least(F.coalesce(F.sum(F.when(F.col("size") > 1, 1).otherwise(0)).over(before), F.lit(0)), F.lit(19)).cast("int")
-    numbered = cut.select("_iid", "prop", "tokens", bit.alias("bit"), F.sum("size").over(text).alias("n"))
-    words = numbered.select("_iid", "prop", "n", "bit", F.explode("tokens").alias("token"))
+        sentences = F.transform(F.split(text, r"[.?!]"), partial(_tokens_of, index, p))
+        parts.append(F.struct(F.lit(p).alias("prop"), sentences.alias("sentences")))
+    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.prop", "f.sentences").where("sentences is not null")
+    start = F.struct(F.lit(0).alias("bit"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("bits"))
+
+    def number(a: Column, s: Column) -> Column:
+        after = F.when(F.size(s) > 1, F.least(a["bit"] + 1, F.lit(19))).otherwise(a["bit"])
+        return F.struct(after.alias("bit"), (a["n"] + F.size(s)).alias("n"), F.concat(a["bits"], F.array(a["bit"])).alias("bits"))
+
+    numbered = each.withColumn("a", F.aggregate("sentences", start, number))
+    cut = numbered.select("_iid", "prop", F.col("a.n").alias("n"), F.explode(F.arrays_zip("sentences", F.col("a.bits").alias("bits"))).alias("z"))
+    words = cut.select("_iid", "prop", "n", F.col("z.bits").alias("bit"), F.explode("z.sentences").alias("token"))
     return words.groupBy("_iid", "prop", "token").agg(F.count("*").alias("occ"), F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.max("n").alias("n"))
 
 
 def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """Scores by sentences: a matched word counts occ^2 / n, and 1 if it is a query token itself; words that share
     sentences add 2 for each shared one, which sums up to 2 (sum of bits - bits of the union)."""
-    if index.kept is not None:
-        if index.sentences is None:  # as lazy as the tokens are: the first search fills it
-            index.sentences = sentence_postings(index, index.schema.searchable, index.docs).persist()
+    if index.kept is not None and index.sentences is None:  # as lazy as the tokens are: the first search fills it
+        index.sentences = sentence_postings(index, index.schema.searchable, index.docs).persist()
+    if index.sentences is not None:
         found = index.sentences.where(F.col("prop").isin(query.props)).where(any_match(query, F.col("token")))
         found = found if allowed is None else found.join(allowed, "_iid", "left_semi")
     else:

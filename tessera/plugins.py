@@ -35,11 +35,14 @@ def embeddings_plugin(embed: Embed, property: str, properties: list[str]) -> Plu
         for d in documents if isinstance(documents, list) else []:
             before_insert(collection, d)
 
+    def frame(collection: Collection, documents: DataFrame) -> DataFrame:
+        return documents if property in documents.columns else embedded(documents, properties, embed, property)
+
     def before_search(collection: Collection, params: dict, language: str) -> None:
         if params.get("mode") in ("vector", "hybrid") and not params.get("vector"):
             params["vector"] = {"property": property, "value": l2_normalised(embed([params.get("term") or ""])[0])}
 
-    return Plugin("embeddings", {"beforeInsert": before_insert, "beforeInsertMultiple": before_insert_many, "beforeSearch": before_search})
+    return Plugin("embeddings", {"beforeInsert": before_insert, "beforeInsertMultiple": before_insert_many, "beforeSearch": before_search}, frame=frame)
 
 
 def events_plugin(events) -> Plugin:

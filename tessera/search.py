@@ -188,7 +188,8 @@ def _ordered(collection: Collection, params: dict, scored: DataFrame) -> Ranking
     if by["property"] in collection.unsortable:
         raise EngineError("UNABLE_TO_SORT_ON_UNKNOWN_FIELD", by["property"], ", ".join(collection.schema.sortable))
     descending = str(by.get("order", "ASC")).upper() == "DESC"
-    return rank.sort_by(scored, collection.docs, collection.schema, by["property"], descending, collection.language, by.get("locale", True))
+    sort = collection.components.get("sorter") or rank.sort_by
+    return sort(scored, collection.docs, collection.schema, by["property"], descending, collection.language, by.get("locale", True))
 
 
 def _by_function(collection: Collection, scored: DataFrame, compare: Callable) -> Ranking:
@@ -205,9 +206,13 @@ def _by_function(collection: Collection, scored: DataFrame, compare: Callable) -
     return Ranking(placed, [F.asc("_k0")])
 
 
+def active_pins(collection: Collection, term: str | None) -> list[tuple[str, int]]:
+    return (collection.components.get("pinning") or rank.active_pins)(collection.all_pins(), term)
+
+
 def _fulltext(collection: Collection, params: dict) -> SearchResult:
     ranking = _ordered(collection, params, text_scores(collection, params))
-    ranking = rank.pin(ranking, collection.docs, rank.active_pins(collection.all_pins(), params.get("term")))
+    ranking = rank.pin(ranking, collection.docs, active_pins(collection, params.get("term")))
     made = _pages(collection, params, ranking)
     made.tokens = collection.analyzer.query_tokens(params.get("term") or "")
     return made
@@ -260,5 +265,5 @@ def _hybrid(collection: Collection, params: dict) -> SearchResult:
     if not params.get("term") and params.get("term") != "":
         raise EngineError("MISSING_TERM")
     ranking = rank.by_score(hybrid_scores(collection, params))
-    ranking = rank.pin(ranking, collection.docs, rank.active_pins(collection.all_pins(), params.get("term")))
+    ranking = rank.pin(ranking, collection.docs, active_pins(collection, params.get("term")))
     return _pages(collection, params | {"preflight": False}, ranking, distinct=False)
