@@ -101,7 +101,7 @@ class Collection:
         self.scorer: Scorer = SCORERS[chosen] if isinstance(chosen, str) else chosen
         self.sort_enabled, self.unsortable = sort_enabled, frozenset(unsortable)
         self.pins: dict[str, PinRule] = {}
-        self.positions: DataFrame | None = None
+        self.positions: DataFrame | None = None  # of words, as a snapshot may hold them
         self._base = spark.createDataFrame([], self._row_type())
         self._empty = True
         self._pending: dict[str, tuple] = {}
@@ -130,6 +130,7 @@ class Collection:
 
     def _set(self, docs: DataFrame, index: TextIndex | None = None) -> None:
         self._base, self._empty, self._pending, self._view, self._index = docs, False, {}, docs, index
+        self.positions = None
 
     def _first_free(self) -> int:
         """The next internal id; looked up once after a load that brought its own."""
@@ -232,7 +233,7 @@ class Collection:
         first = self._first_free()
         self._pending |= {r[0]: (first + i, *r) for i, r in enumerate(rows)}
         self._next = first + len(rows)
-        self._view = self._index = None
+        self._view = self._index = self.positions = None
         if len(self._pending) > PENDING:
             self._set(self._docs)
         return ids

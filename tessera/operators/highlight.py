@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..collection import Collection
-from ..search import SearchResult, search
+from ..search import MOST_BROADCAST, SearchResult, search
 
 WORD = r"[\p{L}0-9_'-]+"
 MARK = "\x01"
@@ -33,11 +33,12 @@ def positions(collection: Collection, docs: DataFrame | None = None) -> DataFram
 
 
 def search_with_highlight(collection: Collection, params: dict) -> tuple[SearchResult, DataFrame]:
-    """The result, and (id, prop, token, start, length) of the words of its page that answer the query: those that
+    """The result (its page is looked at, so not with preflight), and (id, prop, token, start, length) of the words of its page that answer the query: those that
     begin with a query token or, with a tolerance, that are near to one."""
     made = search(collection, params)
     docs = collection.docs
-    page = docs.join(F.broadcast(made.page_frame.select("_iid")), "_iid", "left_semi")
+    page = made.page_frame.select("_iid")
+    page = F.broadcast(page) if made.limit <= MOST_BROADCAST else page
     tokens, most = made.tokens, int(params.get("tolerance") or 0)
 
     def answers(q: str) -> Column:
@@ -47,5 +48,7 @@ def search_with_highlight(collection: Collection, params: dict) -> tuple[SearchR
         return word.startswith(token)
 
     test = reduce(lambda a, b: a | b, map(answers, tokens), F.lit(False))
-    found = positions(collection, page).where(test)
+    stored = collection.positions
+    held = positions(collection, docs.join(page, "_iid", "left_semi")) if stored is None else stored.join(page, "_iid", "left_semi")
+    found = held.where(test)
     return made, found.join(docs.select("_iid", "id"), "_iid").select("id", "prop", "token", "start", "length")

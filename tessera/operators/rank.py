@@ -190,8 +190,9 @@ def grouped_rows(ranking: Ranking, docs: DataFrame, schema: Schema, props: list[
 
 
 def groups(ranking: Ranking, docs: DataFrame, schema: Schema, props: list[str], max_result: int = 0, reduce_with: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(values, result): one row for each combination of values that occurs; result is the array of its rows
-    (id, score) in the ranking's order, or what reduce_with makes of that array.
+    """(values, result, place): one row for each combination of values that occurs; result is the array of its rows
+    (id, score) in the ranking's order, or what reduce_with makes of that array. place: of each value, its rank among
+    the property's values by first appearance in the ranking; groups come in the order of place.
 
     A group is one array, so it should be bounded by max_result where a value may hold a large share of the rows.
     """
@@ -201,7 +202,18 @@ def groups(ranking: Ranking, docs: DataFrame, schema: Schema, props: list[str],
     found = F.array_sort(F.collect_list(F.struct(F.col("_n"), F.col("id"), F.col("score"))))
     plain = F.transform(found, lambda r: F.struct(r["id"].alias("id"), r["score"].alias("score")))
     result = reduce_with(plain) if reduce_with else plain
-    return numbered.groupBy(*names).agg(result.alias("result")).select(F.array(*[F.col(n).cast("string") for n in names]).alias("values"), "result")
+    made = numbered.groupBy(*names).agg(result.alias("result"))
+    for n in names:
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(n).orderBy(*ranking.order))).where("_n = 1")
+        place = F.row_number().over(Window.orderBy(*ranking.order)).cast("long")  # one row for each value
+        made = made.join(first.select(n, place.alias(f"_{n}")), n)
+    return made.select(F.array(*[F.col(n).cast("string") for n in names]).alias("values"), "result", F.array(*[F.col(f"_{n}") for n in names]).alias("place")).orderBy("place")
+
+
+def group_hits(hits: DataFrame, key: str) -> DataFrame:
+    """(key, rows): the rows of a page of hits, gathered by the value of one of their columns."""
+    columns = [F.col(f"`{c}`") for c in hits.columns if c != key]
+    return hits.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("rows"))
 
 
 def reduced_groups(ranking: Ranking, docs: DataFrame, schema: Schema, props: list[str], max_result: int, reducer: Callable[[list, Any, dict, int], Any], initial: Callable[[int], Any]) -> DataFrame:
@@ -210,7 +222,7 @@ def reduced_groups(ranking: Ranking, docs: DataFrame, schema: Schema, props: lis
 
     import pandas as pd
 
-    rows = groups(ranking, docs, schema, props, max_result)
+    rows = groups(ranking, docs, schema, props, max_result).select("values", "result")
 
     def run(batches):
         for batch in batches:

@@ -12,6 +12,7 @@ from .functions.text import FOLD_FROM, FOLD_TO, SPLITTERS, Analyzer
 from .operators import answers, highlight, rank
 from .operators.rank import PinRule
 from .search import search
+from .session import shared_folder
 from .sources import html
 from .streaming import maintenance
 
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, **options) -> Collection:
     schema = {"text": "string", "lang": "enum", "source": "enum", "n_chars": "number"}
-    return Collection.from_dataframe(spark, schema, table(spark, sf_dir, "documents"), "doc_id", "doc_id", **options)
+    return Collection.from_dataframe(spark, schema, table(spark, sf_dir, "documents"), "doc_id", "doc_id", unique=True, **options)
 
 
 def parts(spark: SparkSession, sf_dir: str, **options) -> Collection:
@@ -50,7 +51,7 @@ def parts(spark: SparkSession, sf_dir: str, **options) -> Collection:
         F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("p_size"),
         F.split("p_name", " ").alias("tags"), F.col("p_type").alias("kind"), (F.col("p_retailprice") < 1000).alias("cheap"),
     )
-    return Collection.from_dataframe(spark, schema, frame, "p_partkey", "p_partkey", **options)
+    return Collection.from_dataframe(spark, schema, frame, "p_partkey", "p_partkey", unique=True, **options)
 
 
 PART_SQL = """part_docs AS (SELECT p_partkey AS iid, p_name, p_type, p_brand, p_retailprice,
@@ -60,14 +61,14 @@ PART_SQL = """part_docs AS (SELECT p_partkey AS iid, p_name, p_type, p_brand, p_
 def orders(spark: SparkSession, sf_dir: str) -> Collection:
     schema = {"status": "enum", "price": "number", "priority": "enum", "big": "boolean"}
     frame = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") > 100000).alias("big"))
-    return Collection.from_dataframe(spark, schema, frame, "o_orderkey", "o_orderkey")
+    return Collection.from_dataframe(spark, schema, frame, "o_orderkey", "o_orderkey", unique=True)
 
 
 def places(spark: SparkSession, sf_dir: str) -> Collection:
     lon = (F.col("c_custkey") * 7919 % 36000) / 100.0 - 180
     lat = (F.col("c_custkey") * 104729 % 17000) / 100.0 - 85
     frame = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.struct(lon.alias("lon"), lat.alias("lat")).alias("place"))
-    return Collection.from_dataframe(spark, {"c_name": "string", "place": "geopoint"}, frame, "c_custkey", "c_custkey")
+    return Collection.from_dataframe(spark, {"c_name": "string", "place": "geopoint"}, frame, "c_custkey", "c_custkey", unique=True)
 
 
 PLACES_SQL = "places AS (SELECT c_custkey AS iid, (c_custkey * 7919 % 36000) / 100.0 - 180 AS lon, (c_custkey * 104729 % 17000) / 100.0 - 85 AS lat FROM customer)"
@@ -76,7 +77,7 @@ PLACES_SQL = "places AS (SELECT c_custkey AS iid, (c_custkey * 7919 % 36000) / 1
 def vectors(spark: SparkSession, sf_dir: str) -> Collection:
     frame = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     schema = {"text": "string", "embedding": "vector[64]", "label": "number"}
-    return Collection.from_dataframe(spark, schema, frame, "vec_id", "vec_id")
+    return Collection.from_dataframe(spark, schema, frame, "vec_id", "vec_id", unique=True)
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -297,8 +298,8 @@ sorted_query("page_offset_limit", "p_retailprice", "DESC", "p_retailprice DESC N
 
 @query("distinct_on", f"WITH {PART_SCORED}, d AS (SELECT iid, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 9) DESC, iid) AS rn FROM r JOIN part_docs USING (iid) WHERE p_brand IS NOT NULL) SELECT iid AS p_partkey FROM d WHERE rn = 1")
 def distinct_on(spark, sf_dir):
-    found = search(parts(spark, sf_dir), {"term": "st", "properties": ["p_name", "p_type"], "boost": {"p_name": 2.5}, "distinctOn": "p_brand", "limit": 1000})
-    return found.page_frame.select(F.col("_iid").alias("p_partkey"))
+    found = search(parts(spark, sf_dir), {"term": "st", "properties": ["p_name", "p_type"], "boost": {"p_name": 2.5}, "distinctOn": "p_brand"})
+    return found.ranking.rows.select(F.col("_iid").alias("p_partkey"))
 
 
 # ---- facets and groups ----
@@ -466,7 +467,7 @@ def upsert_merge(spark, sf_dir):
     made, frame = documents(spark, sf_dir), table(spark, sf_dir, "documents")
     changed = frame.where("doc_id % 10 = 0").withColumn("n_chars", F.lit(1))
     new = frame.where("doc_id % 100 = 0").withColumn("doc_id", F.col("doc_id") + 1000000).withColumn("n_chars", F.lit(2))
-    made.upsert_dataframe(changed.unionByName(new), "doc_id", "doc_id")
+    made.upsert_dataframe(changed.unionByName(new), "doc_id", "doc_id", unique=True)
     return made.docs.select(F.col("_iid").alias("doc_id"), "n_chars")
 
 
@@ -539,10 +540,10 @@ def html_fields(spark, sf_dir):
 
 
 @query("highlight_positions", f"""WITH d AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part), w AS (SELECT p_partkey, ws, generate_subscripts(ws, 1) AS i FROM d)
-SELECT p_partkey, lower(ws[i]) AS token, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: len(x) + 1)), 0) AS INTEGER) AS start, CAST(len(ws[i]) AS INTEGER) AS length FROM w WHERE starts_with(lower(ws[i]), 's')""")
+SELECT p_partkey, lower(ws[i]) AS token, CAST(coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: len(x) + 1)), 0) AS INTEGER) AS start, CAST(len(ws[i]) AS INTEGER) AS length FROM w""")
 def highlight_positions(spark, sf_dir):
     made = parts(spark, sf_dir)
-    rows = highlight.positions(made).where("prop = 'p_name'").where(F.col("token").startswith("s"))
+    rows = highlight.positions(made).where("prop = 'p_name'")
     return rows.select(F.col("_iid").alias("p_partkey"), "token", "start", "length")
 
 
@@ -574,25 +575,29 @@ def streamed(spark: SparkSession, frame: DataFrame, sf_dir: str, name: str) -> D
     return spark.readStream.schema(frame.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{pattern}")
 
 
+def drained(running: DataFrame, label: str) -> DataFrame:
+    """The last state of a running table, when its stream has been read to its end: each batch writes it anew to the
+    shared folder, so the driver holds no rows."""
+    spark = running.sparkSession
+    path = shared_folder(spark, label)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state")
+
+    running.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(running.schema).parquet(f"{path}/state")
+
+
 @query("stream_event_windows", ORACLES["event_windows"])
 def stream_event_windows(spark, sf_dir):
     """The stream read to its end; its running table is the batch result."""
-    import uuid
-
     source = streamed(spark, table(spark, sf_dir, "events"), sf_dir, "events")
-    name = f"windows_{uuid.uuid4().hex}"
-    running = maintenance.event_windows(source)
-    running.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    found = drained(maintenance.event_windows(source), "windows")
+    return found.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_incremental_df", f"WITH x AS (SELECT unnest({tokens_sql('p_name')}) AS token FROM part) SELECT token, count(*) AS df FROM x GROUP BY token")
 def stream_incremental_df(spark, sf_dir):
-    import uuid
-
     made = parts(spark, sf_dir)
     source = streamed(spark, table(spark, sf_dir, "part"), sf_dir, "part").withColumn("op", F.lit(1))
-    name = f"frequencies_{uuid.uuid4().hex}"
-    running = maintenance.stream_frequencies(source, made.schema, made.analyzer, "p_name")
-    running.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("token", "df")
+    return drained(maintenance.stream_frequencies(source, made.schema, made.analyzer, "p_name"), "frequencies").select("token", "df")

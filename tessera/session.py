@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,17 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     return ship(spark)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the one that driver and executors share: spark.checkpoint.dir of the session. Only where the
+    session names none (a local test) a temporary folder is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the package to the Python workers of this application, once; they need it for functions that run there.
 

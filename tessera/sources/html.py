@@ -315,24 +315,116 @@ def html_sections(pages: DataFrame, key: str = "path", source: str = "html", bas
     return pages.select(F.col(key).alias("k"), F.col(source).alias("s")).mapInPandas(run, f"{name} {kind}, n int, title string, header string, content string, section string, path string")
 
 
-def html_fields(pages: DataFrame, key: str = "path", source: str = "html", content_tags: tuple[str, ...] = ("body",), path_filter: str | None = None) -> DataFrame:
-    """(key, title, h1, content): a page's title, its first h1, and the text of the elements of some tags."""
+STEP = re.compile(r"([>\s]*)((?:[\w*-]+|(?=[.#\[:]))(?:[.#][\w-]+|\[[^\]]*\]|:first-child)*)")
+PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]|(:first-child)")
+
+
+@dataclass
+class Step:
+    """One compound of a selector: its tag, its tests, and whether it must be a child of the step before."""
+
+    child: bool
+    tag: str
+    tests: list[tuple]
+
+    def fits(self, node: Node, parent: Node) -> bool:
+        if not node.tag or node.tag.startswith("#") or self.tag not in ("", "*", node.tag):
+            return False
+        for mark, name, attribute, how, value, first in self.tests:
+            given = node.attributes.get({".": "class", "#": "id"}.get(mark, attribute or ""))
+            if first:
+                fine = next((c for c in parent.children if c.tag and not c.tag.startswith("#")), None) is node
+            elif mark == ".":
+                fine = name in (given or "").split()
+            elif mark == "#":
+                fine = given == name
+            elif given is None or not how:
+                fine = given is not None
+            else:
+                tests = {"=": given == value, "~=": value in given.split(), "^=": given.startswith(value), "$=": given.endswith(value), "*=": value in given}
+                fine = tests[how]
+            if not fine:
+                return False
+        return True
+
+
+def parse_selector(selector: str) -> list[list[Step]]:
+    """A list of selectors: tags, classes, ids, attributes, :first-child, joined by blanks (inside) or > (child)."""
+    out = []
+    for one in selector.split(","):
+        steps, at, one = [], 0, one.strip()
+        while at < len(one):
+            m = STEP.match(one, at)
+            if not m or m.end() == at or not m[2]:
+                raise ValueError(f"selector not understood: {selector}")
+            tag = re.match(r"[\w*-]*", m[2])[0]
+            steps.append(Step(">" in m[1], tag.lower(), PART.findall(m[2][len(tag) :])))
+            at = m.end()
+        out.append(steps)
+    return out
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """The elements below root that a selector picks, in the order of the page, each once."""
+    wanted, found = parse_selector(selector), []
+
+    def reached(steps: list[Step], way: list[Node]) -> bool:
+        """Whether way, from root to an element, ends in what the steps pick."""
+        if not steps[-1].fits(way[-1], way[-2]):
+            return False
+        if len(steps) == 1:
+            return True
+        ends = [len(way) - 1] if steps[-1].child else range(2, len(way))
+        return any(reached(steps[:-1], way[:k]) for k in ends if k >= 2)
+
+    def visit(way: list[Node]) -> None:
+        for c in way[-1].children:
+            if c.tag and not c.tag.startswith("#"):
+                if any(steps and reached(steps, [*way, c]) for steps in wanted):
+                    found.append(c)
+                visit([*way, c])
+
+    visit([root])
+    return found
+
+
+def html_fields(
+    pages: DataFrame, key: str = "path", source: str = "html", content: str = "body", path_filter: str | None = None, title: str = "title", heading: str = "h1"
+) -> DataFrame:
+    """(key, title, h1, content): the first elements that the selectors of title and heading pick, and the texts of
+    all that the selector of the content picks, scripts and styles left out."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, text in zip(batch["k"], batch["s"], strict=True):
-                nodes = list(document(text or "").walk())
-                first = {t: next((n.content().strip() for n in nodes if n.tag == t), "") for t in ("title", "h1")}
-                body = " ".join(t.text.strip() for n in nodes if n.tag in content_tags for t in _shown(n) if t.text.strip())
-                rows.append((k, first["title"], first["h1"], body))
+                root = document(text or "")
+                first = [next((n.content().strip() for n in select(root, wanted)), "") for wanted in (title, heading)]
+                body = " ".join(t.text.strip() for n in select(root, content) for t in _shown(n) if t.text.strip())
+                rows.append((k, *first, body))
             yield pd.DataFrame(rows, columns=[key, "title", "h1", "content"])
 
     rows = pages if path_filter is None else pages.where(F.col(key).cast("string").rlike(path_filter))
     return rows.select(F.col(key).alias("k"), F.col(source).alias("s")).mapInPandas(run, f"{key} {kind}, title string, h1 string, content string")
 
 
+RECORD_SCHEMA = {"type": "string", "content": "string", "path": "string"}
+
+
+def populate(collection, pages: DataFrame, key: str = "path", source: str = "html", **options):
+    """Insert the text records of pages into a collection whose schema holds properties of RECORD_SCHEMA; their ids are
+    the page's key and the record's number. Options are those of html_records."""
+    records = html_records(pages, key, source, **options)
+    page = "page" if key == "path" else key
+    return collection.insert_dataframe(records.withColumn("record_id", F.concat_ws("#", page, "n", *(["o"] if "o" in records.columns else []))), "record_id", unique=True)
+
+
+def populate_from_glob(collection, glob: str, **options):
+    """The same for files, by any path that Spark reads."""
+    return populate(collection, read_files(collection.spark, glob), "path", "source", **options)
+
+
 def _shown(node: Node) -> Iterator[Node]:
     """The texts below a node, but for scripts and styles."""
     for c in node.children:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import Analyzer
-from ..operators.index import TextIndex
+from ..operators.index import TextIndex, frequencies, write_dictionary, write_postings
 from ..schema import Schema
 
 
@@ -25,6 +26,33 @@ def document_deltas(changes: DataFrame, schema: Schema, analyzer: Analyzer) -> D
     return rows.select("prop", F.explode(F.array_distinct("tokens")).alias("token"), "op").groupBy("prop", "token").agg(F.sum("op").cast("long").alias("df"))
 
 
+def updated_index(index: TextIndex, inserted: DataFrame, removed: DataFrame, path: str) -> None:
+    """Write under path what a stored index becomes when documents (in the form of Collection.docs) are inserted and
+    others (_iid) removed. Postings of removed documents go and those of inserted ones come; document frequencies and
+    field statistics change by their differences, so that only texts that come or go are analysed."""
+    schema, analyzer, props = index.schema, index.analyzer, index.schema.searchable
+    leaving = TextIndex(schema, analyzer, index.docs.join(removed.select("_iid").distinct(), "_iid", "left_semi"))
+    gone = index.postings(props).join(removed.select("_iid"), "_iid", "left_semi")
+    kept = index.postings(props).join(removed.select("_iid"), "_iid", "left_anti")
+    new = TextIndex(schema, analyzer, inserted).postings(props)
+    write_postings(kept.unionByName(new), path)
+
+    repeated = analyzer.allow_duplicates
+    minus = frequencies(gone, repeated).withColumn("df", -F.col("df"))
+    changed = index.dictionary(props).unionByName(frequencies(new, repeated)).unionByName(minus)
+    write_dictionary(changed.groupBy("prop", "token").agg(F.sum("df").alias("df")).where("df > 0"), path)
+
+    def fields(rows: DataFrame, sign: int) -> DataFrame:
+        return rows.groupBy("prop").agg((sign * F.sum("field_len")).alias("total"), (sign * F.count("*")).alias("n_fields"))
+
+    old = index.stored["field_stats"]
+    sums = old.select("prop", (F.col("avg_len") * F.col("n_fields")).alias("total"), "n_fields")
+    sums = sums.unionByName(fields(TextIndex(schema, analyzer, inserted).analysed(props), 1)).unionByName(fields(leaving.analysed(props), -1)).groupBy("prop").agg(F.sum("total").alias("total"), F.sum("n_fields").alias("n_fields"))
+    n = index.statistics([])[0] + inserted.count() - leaving.docs.count()
+    stats = sums.where("n_fields > 0").select("prop", (F.col("total") / F.col("n_fields")).alias("avg_len"), "n_fields", F.lit(n).cast("long").alias("n_docs"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+
+
 def stream_frequencies(changes: DataFrame, schema: Schema, analyzer: Analyzer, prop: str) -> DataFrame:
     """The same as a running aggregate of a stream: (token, df), kept current by Spark's state store."""
     tokens = analyzer.tokens(schema.column(prop), prop)
@@ -79,21 +107,30 @@ def search_event_sink(events: DataFrame, target: str, checkpoint: str, flush: st
 
 
 class SearchEvents:
-    """Events of one process, written when there are `most` of them, or on flush."""
+    """Events of one process, written when there are `most` of them, when `seconds` have passed since the last writing
+    as another event comes, or on flush."""
 
-    def __init__(self, spark: SparkSession, target: str, most: int = 25):
-        self.spark, self.target, self.most = spark, target, most
+    def __init__(self, spark: SparkSession, target: str, most: int = 25, seconds: float = 5.0):
+        self.spark, self.target, self.most, self.seconds = spark, target, most, seconds
         self.held: list[tuple] = []
+        self.written = time.monotonic()
 
     def add(self, term: str, hits: int, elapsed: int) -> None:
         self.held.append((term, hits, elapsed))
-        if len(self.held) >= self.most:
+        if len(self.held) >= self.most or time.monotonic() - self.written >= self.seconds:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
             self.spark.createDataFrame(self.held, "term string, hits long, elapsed long").coalesce(1).write.mode("append").parquet(self.target)
             self.held = []
+        self.written = time.monotonic()
 
     def hook(self) -> Callable:
-        return lambda collection, params, language, result: self.add(params.get("term") or "", result.count, 0)
+        """For afterSearch; elapsed: nanoseconds until the hits were counted."""
+
+        def note(collection, params: dict, language: str, result) -> None:
+            hits = result.count
+            self.add(params.get("term") or "", hits, time.perf_counter_ns() - result.started)
+
+        return note
