@@ -428,12 +428,6 @@ def geo_score(spark, sf_dir):
     return found.ranking.rows.select(F.col("_iid").alias("c_custkey"), F.round("score", 3).alias("score"))
 
 
-@query("geo_high_precision")
-def geo_high_precision(spark, sf_dir):
-    where = {"place": {"radius": {"coordinates": CENTRE, "value": 4000, "unit": "km", "highPrecision": True}}}
-    return search(places(spark, sf_dir), {"where": where}).ranking.rows.select(F.col("_iid").alias("c_custkey"), F.round("score", 3).alias("score"))
-
-
 # ---- pins ----
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.collection import Collection
 from tessera.functions.text import Analyzer
 from tessera.operators.answers import AnswerSession
+from tessera import state_queries  # noqa: F401, registers more queries
 from tessera.queries import ORACLES, QUERIES
 from tessera.schema import Schema
 from tessera.sources import html
