@@ -20,7 +20,8 @@ chunk's ends to the nearest such places, and what lies between these is encoded
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -307,12 +308,21 @@ def boundary_states(chunks: DataFrame, model: str, fan: int, parts: int) -> Data
     return states
 
 
+Finish = Callable[[Any, pd.DataFrame], pd.DataFrame]
+
+
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(key, text_crc32, ids): the ids of every whole text, without begin and end ids.
 
     Null and empty texts have no ids. Texts of more than `giant` characters are scanned in chunks, equal ones once.
     Repeated rows all stay; an empty table gives an empty result. Other columns are not looked at.
     """
+    return _encoded(docs, model, key, text, giant, chunk, fan, None, "text_crc32 long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, model: str, key: str, text: str, giant: int, chunk: int, fan: int, finish: Finish | None, columns: str) -> DataFrame:
+    """(key, columns): what finish(library, frame of key, text_crc32, ids) makes of each text's ids, in the task that has
+    them, so that ids that only digests are wanted of do not travel."""
     if chunk <= 64:
         raise ValueError("chunks must be longer than pieces")
     rows = docs.select(*key_columns(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("crc", F.crc32("t"))
@@ -322,10 +332,12 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
         for b in batches:
             texts = b["t"].tolist()
             for s in _slices(texts):
-                ids = [np.array(x, np.int32) for x in lib.encode(texts[s], num_threads=1)]
-                yield pd.DataFrame({key: key_array(b.iloc[s]), "text_crc32": b["crc"].iloc[s], "ids": ids})
+                ids = lib.encode(texts[s], num_threads=1)
+                ids = ids if finish else [np.array(x, np.int32) for x in ids]
+                made = pd.DataFrame({key: key_array(b.iloc[s]), "text_crc32": b["crc"].iloc[s].to_numpy(), "ids": ids})
+                yield finish(lib, made) if finish else made
 
-    small = rows.where(F.length("t") <= giant).mapInPandas(plain, f"{key} long, text_crc32 long, ids array<int>")
+    small = rows.where(F.length("t") <= giant).mapInPandas(plain, f"{key} long, {columns}")
     large = rows.where(F.length("t") > giant).withColumn("name", F.sha2("t", 256))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,6 +368,16 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     traced = chunks.join(states, ["name", "n"]).mapInPandas(back, "name string, n long, ids array<int>")
     whole = traced.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
     joined = large.select(F.when(~F.col("k_null"), F.col("k")).alias(key), F.col("crc").alias("text_crc32"), "name").join(whole, "name").select(key, "text_crc32", "ids")
+    if finish:
+
+        def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lib = lattice_of(model).library
+            for b in batches:
+                for at in range(0, len(b), 200):
+                    part = b.iloc[at : at + 200]
+                    yield finish(lib, pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"].to_numpy(), "ids": [x.tolist() for x in part["ids"]]}))
+
+        joined = joined.select(*key_columns(key), "text_crc32", "ids").mapInPandas(last, f"{key} long, {columns}")
     return small.unionByName(joined)
 
 
@@ -373,18 +395,17 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, text string")
 
 
-def checked(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
-    """(key, text_crc32, ids, round_trip) of rows (key, text_crc32, ids): whether the decoded ids give the text again."""
+def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """(key, text_crc32, ids, round_trip): as encode, and whether the decoded ids give the text again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lib = lattice_of(model).library
-        for b in batches:
-            for at in range(0, len(b), 200):
-                part = b.iloc[at : at + 200]
-                same = [zlib.crc32(lib.decode(x.tolist()).encode()) == c for x, c in zip(part["ids"], part["text_crc32"], strict=True)]
-                yield pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"], "ids": part["ids"], "round_trip": same})
+    def finish(lib: Any, b: pd.DataFrame) -> pd.DataFrame:
+        return b.assign(ids=[np.array(x, np.int32) for x in b["ids"]], round_trip=_same(lib, b))
+
+    return _encoded(docs, model, key, text, giant, chunk, fan, finish, "text_crc32 long, ids array<int>, round_trip boolean")
 
-    return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, round_trip boolean")
+
+def _same(lib: Any, b: pd.DataFrame) -> list[bool]:
+    return [zlib.crc32(lib.decode(x).encode()) == c for x, c in zip(b["ids"], b["text_crc32"], strict=True)]
 
 
 def ids_checksum(ids: np.ndarray) -> int:
@@ -392,25 +413,19 @@ def ids_checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def encoded_and_decoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(key, n_tokens, ids_crc32, decoded_chars, round_trip): digests of the ids, and whether decoding gives the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lib = lattice_of(model).library
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                ids = part["ids"].tolist()
-                back = [lib.decode(x.tolist()) for x in ids]
-                yield pd.DataFrame(
-                    {
-                        key: key_array(part),
-                        "n_tokens": [len(x) for x in ids],
-                        "ids_crc32": [ids_checksum(x) for x in ids],
-                        "decoded_chars": [len(t) for t in back],
-                        "round_trip": [zlib.crc32(t.encode()) == c for t, c in zip(back, part["text_crc32"], strict=True)],
-                    }
-                )
-
-    found = encode(docs, model, key, text, **options)
-    return found.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
+    def finish(lib: Any, b: pd.DataFrame) -> pd.DataFrame:
+        back = [lib.decode(x) for x in b["ids"]]
+        return pd.DataFrame(
+            {
+                key: b[key],
+                "n_tokens": [len(x) for x in b["ids"]],
+                "ids_crc32": [ids_checksum(x) for x in b["ids"]],
+                "decoded_chars": [len(t) for t in back],
+                "round_trip": [zlib.crc32(t.encode()) == c for t, c in zip(back, b["text_crc32"], strict=True)],
+            }
+        )
+
+    return _encoded(docs, model, key, text, giant, chunk, fan, finish, "n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")

@@ -4,7 +4,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import sentencepiece_scan as sp
 
@@ -44,10 +43,10 @@ def test_frames(lattice, docs_of, odd, empty):
     for i, t in rows:
         assert digests[i].round_trip and digests[i].decoded_chars == len(t)
         assert digests[i].ids_crc32 == zlib.crc32(np.array(found[i], "<u4").tobytes())
-    marked = sp.checked(sp.encode(docs, MODEL, giant=500, chunk=300), MODEL).collect()
+    marked = sp.encode_checked(docs, MODEL, giant=500, chunk=300).collect()
     assert {r.doc_id: list(r.ids) for r in marked} == found and all(r.round_trip for r in marked)
-    wrong = sp.encode(docs, MODEL).withColumn("text_crc32", F.lit(1).cast("long"))
-    assert not any(r.round_trip for r in sp.checked(wrong, MODEL).collect())
+    lost = sp.encode_checked(docs_of([(1, "a\u0000\u2028 b"), (2, "▁"), (3, "plain")]), MODEL).collect()
+    assert {r.doc_id: r.round_trip for r in lost} == {i: lattice.library.decode(lattice.library.encode(t)) == t for i, t in [(1, "a\u0000\u2028 b"), (2, "▁"), (3, "plain")]}
     texts = {r.doc_id: r.text for r in sp.decode(sp.encode(docs, MODEL), MODEL).collect()}
     assert texts == dict(rows)
     odds = sp.encoded_and_decoded(odd, MODEL).collect()
