@@ -34,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, text_crc32, ids, round_trip): the SentencePiece ids of every text, and whether they decode to it."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    return sentencepiece_scan.checked(sentencepiece_scan.encode(docs, model), model)
+    return sentencepiece_scan.encode_checked(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mix_sources), ("token_ids", token_ids)]
