@@ -20,6 +20,7 @@ NGRAMS = (3, 4, 5)
 TRAINING_ROWS = 2_000
 #: So many characters of a page's title, or of a document, tell which documents a page shows.
 TITLE = 60
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,8 +70,9 @@ def fit(labelled: DataFrame, epochs: int = 300, rate: float = 4.0, ridge: float
     Features count 1 / sqrt(number of features), so long urls weigh like short ones.
     """
     host, path = split_url(F.col("url"))
-    rows = labelled.where("url is not null and blocked is not null").select(F.col("blocked").cast("double").alias("y"), url_features(host, path).alias("x"), "url")
-    data = rows.orderBy(F.xxhash64("url"), "url", "y").limit(TRAINING_ROWS).collect()
+    rows = labelled.where("url is not null and blocked is not null").select(F.col("blocked").cast("double").alias("y"), "url")
+    sample = rows.orderBy(F.xxhash64("url"), "url", "y").limit(TRAINING_ROWS)
+    data = sample.select("y", url_features(host, path).alias("x")).collect()
     bias, weights = 0.0, np.zeros(BUCKETS)
     if not data:
         return bias, weights.tolist()
@@ -131,8 +133,11 @@ def labelled_urls(pages: DataFrame, documents: DataFrame, labels: DataFrame) ->
     marked = labels.select("doc_id", bad.alias("bad")).where("bad is not null")
     heads = documents.select("doc_id", F.substring("text", 1, TITLE).alias("title")).where("title <> ''").join(marked, "doc_id")
     agreed = heads.groupBy("title").agg(F.min("bad").alias("blocked"), F.max("bad").alias("most")).where(F.col("blocked") == F.col("most"))
-    shown = pages.where("url is not null").select("url", page_title(F.col("html")).alias("title"))
-    return shown.join(agreed.select("title", "blocked"), "title").select("url", "blocked")
+    # a title may stand on very many pages, so each one's label is copied SALTS times and its pages are dealt to these
+    dealt = agreed.select("title", "blocked", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")
+    shown = pages.where("url is not null").select("url", page_title(F.col("html")).alias("title"), salt.alias("salt"))
+    return shown.join(dealt, ["title", "salt"]).select("url", "blocked")
 
 
 def held_out(labelled: DataFrame, threshold: float = 0.5) -> dict[str, float]:
