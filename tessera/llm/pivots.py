@@ -161,6 +161,17 @@ def _greatest(both: np.ndarray, low: np.ndarray, most: float) -> np.ndarray:
     return (both - low**2) / 2 + 1e-9 * both + 1e-6
 
 
+def _in_slices(able: np.ndarray, bound: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Candidates in the order of their bounds, by slices: none of a slice has a higher bound than one before it."""
+    cuts, at = [], step
+    while at < len(able):
+        cuts.append(at)
+        step *= 4
+        at += step
+    order = able[np.argpartition(-bound[able], cuts)] if cuts else able
+    yield from np.split(order, cuts)
+
+
 def search_block(q: np.ndarray, place: int, of_query: np.ndarray, least: float, ids: np.ndarray, rows: np.ndarray, table: np.ndarray, norm: np.ndarray, most: float, k: int) -> tuple[list[tuple[int, int]], int]:
     """The k best (-score, id) of one block for a query, of those that reach `least`, and how many were evaluated.
 
@@ -175,18 +186,18 @@ def search_block(q: np.ndarray, place: int, of_query: np.ndarray, least: float,
     if place >= 0:
         bound[place] = NOTHING
     able = np.flatnonzero(bound >= least) if least > NOTHING else np.delete(np.arange(len(ids)), [place] if place >= 0 else [])
-    order = able[np.argsort(-bound[able], kind="stable")]
     best: list[tuple[int, int]] = []
-    at, step, done = 0, max(SLICE, k), 0
-    while at < len(order) and bound[order[at]] >= least:
-        part = order[at : at + step]
+    done = 0
+    for part in _in_slices(able, bound, max(SLICE, k)):
+        part = part[bound[part] >= least]
+        if not len(part):  # so are all later ones: their bounds are lower still
+            break
         scores = _products(q, rows)[part] if len(part) * 2 > len(rows) else _products(q, rows[part])
         done += len(part)
         keep = scores >= least
         best = sorted([*best, *((-int(s), int(x)) for s, x in zip(scores[keep], ids[part][keep], strict=True))])[:k]
         if len(best) == k:
             least = max(least, float(-best[-1][0]))
-        at, step = at + step, step * 4
     return best, done
 
 
@@ -310,7 +321,7 @@ def top_k(
     k: int = 5,
     query_every: int = 50,
     scale: float = 256.0,
-    pivots: int = 128,
+    pivots: int = 64,
     query_block: int = 512,
     row_block: int = 4096,
     key: str = "vec_id",
@@ -333,7 +344,7 @@ def elimination(
     k: int = 5,
     query_every: int = 50,
     scale: float = 256.0,
-    pivots: int = 128,
+    pivots: int = 64,
     query_block: int = 512,
     row_block: int = 4096,
     key: str = "vec_id",
