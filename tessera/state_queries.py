@@ -377,14 +377,22 @@ def analyzer_options(spark, sf_dir):
 
 #: Words and their stems as published samples of the algorithms have them; the English words that end in
 #: -tion are as the deviation named in the stemmer gives them.
+# fmt: off
 STEMS = {
     "english": "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall happy happi relational relat conditional condition digitizer digit operator oper feudalism feudal formality formal triplicate triplic hopeful hope goodness good revival reviv allowance allow inference infer adjustable adjust defensible defens irritant irrit replacement replac adoption adop homologous homolog effective effect bowdlerize bowdler controlling control rolling roll",
     "german": "kategorie kategori kategorien kategori kategorisch kategor kategorische kategor kategorischen kategor kater kat katers kat katze katz katzen katz aufeinander aufeinand aufenthalt aufenthalt aufenthalts aufenthalt",
     "swedish": "jaktkarl jaktkarl jaktkarlarne jaktkarl jaktlust jaktlust klostret klostret klostrets klostret",
     "danish": "undersøgelse undersøg undersøgelser undersøg indtages indtag indtager indtag indtaget indtag",
     "norwegian": "havnedistrikt havnedistrikt havnedistrikter havnedistrikt havnene havn opning opning opninga opning",
+    "french": "continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel continuel continuelle continuel continuellement continuel continuera continu continuerait continu continueront continu continuez continu continuité continu continuons continuon majestueusement majestu majestueux majestu majesté majest majeur majeur majeure majeur malade malad maladie malad mal mal",
+    "spanish": "chequeo cheque cheques chequ chica chic chicana chican chicos chic torácicos torac tórax torax torcer torc toreado tor toreándolo tor torear tor torearlo tor torero torer toreros torer torneo torne",
+    "italian": "abbandonata abbandon abbandonava abbandon abbandonerà abbandon abbandonò abbandon abbaruffato abbaruff abbassamento abbass abbassandola abbass abbassar abbass pronto pront pronuncerà pronunc pronunciamento pronunc",
+    "portuguese": "boa boa boas boas boataria boat boate boat boates boat boatos boat química químic quinta quint quintal quintal quinze quinz",
+    "dutch": "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham lichamelijkheden licham lichamen licham licht licht lichte licht oppas oppas opname opnam",
+    "finnish": "edeltäjien edeltäj edeltäjän edeltäj edeltäjäksi edeltäj taloissa talo",
     "russian": "важная важн важнее важн важно важн важность важност падать пада падение паден",
 }
+# fmt: on
 
 
 def stem_rows() -> list[tuple[str, str, str]]:
@@ -402,6 +410,26 @@ def stem_samples(spark, sf_dir):
     return score.reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def stemmed_query(language: str, words: list[str]) -> None:
+    """Searching a stem finds the documents that hold a word of that stem; the words are listed here for SQL."""
+    stem = STEMMERS[language]
+    texts = [f"un texte avec {w} dedans" for w in words] + ["rien de tout cela"]
+    listed = ", ".join(f"({i}, {quote(t)})" for i, t in enumerate(texts))
+    held = ", ".join(str(i) for i, w in enumerate(words) if stem(w) == stem(words[0]))
+
+    @query(f"stemmed_{language}", f"SELECT n_nationkey AS k, i, t AS text FROM nation, (VALUES {listed}) AS v(i, t) WHERE i IN ({held})")
+    def run(spark, sf_dir):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        frame = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).join(F.broadcast(rows))
+        made = Collection.from_dataframe(spark, {"text": "string", "k": "number", "i": "number"}, frame.withColumn("iid", F.col("k") * 100 + F.col("i")), "iid", "iid", unique=True, analyzer=Analyzer.create(language, stemming=True))
+        found = search(made, {"term": words[0], "exact": False}).ranking.rows
+        return found.join(made.docs, "_iid").select(F.col("k").cast("int").alias("k"), F.col("i").cast("int").alias("i"), "text")
+
+
+stemmed_query("french", ["continuer", "continuait", "continuation", "majesté", "malade"])
+stemmed_query("spanish", ["torear", "toreado", "toreándolo", "chica", "cheques"])
+
+
 @query("searchable_paths", values_sql("kind, path", [("searchable", "a"), ("searchable", "b.c"), ("sortable", "a"), ("sortable", "b.n"), ("vector", "v"), ("flat", "a"), ("flat", "b.c"), ("flat", "b.p"), ("found", "b.c")]))
 def searchable_paths(spark, sf_dir):
     made = Collection(spark, {"a": "string", "b": {"c": "string[]", "n": "number"}, "v": "vector[2]", "e": "enum"})

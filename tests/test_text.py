@@ -118,3 +118,23 @@ def test_scripts_without_spaces(spark, language):
     db = Collection(spark, {"t": "string"}, analyzer=a)
     db.insert_multiple([{"id": "1", "t": texts[1]}, {"id": "2", "t": texts[0]}])
     assert [h["id"] for h in search(db, {"term": "天気"}).collect()["hits"]] == ["2"]
+
+
+def test_stemmers_stand_any_word():
+    """No stemmer fails or lengthens a word by more than a letter, whatever the letters."""
+    import random
+
+    from tessera.functions.stem import STEMMERS
+
+    for language, stem in STEMMERS.items():
+        rnd = random.Random(language)
+        for _ in range(3000):
+            word = "".join(rnd.choice("aeioucdlmnrstgmqyáéèçäößабнщть") for _ in range(rnd.randint(1, 12)))
+            assert len(stem(word)) <= len(word) + word.count("ß") + 1, (language, word)
+
+
+def test_stem_samples():
+    from tessera.functions.stem import STEMMERS
+    from tessera.state_queries import stem_rows
+
+    assert [(n, w, STEMMERS[n](w)) for n, w, _ in stem_rows()] == stem_rows()
