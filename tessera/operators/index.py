@@ -1,6 +1,6 @@
 """The inverted index as plain tables.
 
-analysed   (prop, _iid, tokens, field_len)     one row for each document and text property
+analysed   (prop, _iid, tokens, field_len)     one row for each document and text property; on disk partitioned by prop
 postings   (prop, token, _iid, tf, field_len)  exploded; on disk partitioned by prop, range-partitioned and sorted by
                                                token and document, so that no word has to fit into one file
 dictionary (prop, token, df)                   on disk sorted by token; a search reads document frequencies from it
@@ -86,19 +86,25 @@ class TextIndex:
         return rows.agg((total / F.max("n")).alias("avg_len")).select(F.lit(prop).alias("prop"), "avg_len")
 
     def write(self, path: str, more: tuple[str, ...] = ()) -> None:
-        """Write the tables under path; more: `sentences`, `placed`."""
-        props = self.schema.searchable
+        """Write the tables under path; more: `sentences`, `placed`. Texts are analysed once, into a table of tokens that
+        the others are made of."""
+        props, spark = self.schema.searchable, self.docs.sparkSession
         if not props:
             return
-        write_postings(self.postings(props), path)
-        write_dictionary(frequencies(self.docs.sparkSession.read.parquet(f"{path}/postings"), self.analyzer.allow_duplicates), path)
-        stats = self.analysed(props).groupBy("prop").agg(F.avg("field_len").alias("avg_len"), F.count("*").alias("n_fields"))
+        self.analysed(props).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/analysed")
+        made = TextIndex(self.schema, self.analyzer, self.docs, kept=spark.read.parquet(f"{path}/analysed"))
+        write_postings(made.postings(props), path)
+        write_dictionary(frequencies(made.postings(props), self.analyzer.allow_duplicates), path)
+        stats = made.analysed(props).groupBy("prop").agg(F.avg("field_len").alias("avg_len"), F.count("*").alias("n_fields"))
         stats.crossJoin(F.broadcast(self.docs.agg(F.count("*").alias("n_docs")))).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
         for name in more:
             from . import score
 
-            made = {"sentences": score.sentence_postings, "placed": score.placed_tokens}[name](self, props, self.docs)
-            by_token(made).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/{name}")
+            rows = {"sentences": score.sentence_postings, "placed": score.placed_tokens}[name](made, props, self.docs)
+            if name == "sentences":  # analysed for itself, so written once before it is ordered
+                rows.write.mode("overwrite").parquet(f"{path}/unordered")
+                rows = spark.read.parquet(f"{path}/unordered")
+            by_token(rows).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(schema: Schema, analyzer: Analyzer, docs: DataFrame, path: str, more: tuple[str, ...] = ()) -> TextIndex:

@@ -112,3 +112,47 @@ def test_filters_reach_the_scan(spark, sf):
     assert "o_orderpriority" not in plan
     scored = search(db, {"where": {"not": {"price": {"gt": 1000}}}})
     assert scored.count == frame.where("price <= 1000").count()
+
+
+def test_stored_search_scans_postings_once(spark, sf, tmp_path):
+    """A page on a stored index reads the postings once; document frequencies come from the dictionary."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    db = Collection.from_dataframe(spark, {"text": "string"}, frame, "doc_id", "doc_id").checkpoint(str(tmp_path / "one"))
+    plan = search(db, {"term": "the wh"}).page_frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # the postings and the dictionary
+    assert "analysed" not in plan and "Generate" in plan
+
+
+def test_ids_of_frames(spark):
+    """Internal ids go on after those of a frame, and repeated ids raise."""
+    frame = spark.createDataFrame([(i, f"zebra {i}") for i in range(5, 9)], "k long, t string")
+    db = Collection.from_dataframe(spark, {"t": "string"}, frame, "k", "k")
+    db.insert({"id": "new", "t": "unicorn"})
+    assert [(r["_iid"], r.id) for r in db.docs.where("t = 'unicorn'").collect()] == [(9, "new")]
+    assert [h["id"] for h in search(db, {"term": "unicorn"}).collect()["hits"]] == ["new"]
+    for bad in (frame.union(frame), frame.withColumn("k", F.lit(1).cast("long")), frame.withColumn("k", F.lit(None).cast("long"))):
+        with pytest.raises(EngineError) as e:
+            Collection.from_dataframe(spark, {"t": "string"}, bad, "k", "k")
+        assert e.value.code == "DOCUMENT_ALREADY_EXISTS"
+    with pytest.raises(EngineError):
+        db.insert_dataframe(frame, "k", "k")
+    with pytest.raises(EngineError):
+        db.upsert_dataframe(frame.union(frame), "k", "k")
+
+
+def test_small_inserts_wait_in_memory(spark, monkeypatch):
+    """Many small inserts make one branch of the plan, not one each."""
+    from tessera import collection
+
+    monkeypatch.setattr(collection, "PENDING", 15)
+    db = Collection(spark, {"t": "string"})
+    for i in range(40):
+        db.insert({"id": str(i), "t": f"text {i}"})
+    plan = db.docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4
+    assert db.count() == 40 and db.get_by_id("39")["t"] == "text 39"
+    with pytest.raises(EngineError):
+        db.insert({"id": "39", "t": "again"})
+    with pytest.raises(EngineError):
+        db.insert({"id": "1", "t": "again"})
+    assert db.remove("39") and db.count() == 39
