@@ -54,14 +54,38 @@ class AnswerSession:
         self.messages, self.state = [], []
 
 
-def retrieve(collection: Collection, questions: DataFrame, key: list[str], text: str, prop: str, k: int = 3) -> DataFrame:
-    """(key..., rank, id, shared): for each question the k documents that share the most distinct tokens with it.
+def retrieve(collection: Collection, questions: DataFrame, key: list[str], text: str, prop: str, k: int = 3, first: float = 0.25) -> DataFrame:
+    """(key..., rank, id, shared): for each question the k documents that share the most distinct tokens with it; ties
+    go to the document inserted first. key must tell questions apart.
 
-    Questions and documents meet on tokens, so neither side is collected; ties go to the document inserted first.
+    A question's tokens are ordered from the rarest on. Documents that hold one of the first of them (a part `first`) are
+    candidates, and their shared tokens are counted on whole token sets; the k-th best count is s. A document that
+    shares s tokens of m holds one of the m - s + 1 rarest, so candidates by these, and no more, can still enter. Hence
+    frequent words are looked up only for questions that share little with any document. Exact for any `first`.
     """
-    asked = questions.select(*key, F.explode(collection.analyzer.tokens(F.col(text), prop)).alias("token"))
-    held = collection.index.postings([prop]).select("token", "_iid")
-    counts = asked.join(held, "token").groupBy(*key, "_iid").agg(F.count("*").alias("shared"))
-    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("shared"), "_iid"))
-    top = counts.withColumn("rank", best).where(F.col("rank") <= k)
-    return top.join(collection.docs.select("_iid", "id"), "_iid").select(*key, "rank", "id", "shared")
+    index = collection.index
+    given = questions.select(*key, F.array_distinct(collection.analyzer.tokens(F.col(text), prop)).alias("tokens"))
+    words = given.select(*key, F.explode("tokens").alias("token"))
+    known = index.dictionary([prop]).select("token", "df")
+    ordered = words.join(known, "token").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens"))
+    ordered = ordered.withColumn("m", F.size("tokens")).withColumn("p", F.greatest(F.lit(1), F.ceil(F.col("m") * first)).cast("int"))
+    held = index.postings([prop]).select("token", "_iid")
+    whole = index.analysed([prop]).select("_iid", F.col("tokens").alias("doc"))
+
+    def counted(tokens: DataFrame) -> DataFrame:
+        """(key..., _iid, shared) of the documents that hold one of the listed tokens (key..., tokens, part)."""
+        pairs = tokens.select(*key, "tokens", F.explode("part").alias("token")).join(held, "token").select(*key, "tokens", "_iid").dropDuplicates([*key, "_iid"])
+        return pairs.join(whole, "_iid").select(*key, "_iid", F.size(F.array_intersect("tokens", "doc")).cast("long").alias("shared"))
+
+    best = Window.partitionBy(*key).orderBy(F.desc("shared"), "_iid")
+
+    def top(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    early = top(counted(ordered.withColumn("part", F.slice("tokens", 1, F.col("p")))))
+    kth = early.groupBy(*key).agg(F.when(F.count("*") == k, F.min("shared")).otherwise(F.lit(1)).alias("s"))
+    need = F.col("m") - F.coalesce("s", F.lit(1)) + 1
+    later = ordered.join(kth, key, "left").withColumn("need", need.cast("int")).where(F.col("need") > F.col("p"))
+    late = counted(later.withColumn("part", F.slice("tokens", F.col("p") + 1, F.col("need") - F.col("p"))))
+    rows = early.drop("rank").unionByName(late).dropDuplicates([*key, "_iid"])
+    return top(rows).join(collection.docs.select("_iid", "id"), "_iid").select(*key, "rank", "id", "shared")

@@ -64,7 +64,7 @@ class TextIndex:
     def field_stats(self, props: list[str]) -> DataFrame:
         """(prop, avg_len): the mean number of tokens over the documents that have the property."""
         if self.stored is not None:
-            return self.stored["field_stats"].where(F.col("prop").isin(props))
+            return self.stored["field_stats"].where(F.col("prop").isin(props)).select("prop", "avg_len")
         return self.analysed(props).groupBy("prop").agg(F.avg("field_len").alias("avg_len"))
 
     def dictionary(self, props: list[str], keep: Column | None = None) -> DataFrame:
@@ -110,10 +110,10 @@ class TextIndex:
     def read(schema: Schema, analyzer: Analyzer, docs: DataFrame, path: str, more: tuple[str, ...] = ()) -> TextIndex:
         """The index whose tables `write` left under path. The field statistics, a row for each property, are read now."""
         spark = docs.sparkSession
-        stored = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "dictionary", "field_stats", *more)}
+        stored = {n: spark.read.parquet(f"{path}/{n}") for n in ("analysed", "postings", "dictionary", "field_stats", *more)}
         found = stored["field_stats"].collect()
         known = (found[0].n_docs, {r.prop: r.avg_len for r in found}) if found else (docs.count(), {})
-        return TextIndex(schema, analyzer, docs, stored, known=known, sentences=stored.get("sentences"), placed=stored.get("placed"))
+        return TextIndex(schema, analyzer, docs, stored, stored["analysed"], known, stored.get("sentences"), stored.get("placed"))
 
     def statistics(self, props: list[str]) -> tuple[int, dict[str, float]]:
         """The number of documents and each property's mean length; asked for once and then remembered."""

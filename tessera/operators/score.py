@@ -162,7 +162,7 @@ def sentence_postings(index: TextIndex, props: list[str], rows: DataFrame) -> Da
 def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """Scores by sentences: a matched word counts occ^2 / n, and 1 if it is a query token itself; words that share
     sentences add 2 for each shared one, which sums up to 2 (sum of bits - bits of the union)."""
-    if index.kept is not None and index.sentences is None:  # as lazy as the tokens are: the first search fills it
+    if index.kept is not None and index.stored is None and index.sentences is None:  # as lazy as the tokens are: the first search fills it
         index.sentences = sentence_postings(index, index.schema.searchable, index.docs).persist()
     if index.sentences is not None:
         found = index.sentences.where(F.col("prop").isin(query.props)).where(any_match(query, F.col("token")))

@@ -34,7 +34,10 @@ def updated_index(index: TextIndex, inserted: DataFrame, removed: DataFrame, pat
     leaving = TextIndex(schema, analyzer, index.docs.join(removed.select("_iid").distinct(), "_iid", "left_semi"))
     gone = index.postings(props).join(removed.select("_iid"), "_iid", "left_semi")
     kept = index.postings(props).join(removed.select("_iid"), "_iid", "left_anti")
-    new = TextIndex(schema, analyzer, inserted).postings(props)
+    coming = TextIndex(schema, analyzer, inserted)
+    staying = index.analysed(props).join(removed.select("_iid"), "_iid", "left_anti")
+    staying.unionByName(coming.analysed(props)).write.partitionBy("prop").mode("overwrite").parquet(f"{path}/analysed")
+    new = coming.postings(props)
     write_postings(kept.unionByName(new), path)
 
     repeated = analyzer.allow_duplicates
@@ -47,7 +50,7 @@ def updated_index(index: TextIndex, inserted: DataFrame, removed: DataFrame, pat
 
     old = index.stored["field_stats"]
     sums = old.select("prop", (F.col("avg_len") * F.col("n_fields")).alias("total"), "n_fields")
-    sums = sums.unionByName(fields(TextIndex(schema, analyzer, inserted).analysed(props), 1)).unionByName(fields(leaving.analysed(props), -1)).groupBy("prop").agg(F.sum("total").alias("total"), F.sum("n_fields").alias("n_fields"))
+    sums = sums.unionByName(fields(coming.analysed(props), 1)).unionByName(fields(leaving.analysed(props), -1)).groupBy("prop").agg(F.sum("total").alias("total"), F.sum("n_fields").alias("n_fields"))
     n = index.statistics([])[0] + inserted.count() - leaving.docs.count()
     stats = sums.where("n_fields > 0").select("prop", (F.col("total") / F.col("n_fields")).alias("avg_len"), "n_fields", F.lit(n).cast("long").alias("n_docs"))
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
