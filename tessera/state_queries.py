@@ -119,7 +119,7 @@ def change_documents(spark, sf_dir):
 @query(
     "hooks_and_components",
     """SELECT 'beforeInsertMultiple' AS hook, count(*) AS n FROM nation UNION ALL SELECT 'afterInsertMultiple', count(*) FROM nation UNION ALL SELECT 'beforeSearch', 1
-    UNION ALL SELECT 'afterSearch', 1 UNION ALL SELECT 'ids', sum(n_nationkey + 100) FROM nation
+    UNION ALL SELECT 'afterSearch', 1 UNION ALL SELECT 'ids', CAST(sum(n_nationkey + 100) AS BIGINT) FROM nation
     UNION ALL SELECT 'values', count(*) FROM nation WHERE right(n_name, 1) = (SELECT right(n_name, 1) FROM nation WHERE n_nationkey = 0) UNION ALL SELECT 'elapsed', 1""",
 )
 def hooks_and_components(spark, sf_dir):
