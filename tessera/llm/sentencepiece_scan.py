@@ -294,8 +294,12 @@ def boundary_states(chunks: DataFrame, model: str, fan: int, parts: int) -> Data
         return dealt.repartition(parts, "name", "grp").sortWithinPartitions("name", "grp", "n")
 
     schema = "name string, n long, rows int, m binary"
-    levels = [stage(chunks.mapInPandas(matrix, schema), "matrices")]
-    most = levels[0].agg(F.max("n")).first()[0] or 0
+    most = chunks.agg(F.max("n")).first()[0] or 0
+    levels = [chunks.mapInPandas(matrix, schema)]
+    if most < fan:  # one level, read once
+        found = in_groups(levels[0].withColumns({"entry": F.lit(0), "end": F.lit(-1)}))
+        return found.mapInPandas(down, "name string, n long, entry int, end int")
+    levels = [stage(levels[0], "matrices")]
     while most >= fan:
         levels.append(stage(in_groups(levels[-1]).mapInPandas(up, schema), "matrices"))
         most //= fan
