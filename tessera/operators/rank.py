@@ -19,6 +19,8 @@ from ..functions.text import LOCALES
 from ..schema import Schema, inner, is_array, vector_size
 
 LAST = 1 << 40
+#: Frames of more rows are not broadcast by hint.
+MOST_BROADCAST = 10_000
 PIN_SCORE = 1_000_000.0
 
 
@@ -115,7 +117,8 @@ def pin(ranking: Ranking, docs: DataFrame, pins: list[tuple[str, int]]) -> Ranki
     for _, position in places:
         slot = F.when(slot >= position, slot + 1).otherwise(slot)
     numbered = first.select("_iid", slot.cast("long").alias("_slot"))
-    rest = free.join(F.broadcast(numbered), "_iid", "left").withColumn("_slot", F.coalesce("_slot", F.lit(LAST)))
+    numbered = F.broadcast(numbered) if most <= MOST_BROADCAST else numbered
+    rest = free.join(numbered, "_iid", "left").withColumn("_slot", F.coalesce("_slot", F.lit(LAST)))
     given = spark.createDataFrame(places, "_iid long, _slot long")
     inside = ranking.rows.where(F.col("_iid").isin(iids))
     pinned = given.join(inside, "_iid", "left")

@@ -71,7 +71,10 @@ def places(spark: SparkSession, sf_dir: str) -> Collection:
     return Collection.from_dataframe(spark, {"c_name": "string", "place": "geopoint"}, frame, "c_custkey", "c_custkey", unique=True)
 
 
-PLACES_SQL = "places AS (SELECT c_custkey AS iid, (c_custkey * 7919 % 36000) / 100.0 - 180 AS lon, (c_custkey * 104729 % 17000) / 100.0 - 85 AS lat FROM customer)"
+PLACES_SQL = (
+    "places AS (SELECT c_custkey AS iid, (c_custkey * 7919 % 36000) / 100.0 - 180 AS lon, (c_custkey * 104729 % 17000) / 100.0 - 85 AS lat FROM "
+    "customer)"
+)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> Collection:
@@ -148,17 +151,23 @@ def bm25_prefix(spark, sf_dir):
     return ranked(search(documents(spark, sf_dir), {"term": DOC_TERM}), "doc_id")
 
 
-@query("bm25_top_page", f"WITH {DOC} SELECT iid AS doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, iid) AS place FROM r ORDER BY round(score, 9) DESC, iid LIMIT 10")
+@query("bm25_top_page",
+    f"WITH {DOC} SELECT iid AS doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, iid) AS place FROM r ORDER BY round(score, 9) DESC, iid "
+    f"LIMIT 10")
 def bm25_top_page(spark, sf_dir):
     return page(search(documents(spark, sf_dir), {"term": DOC_TERM}), "doc_id")
 
 
-@query("bm25_exact_term", f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['than', 'with'], 'exact')} {RANKED_DOC} WHERE iid IN (SELECT iid FROM docs WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])than([^A-Za-z0-9_]|$)') AND regexp_matches(text, '(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)'))")
+@query("bm25_exact_term",
+    f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['than', 'with'], 'exact')} {RANKED_DOC} WHERE iid IN (SELECT iid FROM docs WHERE "
+    f"regexp_matches(text, '(^|[^A-Za-z0-9_])than([^A-Za-z0-9_]|$)') AND regexp_matches(text, '(^|[^A-Za-z0-9_])with([^A-Za-z0-9_]|$)'))")
 def bm25_exact_term(spark, sf_dir):
     return ranked(search(documents(spark, sf_dir), {"term": "than with", "exact": True}), "doc_id")
 
 
-@query("exact_case_sensitive", f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['of'], 'exact')} {RANKED_DOC} WHERE iid IN (SELECT iid FROM docs WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])Of([^A-Za-z0-9_]|$)'))")
+@query("exact_case_sensitive",
+    f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['of'], 'exact')} {RANKED_DOC} WHERE iid IN (SELECT iid FROM docs WHERE "
+    f"regexp_matches(text, '(^|[^A-Za-z0-9_])Of([^A-Za-z0-9_]|$)'))")
 def exact_case_sensitive(spark, sf_dir):
     return ranked(search(documents(spark, sf_dir), {"term": "Of", "exact": True}), "doc_id")
 
@@ -189,7 +198,10 @@ def bm25_filtered(spark, sf_dir):
 LONG_WHERE = "n_chars >= 1000 AND lang IN ('en', 'fr')"
 
 
-@query("long_text_complex_filter", f"WITH {scored_sql('documents', 'doc_id', {'text': 1}, ['the', 'than', 'with', 'inging', 'for', 'tion', 'of', 'and', 'that'], where=LONG_WHERE)} {RANKED_DOC}")
+@query("long_text_complex_filter",
+    f"WITH "
+    f"{scored_sql('documents', 'doc_id', {'text': 1}, ['the', 'than', 'with', 'inging', 'for', 'tion', 'of', 'and', 'that'], where=LONG_WHERE)} "
+    f"{RANKED_DOC}")
 def long_text_complex_filter(spark, sf_dir):
     where = {"n_chars": {"gte": 1000}, "lang": {"in": ["en", "fr"]}}
     return ranked(search(documents(spark, sf_dir), {"term": "the than with inging for tion of and that", "where": where}), "doc_id")
@@ -224,12 +236,16 @@ def tokens_german(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(tokens).cast("long").alias("n"))
 
 
-@query("dictionary_df", f"WITH {PART_SQL}, an AS (SELECT {tokens_sql('p_name')} AS t FROM part_docs), x AS (SELECT unnest(t) AS token FROM an) SELECT 'p_name' AS prop, token, count(*) AS df FROM x GROUP BY token")
+@query("dictionary_df",
+    f"WITH {PART_SQL}, an AS (SELECT {tokens_sql('p_name')} AS t FROM part_docs), x AS (SELECT unnest(t) AS token FROM an) SELECT 'p_name' AS "
+    f"prop, token, count(*) AS df FROM x GROUP BY token")
 def dictionary_df(spark, sf_dir):
     return parts(spark, sf_dir).index.dictionary(["p_name"])
 
 
-@query("field_stats", f"WITH an AS (SELECT {tokens_sql('text')} AS t FROM documents WHERE text IS NOT NULL) SELECT 'text' AS prop, round(avg(len(t)), 6) AS avg_len FROM an")
+@query("field_stats",
+    f"WITH an AS (SELECT {tokens_sql('text')} AS t FROM documents WHERE text IS NOT NULL) SELECT 'text' AS prop, round(avg(len(t)), 6) AS avg_len "
+    f"FROM an")
 def field_stats(spark, sf_dir):
     return documents(spark, sf_dir).index.field_stats(["text"]).select("prop", F.round("avg_len", 6).alias("avg_len"))
 
@@ -254,8 +270,10 @@ for op, value, test in (
     where_query(f"where_num_{op}", orders, "o_orderkey", {"price": {op: value}}, f"SELECT o_orderkey FROM orders WHERE o_totalprice {test}")
 where_query("where_bool", orders, "o_orderkey", {"big": True}, "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
 where_query("where_enum_eq", orders, "o_orderkey", {"status": {"eq": "F"}}, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-where_query("where_enum_in", orders, "o_orderkey", {"priority": {"in": ["1-URGENT", "2-HIGH"]}}, "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-where_query("where_enum_nin", orders, "o_orderkey", {"priority": {"nin": ["1-URGENT", "2-HIGH"]}}, "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+where_query("where_enum_in", orders, "o_orderkey", {"priority": {"in": ["1-URGENT", "2-HIGH"]}},
+    "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+where_query("where_enum_nin", orders, "o_orderkey", {"priority": {"nin": ["1-URGENT", "2-HIGH"]}},
+    "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
 where_query(
     "where_and_or_not",
     orders,
@@ -264,9 +282,14 @@ where_query(
     "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 200000) AND NOT coalesce(o_orderpriority = '1-URGENT', false)",
 )
 where_query("where_empty_and", orders, "o_orderkey", {"and": []}, "SELECT o_orderkey FROM orders WHERE false")
-where_query("where_missing_not", parts, "p_partkey", {"not": {"p_size": {"gt": 20}}}, f"WITH {PART_SQL} SELECT iid AS p_partkey FROM part_docs WHERE NOT coalesce(p_size > 20, false)")
-where_query("where_string_terms", documents, "doc_id", {"text": ["inging", "wher"]}, f"SELECT doc_id FROM documents WHERE list_has_any({tokens_sql('text')}, ['inging', 'wher'])")
-TAGS_SQL = "SELECT p_partkey FROM part WHERE {}(string_split(p_name, ' '), [(SELECT string_split(p_name, ' ')[1] FROM part WHERE p_partkey = 1), (SELECT string_split(p_name, ' ')[2] FROM part WHERE p_partkey = 1)])"
+where_query("where_missing_not", parts, "p_partkey", {"not": {"p_size": {"gt": 20}}},
+    f"WITH {PART_SQL} SELECT iid AS p_partkey FROM part_docs WHERE NOT coalesce(p_size > 20, false)")
+where_query("where_string_terms", documents, "doc_id", {"text": ["inging", "wher"]},
+    f"SELECT doc_id FROM documents WHERE list_has_any({tokens_sql('text')}, ['inging', 'wher'])")
+TAGS_SQL = (
+    "SELECT p_partkey FROM part WHERE {}(string_split(p_name, ' '), [(SELECT string_split(p_name, ' ')[1] FROM part WHERE p_partkey = 1), "
+    "(SELECT string_split(p_name, ' ')[2] FROM part WHERE p_partkey = 1)])"
+)
 
 
 def tags_query(name: str, op: str, function: str) -> None:
@@ -284,7 +307,9 @@ tags_query("where_arr_any", "containsAny", "list_has_any")
 
 
 def sorted_query(name: str, prop: str, order: str, sql_order: str, offset: int = 0, limit: int = 25) -> None:
-    @query(name, f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY {sql_order}) AS rn FROM part_docs) SELECT iid AS p_partkey, rn - {offset} AS place FROM o WHERE rn > {offset} AND rn <= {offset + limit}")
+    @query(name,
+        f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY {sql_order}) AS rn FROM part_docs) SELECT iid AS p_partkey, rn - {offset} AS "
+        f"place FROM o WHERE rn > {offset} AND rn <= {offset + limit}")
     def run(spark, sf_dir):
         return page(search(parts(spark, sf_dir), {"sortBy": {"property": prop, "order": order, "locale": False}, "offset": offset, "limit": limit}), "p_partkey")
 
@@ -296,7 +321,9 @@ sorted_query("sort_bool", "cheap", "ASC", "cheap ASC NULLS LAST, CASE WHEN cheap
 sorted_query("page_offset_limit", "p_retailprice", "DESC", "p_retailprice DESC NULLS LAST, iid DESC", 30, 15)
 
 
-@query("distinct_on", f"WITH {PART_SCORED}, d AS (SELECT iid, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 9) DESC, iid) AS rn FROM r JOIN part_docs USING (iid) WHERE p_brand IS NOT NULL) SELECT iid AS p_partkey FROM d WHERE rn = 1")
+@query("distinct_on",
+    f"WITH {PART_SCORED}, d AS (SELECT iid, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 9) DESC, iid) AS rn FROM r JOIN "
+    f"part_docs USING (iid) WHERE p_brand IS NOT NULL) SELECT iid AS p_partkey FROM d WHERE rn = 1")
 def distinct_on(spark, sf_dir):
     found = search(parts(spark, sf_dir), {"term": "st", "properties": ["p_name", "p_type"], "boost": {"p_name": 2.5}, "distinctOn": "p_brand"})
     return found.ranking.rows.select(F.col("_iid").alias("p_partkey"))
@@ -305,7 +332,9 @@ def distinct_on(spark, sf_dir):
 # ---- facets and groups ----
 
 
-@query("facet_string", f"WITH {PART_SCORED} SELECT p_brand AS value, count(*) AS count FROM r JOIN part_docs USING (iid) GROUP BY p_brand ORDER BY count DESC, value LIMIT 10")
+@query("facet_string",
+    f"WITH {PART_SCORED} SELECT p_brand AS value, count(*) AS count FROM r JOIN part_docs USING (iid) GROUP BY p_brand ORDER BY count DESC, value "
+    f"LIMIT 10")
 def facet_string(spark, sf_dir):
     return search(parts(spark, sf_dir), {"term": "st", "properties": ["p_name", "p_type"], "facets": {"p_brand": {}}}).facets["p_brand"]
 
@@ -313,7 +342,8 @@ def facet_string(spark, sf_dir):
 RANGES = [(0, 10), (5, 25), (25, 50), (60, 70)]
 
 
-@query("facet_number_ranges", f"WITH {PART_SQL} " + " UNION ALL ".join(f"SELECT '{a}-{b}' AS value, CAST(count(*) FILTER (p_size BETWEEN {a} AND {b}) AS BIGINT) AS count FROM part_docs" for a, b in RANGES))
+@query("facet_number_ranges", f"WITH {PART_SQL} " + " UNION ALL ".join(
+    f"SELECT '{a}-{b}' AS value, CAST(count(*) FILTER (p_size BETWEEN {a} AND {b}) AS BIGINT) AS count FROM part_docs" for a, b in RANGES))
 def facet_number_ranges(spark, sf_dir):
     return search(parts(spark, sf_dir), {"facets": {"p_size": {"ranges": [{"from": a, "to": b} for a, b in RANGES]}}}).facets["p_size"]
 
@@ -335,7 +365,8 @@ def facet_enum_array(spark, sf_dir):
 
 @query(
     "group_1",
-    f"WITH {PART_SQL}, k AS (SELECT iid, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST, iid DESC) AS n FROM part_docs WHERE p_brand IS NOT NULL) SELECT p_brand AS g0, iid AS p_partkey FROM k WHERE n <= 3",
+        f"WITH {PART_SQL}, k AS (SELECT iid, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST, iid DESC) AS n "
+        f"FROM part_docs WHERE p_brand IS NOT NULL) SELECT p_brand AS g0, iid AS p_partkey FROM k WHERE n <= 3",
 )
 def group_1(spark, sf_dir):
     made = parts(spark, sf_dir)
@@ -355,7 +386,9 @@ def group_2_max(spark, sf_dir):
     return rank.grouped_rows(found.ranking, made.docs, made.schema, ["p_brand", "cheap"], 40).select("g0", "g1", F.col("_iid").alias("p_partkey"))
 
 
-@query("group_reduce", f"WITH {PART_SCORED} SELECT p_brand AS g0, count(*) AS n, round(sum(score), 6) AS total FROM r JOIN part_docs USING (iid) WHERE p_brand IS NOT NULL GROUP BY p_brand")
+@query("group_reduce",
+    f"WITH {PART_SCORED} SELECT p_brand AS g0, count(*) AS n, round(sum(score), 6) AS total FROM r JOIN part_docs USING (iid) WHERE p_brand IS "
+    f"NOT NULL GROUP BY p_brand")
 def group_reduce(spark, sf_dir):
     def total(rows):
         return F.struct(F.size(rows).cast("long").alias("n"), F.round(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["score"]), 6).alias("total"))
@@ -369,7 +402,9 @@ def group_reduce(spark, sf_dir):
 COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 7) AS DOUBLE[]))"
 
 
-@query("vector_topk", f"SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS place FROM (SELECT vec_id, {COSINE} AS c FROM embeddings) WHERE c >= 0.1 ORDER BY c DESC, vec_id LIMIT 10")
+@query("vector_topk",
+    f"SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) AS place FROM (SELECT vec_id, {COSINE} AS c FROM embeddings) WHERE c >= 0.1 "
+    f"ORDER BY c DESC, vec_id LIMIT 10")
 def vector_topk(spark, sf_dir):
     found = search(vectors(spark, sf_dir), {"mode": "vector", "vector": {"value": query_vector(spark, sf_dir), "property": "embedding"}, "similarity": 0.1})
     return page(found, "vec_id")
@@ -387,7 +422,9 @@ t2 AS (SELECT iid, score / max(score) OVER () AS t FROM r), v2 AS (SELECT iid, s
 
 
 def hybrid_query(name: str, weights: dict | None, a: float, b: float) -> None:
-    @query(name, f"WITH {HYBRID} SELECT coalesce(t2.iid, v2.iid) AS vec_id, round({a} * coalesce(t, 0) + {b} * coalesce(v, 0), 6) AS score FROM t2 FULL OUTER JOIN v2 ON t2.iid = v2.iid")
+    @query(name,
+        f"WITH {HYBRID} SELECT coalesce(t2.iid, v2.iid) AS vec_id, round({a} * coalesce(t, 0) + {b} * coalesce(v, 0), 6) AS score FROM t2 FULL OUTER "
+        f"JOIN v2 ON t2.iid = v2.iid")
     def run(spark, sf_dir):
         params = {"mode": "hybrid", "term": DOC_TERM, "vector": {"value": query_vector(spark, sf_dir), "property": "embedding"}, "similarity": 0.1}
         return ranked(search(vectors(spark, sf_dir), params | ({"hybridWeights": weights} if weights else {})), "vec_id")
@@ -400,7 +437,9 @@ hybrid_query("hybrid_weights", {"text": 0.8, "vector": 0.2}, 0.8, 0.2)
 # ---- places ----
 
 CENTRE = {"lon": 9.19, "lat": 45.46}
-HAVERSINE = "2 * 6371000 * atan2(sqrt({a}), sqrt(1 - {a}))".format(a="(pow(sin((radians(lat) - radians(45.46)) / 2), 2) + cos(radians(45.46)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(9.19)) / 2), 2))")
+HAVERSINE = "2 * 6371000 * atan2(sqrt({a}), sqrt(1 - {a}))".format(a=
+    "(pow(sin((radians(lat) - radians(45.46)) / 2), 2) + cos(radians(45.46)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(9.19)) / 2), "
+    "2))")
 POLYGON = [{"lon": -20.0, "lat": -10.0}, {"lon": 60.5, "lat": -30.25}, {"lon": 90.0, "lat": 40.0}, {"lon": 20.0, "lat": 12.5}, {"lon": -30.0, "lat": 55.0}]
 
 
@@ -422,7 +461,9 @@ geo_query("geo_polygon", {"polygon": {"coordinates": POLYGON}}, polygon_sql())
 geo_query("geo_polygon_out", {"polygon": {"coordinates": POLYGON, "inside": False}}, f"NOT ({polygon_sql()})")
 
 
-@query("geo_score", f"WITH {PLACES_SQL}, d AS (SELECT iid, {HAVERSINE} AS d FROM places WHERE {HAVERSINE} <= 4000000) SELECT iid AS c_custkey, round(max(d) OVER () - d + 1, 3) AS score FROM d")
+@query("geo_score",
+    f"WITH {PLACES_SQL}, d AS (SELECT iid, {HAVERSINE} AS d FROM places WHERE {HAVERSINE} <= 4000000) SELECT iid AS c_custkey, round(max(d) OVER "
+    f"() - d + 1, 3) AS score FROM d")
 def geo_score(spark, sf_dir):
     found = search(places(spark, sf_dir), {"where": {"place": {"radius": {"coordinates": CENTRE, "value": 4000, "unit": "km"}}}})
     return found.ranking.rows.select(F.col("_iid").alias("c_custkey"), F.round("score", 3).alias("score"))
@@ -456,7 +497,9 @@ pin_query("pin_outside", (("no such part", 1), ("5", 4)), [(5, 4)])
 # ---- changes ----
 
 
-@query("upsert_merge", "SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE n_chars END AS DOUBLE) AS n_chars FROM documents UNION ALL SELECT doc_id + 1000000, CAST(2 AS DOUBLE) FROM documents WHERE doc_id % 100 = 0")
+@query("upsert_merge",
+    "SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE n_chars END AS DOUBLE) AS n_chars FROM documents UNION ALL SELECT doc_id + "
+    "1000000, CAST(2 AS DOUBLE) FROM documents WHERE doc_id % 100 = 0")
 def upsert_merge(spark, sf_dir):
     made, frame = documents(spark, sf_dir), table(spark, sf_dir, "documents")
     changed = frame.where("doc_id % 10 = 0").withColumn("n_chars", F.lit(1))
@@ -557,7 +600,9 @@ def rag_retrieve(spark, sf_dir):
 # ---- streams ----
 
 
-@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("event_windows",
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, "
+    "2")
 def event_windows(spark, sf_dir):
     found = maintenance.event_windows(table(spark, sf_dir, "events"))
     return found.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -16,16 +16,13 @@ from .errors import EngineError
 from .functions.text import format_nanoseconds, whole_word
 from .functions.vector import cosine
 from .operators import rank
-from .operators.rank import Ranking
+from .operators.rank import MOST_BROADCAST, Ranking
 from .operators.score import Bm25, TextQuery, apply_threshold
 from .plans.where import compile_where, geo_distance, geo_only
 from .schema import vector_size
 
 SIMILARITY = 0.8
 
-#: Pages of more rows are not broadcast.
-MOST_BROADCAST = 10_000
-
 
 @dataclass
 class SearchResult:

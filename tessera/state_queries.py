@@ -89,7 +89,9 @@ def insert_after_frame(spark, sf_dir):
     return found.crossJoin(made.docs.agg(F.count("*").alias("n")))
 
 
-@query("documents_by_id", f"WITH {NATION_SQL}, w AS (SELECT unnest(['3', 'none', '17']) AS wanted) SELECT wanted, name, (SELECT count(*) FROM n) AS n FROM w LEFT JOIN n ON id = wanted")
+@query("documents_by_id",
+    f"WITH {NATION_SQL}, w AS (SELECT unnest(['3', 'none', '17']) AS wanted) SELECT wanted, name, (SELECT count(*) FROM n) AS n FROM w LEFT JOIN "
+    f"n ON id = wanted")
 def documents_by_id(spark, sf_dir):
     made = Collection(spark, NATION)
     made.insert_multiple(nations(spark, sf_dir))
@@ -102,7 +104,9 @@ def documents_by_id(spark, sf_dir):
 CHANGED = """CASE WHEN k = 2 THEN 'TWO' WHEN k IN (3, 4) THEN 'MANY' WHEN k = 5 THEN 'UPSERTED' WHEN k = 6 THEN 'UPSERTED MANY' ELSE name END"""
 
 
-@query("change_documents", f"WITH {NATION_SQL} SELECT id, {CHANGED} AS name FROM n WHERE k NOT IN (0, 1, 7) UNION ALL SELECT 'x1', 'NEW' UNION ALL SELECT 'x2', 'NEW MANY'")
+@query("change_documents",
+    f"WITH {NATION_SQL} SELECT id, {CHANGED} AS name FROM n WHERE k NOT IN (0, 1, 7) UNION ALL SELECT 'x1', 'NEW' UNION ALL SELECT 'x2', 'NEW "
+    f"MANY'")
 def change_documents(spark, sf_dir):
     made = Collection(spark, NATION)
     made.insert_multiple(nations(spark, sf_dir))
@@ -379,16 +383,32 @@ def analyzer_options(spark, sf_dir):
 #: -tion are as the deviation named in the stemmer gives them.
 # fmt: off
 STEMS = {
-    "english": "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall happy happi relational relat conditional condition digitizer digit operator oper feudalism feudal formality formal triplicate triplic hopeful hope goodness good revival reviv allowance allow inference infer adjustable adjust defensible defens irritant irrit replacement replac adoption adop homologous homolog effective effect bowdlerize bowdler controlling control rolling roll",
-    "german": "kategorie kategori kategorien kategori kategorisch kategor kategorische kategor kategorischen kategor kater kat katers kat katze katz katzen katz aufeinander aufeinand aufenthalt aufenthalt aufenthalts aufenthalt",
+    "english":
+        "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop "
+        "falling fall happy happi relational relat conditional condition digitizer digit operator oper feudalism feudal formality formal triplicate "
+        "triplic hopeful hope goodness good revival reviv allowance allow inference infer adjustable adjust defensible defens irritant irrit "
+        "replacement replac adoption adop homologous homolog effective effect bowdlerize bowdler controlling control rolling roll",
+    "german":
+        "kategorie kategori kategorien kategori kategorisch kategor kategorische kategor kategorischen kategor kater kat katers kat katze katz "
+        "katzen katz aufeinander aufeinand aufenthalt aufenthalt aufenthalts aufenthalt",
     "swedish": "jaktkarl jaktkarl jaktkarlarne jaktkarl jaktlust jaktlust klostret klostret klostrets klostret",
     "danish": "undersøgelse undersøg undersøgelser undersøg indtages indtag indtager indtag indtaget indtag",
     "norwegian": "havnedistrikt havnedistrikt havnedistrikter havnedistrikt havnene havn opning opning opninga opning",
-    "french": "continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel continuel continuelle continuel continuellement continuel continuera continu continuerait continu continueront continu continuez continu continuité continu continuons continuon majestueusement majestu majestueux majestu majesté majest majeur majeur majeure majeur malade malad maladie malad mal mal",
-    "spanish": "chequeo cheque cheques chequ chica chic chicana chican chicos chic torácicos torac tórax torax torcer torc toreado tor toreándolo tor torear tor torearlo tor torero torer toreros torer torneo torne",
-    "italian": "abbandonata abbandon abbandonava abbandon abbandonerà abbandon abbandonò abbandon abbaruffato abbaruff abbassamento abbass abbassandola abbass abbassar abbass pronto pront pronuncerà pronunc pronunciamento pronunc",
+    "french":
+        "continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel "
+        "continuel continuelle continuel continuellement continuel continuera continu continuerait continu continueront continu continuez continu "
+        "continuité continu continuons continuon majestueusement majestu majestueux majestu majesté majest majeur majeur majeure majeur malade malad "
+        "maladie malad mal mal",
+    "spanish":
+        "chequeo cheque cheques chequ chica chic chicana chican chicos chic torácicos torac tórax torax torcer torc toreado tor toreándolo tor "
+        "torear tor torearlo tor torero torer toreros torer torneo torne",
+    "italian":
+        "abbandonata abbandon abbandonava abbandon abbandonerà abbandon abbandonò abbandon abbaruffato abbaruff abbassamento abbass abbassandola "
+        "abbass abbassar abbass pronto pront pronuncerà pronunc pronunciamento pronunc",
     "portuguese": "boa boa boas boas boataria boat boate boat boates boat boatos boat química químic quinta quint quintal quintal quinze quinz",
-    "dutch": "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham lichamelijkheden licham lichamen licham licht licht lichte licht oppas oppas opname opnam",
+    "dutch":
+        "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham lichamelijkheden licham lichamen licham licht licht lichte licht oppas "
+        "oppas opname opnam",
     "finnish": "edeltäjien edeltäj edeltäjän edeltäj edeltäjäksi edeltäj taloissa talo",
     "russian": "важная важн важнее важн важно важн важность важност падать пада падение паден",
 }
@@ -462,7 +482,9 @@ def vectors_shown(spark, sf_dir):
     return shown.select("id", F.size("embedding").cast("long").alias("n")).union(none)
 
 
-@query("facet_sizes", "SELECT 'p_brand' AS prop, count(DISTINCT p_brand) AS count FROM part UNION ALL SELECT 'kind', count(DISTINCT p_type) FROM part UNION ALL SELECT 'cheap', count(DISTINCT p_retailprice < 1000) FROM part")
+@query("facet_sizes",
+    "SELECT 'p_brand' AS prop, count(DISTINCT p_brand) AS count FROM part UNION ALL SELECT 'kind', count(DISTINCT p_type) FROM part UNION ALL "
+    "SELECT 'cheap', count(DISTINCT p_retailprice < 1000) FROM part")
 def facet_sizes(spark, sf_dir):
     found = search(parts(spark, sf_dir), {"facets": {"p_brand": {"limit": 2}, "kind": {}, "cheap": {}}})
     return score.reduce(lambda a, b: a.unionByName(b), [f.select(F.lit(p).alias("prop"), "count") for p, f in found.facet_sizes.items()])
@@ -480,18 +502,24 @@ def group_order(spark, sf_dir):
     return found.groups.select(v[0].alias("g0"), v[1].alias("g1"), at[0].alias("place0"), at[1].alias("place1"), F.size("result").cast("long").alias("n"))
 
 
-@query("hits_by_key", f"WITH {PART_SQL}, h AS (SELECT p_brand, row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, iid DESC) AS rn FROM part_docs) SELECT p_brand, count(*) AS n FROM h WHERE rn <= 40 GROUP BY p_brand")
+@query("hits_by_key",
+    f"WITH {PART_SQL}, h AS (SELECT p_brand, row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, iid DESC) AS rn FROM part_docs) SELECT "
+    f"p_brand, count(*) AS n FROM h WHERE rn <= 40 GROUP BY p_brand")
 def hits_by_key(spark, sf_dir):
     found = search(parts(spark, sf_dir), {"sortBy": {"property": "p_retailprice", "order": "DESC"}, "limit": 40})
     return rank.group_hits(found.hits, "p_brand").select("p_brand", F.size("rows").cast("long").alias("n"))
 
 
-@query("sort_locale", f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY lower(p_name), iid) AS place FROM part_docs) SELECT iid AS p_partkey, place FROM o WHERE place <= 25")
+@query("sort_locale",
+    f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY lower(p_name), iid) AS place FROM part_docs) SELECT iid AS p_partkey, place "
+    f"FROM o WHERE place <= 25")
 def sort_locale(spark, sf_dir):
     return page(search(parts(spark, sf_dir), {"sortBy": {"property": "p_name"}, "limit": 25}), "p_partkey")
 
 
-@query("sort_custom", f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY length(p_name) DESC, iid) AS place FROM part_docs) SELECT iid AS p_partkey, place FROM o WHERE place <= 25")
+@query("sort_custom",
+    f"WITH {PART_SQL}, o AS (SELECT iid, row_number() OVER (ORDER BY length(p_name) DESC, iid) AS place FROM part_docs) SELECT iid AS p_partkey, "
+    f"place FROM o WHERE place <= 25")
 def sort_custom(spark, sf_dir):
     """An order by a function of columns, which sorts in Spark."""
 
@@ -531,7 +559,9 @@ def set_operations(spark, sf_dir):
 CROSS = [(a["lon"], a["lat"], b["lon"], b["lat"]) for a, b in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True)]
 
 
-@query("geo_centroid", f"WITH e AS ({values_sql('x1, y1, x2, y2', CROSS)}), c AS (SELECT *, x1 * y2 - x2 * y1 AS c FROM e) SELECT round(sum((x1 + x2) * c) / (3 * sum(c)), 6) AS lon, round(sum((y1 + y2) * c) / (3 * sum(c)), 6) AS lat FROM c")
+@query("geo_centroid",
+    f"WITH e AS ({values_sql('x1, y1, x2, y2', CROSS)}), c AS (SELECT *, x1 * y2 - x2 * y1 AS c FROM e) SELECT round(sum((x1 + x2) * c) / (3 * "
+    f"sum(c)), 6) AS lon, round(sum((y1 + y2) * c) / (3 * sum(c)), 6) AS lat FROM c")
 def geo_centroid(spark, sf_dir):
     centre = geo.centroid(POLYGON)
     return spark.createDataFrame([(round(centre["lon"], 6), round(centre["lat"], 6))], "lon double, lat double")
@@ -562,7 +592,9 @@ def geo_high_precision(spark, sf_dir):
 # ---- streams, events, answers, plugins ----
 
 
-@query("events_written", f"WITH {PART_SQL}, t AS (SELECT unnest(['st', 'zzz', 'blue']) AS term) SELECT term, (SELECT count(*) FROM part_docs WHERE len(list_filter({tokens_sql('p_name')}, lambda w: starts_with(w, term))) > 0) AS hits, true AS timed FROM t")
+@query("events_written",
+    f"WITH {PART_SQL}, t AS (SELECT unnest(['st', 'zzz', 'blue']) AS term) SELECT term, (SELECT count(*) FROM part_docs WHERE "
+    f"len(list_filter({tokens_sql('p_name')}, lambda w: starts_with(w, term))) > 0) AS hits, true AS timed FROM t")
 def events_written(spark, sf_dir):
     """Search events of a plugin, written when they are many and on flush."""
     path = shared_folder(spark, "events")
@@ -593,7 +625,9 @@ def event_sessions(spark, sf_dir):
     return maintenance.event_sessions(table(spark, sf_dir, "events"))
 
 
-@query("answer_session", f"WITH {NATION_SQL} SELECT 'answer' AS what, (SELECT id FROM n WHERE k = 7) AS value UNION ALL SELECT 'streamed', '3' UNION ALL SELECT 'again', (SELECT id FROM n WHERE k = 7) UNION ALL SELECT 'messages', '3'")
+@query("answer_session",
+    f"WITH {NATION_SQL} SELECT 'answer' AS what, (SELECT id FROM n WHERE k = 7) AS value UNION ALL SELECT 'streamed', '3' UNION ALL SELECT "
+    f"'again', (SELECT id FROM n WHERE k = 7) UNION ALL SELECT 'messages', '3'")
 def answer_session(spark, sf_dir):
     made = Collection(spark, NATION)
     rows = nations(spark, sf_dir)
@@ -604,7 +638,9 @@ def answer_session(spark, sf_dir):
     return spark.createDataFrame(rows, "what string, value string")
 
 
-@query("embeddings_on_insert", f"WITH {PART_SQL}, v AS (SELECT iid, CAST(length(p_name) AS DOUBLE) AS x FROM part_docs) SELECT iid AS p_partkey, round(x / sqrt(x * x + 100), 5) AS v0, round(10 / sqrt(x * x + 100), 5) AS v1 FROM v")
+@query("embeddings_on_insert",
+    f"WITH {PART_SQL}, v AS (SELECT iid, CAST(length(p_name) AS DOUBLE) AS x FROM part_docs) SELECT iid AS p_partkey, round(x / sqrt(x * x + "
+    f"100), 5) AS v0, round(10 / sqrt(x * x + 100), 5) AS v1 FROM v")
 def embeddings_on_insert(spark, sf_dir):
     """The plugin fills the vector column of frames too, batch by batch."""
     plugin = embeddings_plugin(lambda texts: [[float(len(t)), 10.0] for t in texts], "v", ["p_name"])
@@ -632,7 +668,9 @@ def page_titles(spark, sf_dir):
 
 
 
-@query("markdown_sections", "SELECT n_nationkey AS key, 0 AS n, n_name AS title, 'h1' AS header, n_name AS section FROM nation UNION ALL SELECT n_nationkey, 1, 'More', 'h2', n_name FROM nation")
+@query("markdown_sections",
+    "SELECT n_nationkey AS key, 0 AS n, n_name AS title, 'h1' AS header, n_name AS section FROM nation UNION ALL SELECT n_nationkey, 1, 'More', "
+    "'h2', n_name FROM nation")
 def markdown_sections(spark, sf_dir):
     pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><p>x</p><h2>More</h2><p>y</p>")).alias("html"))
     return html.html_sections(pages, "key", "html").select("key", "n", "title", "header", "section")
@@ -651,7 +689,9 @@ def page_records(spark, sf_dir):
     return made.docs.select(F.split("id", "#")[0].cast("int").alias("key"), "type", "content")
 
 
-@query("nested_pages", "SELECT 'u' || n_nationkey AS url, n_name AS title, n_name AS section, 'body' || chr(10) || 'more' AS content FROM nation UNION ALL SELECT 'u' || n_nationkey, n_name, '', 'body' FROM nation UNION ALL SELECT 'u' || n_nationkey || '#two', n_name, 'Two', 'more' FROM nation")
+@query("nested_pages",
+    "SELECT 'u' || n_nationkey AS url, n_name AS title, n_name AS section, 'body' || chr(10) || 'more' AS content FROM nation UNION ALL SELECT "
+    "'u' || n_nationkey, n_name, '', 'body' FROM nation UNION ALL SELECT 'u' || n_nationkey || '#two', n_name, 'Two', 'more' FROM nation")
 def nested_pages(spark, sf_dir):
     data = F.lit('{"#": "body", "two#Two": "more"}')
     pages = table(spark, sf_dir, "nation").select(F.concat(F.lit("u"), "n_nationkey").alias("url"), F.col("n_name").alias("title"), data.alias("data"))
