@@ -658,6 +658,20 @@ def unescaped(sql: str) -> str:
     return f"trim({sql})"
 
 
+#: Texts between tags, in order; what stands in scripts is no tag.
+TEXTS = r"""WITH c AS (SELECT page_id, regexp_replace(replace(html, '"</p>"', '"&lt;/p>"'), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs') AS h FROM pages WHERE html IS NOT NULL),
+t AS (SELECT page_id, unnest(list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> '')) AS x FROM c),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS content FROM t)
+SELECT page_id, content, count(*) AS n FROM u GROUP BY page_id, content"""
+
+
+@query("html_texts", TEXTS)
+def html_texts(spark, sf_dir):
+    """The texts of pages, one record for each, and how often each stands on its page."""
+    found = html.html_records(table(spark, sf_dir, "pages"), "page_id", "html", merge="split")
+    return found.groupBy("page_id", "content").agg(F.count("*").alias("n"))
+
+
 TITLES = "SELECT page_id, {}, {} FROM pages".format(*(unescaped(f"regexp_extract(html, '<{t}>([^<]*)</{t}>', 1)") + f" AS {t}" for t in ("title", "h1")))
 
 
