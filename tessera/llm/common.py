@@ -89,7 +89,7 @@ def key_array(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it grows past its bound."""
 
-    BOUND = 200_000
+    BOUND = 50_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.BOUND:

@@ -168,18 +168,19 @@ def _graded(docs: DataFrame, model: OrdinalModel, text: str, keep_tail: int | No
     """The columns of docs as c0, c1, ... and score, expected_grade, tail, keep; batches pass through as Arrow."""
     j = len(model.thresholds) - 1 if keep_tail is None else keep_tail
     names = [f"c{i}" for i in range(len(docs.columns))]
+    of_text = names[docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
         for b in batches:
-            s = np.array([dense[features(t)].sum() for t in b.column("t").to_pylist()], np.float64)
+            s = np.array([dense[features(t)].sum() for t in b.column(of_text).to_pylist()], np.float64)
             tails = _sigmoid(s[:, None] - model.thresholds[None, :])
             made = [pa.array(s), pa.array(tails.sum(1)), pa.array(list(tails), pa.list_(pa.float64())), pa.array(tails[:, j] >= threshold)]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *made], [*names, "score", "expected_grade", "tail", "keep"])
 
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{text}`").alias("t"))
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
     made = T.StructType().add("score", "double").add("expected_grade", "double").add("tail", T.ArrayType(T.DoubleType())).add("keep", "boolean")
-    return given.mapInArrow(run, T.StructType(given.schema.fields[:-1] + made.fields))
+    return given.mapInArrow(run, T.StructType(given.schema.fields + made.fields))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", keep_tail: int | None = None, threshold: float = 0.5) -> DataFrame:
