@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
