@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_array, key_columns
+from .common import key_array, key_columns, trimmed
 
 UNIT = 64
 SIDE = 8  # blocks a frame in either direction
@@ -423,7 +423,7 @@ def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 yield pd.DataFrame({key: key_array(part), "media": [store_payload(t.encode()) for t in part["t"]]})
 
     rows = docs.select(*key_columns(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, f"{key} long, media binary")
+    return rows.mapInPandas(trimmed(run), f"{key} long, media binary")
 
 
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -453,7 +453,7 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 rows[c] = rows[c].astype("Int64")
             yield rows.assign(**{key: key_array(batch)})[[key, *names]]
 
-    return media.select(*key_columns(key), "media").mapInPandas(run, schema)
+    return media.select(*key_columns(key), "media").mapInPandas(trimmed(run), schema)
 
 
 def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -474,4 +474,4 @@ def clip_rows(media: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = [r for k, m in zip(key_array(batch), batch["media"], strict=True) if m is not None for r in rows_of(k, bytes(m))]
             yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(names[:-1], "Int64"))
 
-    return media.select(*key_columns(key), "media").mapInPandas(run, f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int, error string")
+    return media.select(*key_columns(key), "media").mapInPandas(trimmed(run), f"{key} long, clip int, start_ms long, end_ms long, frames int, brightness int, error string")

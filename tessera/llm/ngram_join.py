@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, held, key_array, key_columns, mix64, stage
+from .common import WordHashes, held, key_array, key_columns, mix64, stage, trimmed
 
 BLOCK = 256
 BLOCK_GRAMS = 4_000_000  # n-grams of one block, 8 bytes each
@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int, key: str, text: str)
                 yield pd.DataFrame({key: key_array(part), "h": part["h"], "class": names, "bands": found, "grams": grams})
 
     given = docs.select(*key_columns(key), F.col(text).alias("t"), text_hash(F.col(text)).alias("h"))
-    return given.mapInPandas(run, f"{key} long, h long, class binary, bands binary, grams long")
+    return given.mapInPandas(trimmed(run), f"{key} long, h long, class binary, bands binary, grams long")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
                         found.append(np.unique(shingles(words, n)).tobytes())
                 yield pd.DataFrame({"class": names, "set": found})
 
-    return texts.mapInPandas(run, "class binary, set binary")
+    return texts.mapInPandas(trimmed(run), "class binary, set binary")
 
 
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float, key: str,
         .repartition("band", "hash", "a", "b")
         .sortWithinPartitions("band", "hash", "a", "b")
     )
-    links = stage(grouped.mapInPandas(_verifier(threshold), "class binary, peer binary, links long"), "links")
+    links = stage(grouped.mapInPandas(trimmed(_verifier(threshold)), "class binary, peer binary, links long"), "links")
     component = components(links.select(F.col("class").alias("u"), F.col("peer").alias("v")))
     linked = classes.join(component.withColumnRenamed("node", "class"), "class").select("class", "rep", "component")
     least = linked.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held
+from .common import held, trimmed
 
 BUCKETS = 1 << 17
 #: The documented bound of the training sample: labelled rows with the smallest hashes.
@@ -160,7 +160,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, sample_rows: int = SA
                 part = b.iloc[at : at + 500]
                 yield pd.DataFrame({"grade": part["grade"], "h": part["h"], "x": [features(t) for t in part["t"]]})
 
-    data = texts.mapInPandas(run, "grade int, h long, x array<int>").orderBy("h", "grade", "x").limit(sample_rows).toPandas()
+    data = texts.mapInPandas(trimmed(run), "grade int, h long, x array<int>").orderBy("h", "grade", "x").limit(sample_rows).toPandas()
     return fit([np.asarray(x, np.int32) for x in data["x"]], data["grade"].to_numpy(np.int64), levels, support=support)
 
 
@@ -180,7 +180,7 @@ def _graded(docs: DataFrame, model: OrdinalModel, text: str, keep_tail: int | No
 
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
     made = T.StructType().add("score", "double").add("expected_grade", "double").add("tail", T.ArrayType(T.DoubleType())).add("keep", "boolean")
-    return given.mapInArrow(run, T.StructType(given.schema.fields + made.fields))
+    return given.mapInArrow(trimmed(run), T.StructType(given.schema.fields + made.fields))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", keep_tail: int | None = None, threshold: float = 0.5) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, trimmed
 
 EXACT, EXACT_SINGLE = 2.0**53, 2.0**24
 #: The documented bound of the sample that pivots are chosen from: the rows with the smallest hashes.
@@ -282,11 +282,11 @@ def _searched(vectors: DataFrame, k: int, query_every: int, scale: float, pivots
                     near[at], away[at] = table.argmin(0), table.min(0)
             yield batch.assign(dim=batch["vec"].map(len), near=near, away=away)
 
-    placed = rows.mapInPandas(nearest, "id long, vec array<double>, dim int, near long, away double").withColumn("tie", F.monotonically_increasing_id())
+    placed = rows.mapInPandas(trimmed(nearest), "id long, vec array<double>, dim int, near long, away double").withColumn("tie", F.monotonically_increasing_id())
     order = ["dim", "near", "away", "id", "tie"]
     near_ones = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("id", "vec")
-    blocks = stage(near_ones.mapInPandas(lambda it: _packed(it, scale, row_block, chosen), BLOCK), "blocks")
-    questions = stage(blocks.mapInPandas(lambda it: _questions(it, query_every, query_block, k, chosen), BLOCK), "queries")
+    blocks = stage(near_ones.mapInPandas(trimmed(lambda it: _packed(it, scale, row_block, chosen)), BLOCK), "blocks")
+    questions = stage(blocks.mapInPandas(trimmed(lambda it: _questions(it, query_every, query_block, k, chosen)), BLOCK), "queries")
 
     least = F.udf(lambda b: float(np.frombuffer(b, "<f8").min()), "double")
 
@@ -301,13 +301,13 @@ def _searched(vectors: DataFrame, k: int, query_every: int, scale: float, pivots
     schema = "query_blk long, query_own long, query_place long, query_id long, vec_id long, score long, evaluated long, met long"
 
     def search(pairs: DataFrame, asked: DataFrame, report: bool = False) -> DataFrame:
-        return _met(pairs, blocks, asked).mapInPandas(lambda it: _search(it, k, report), schema)
+        return _met(pairs, blocks, asked).mapInPandas(trimmed(lambda it: _search(it, k, report)), schema)
 
     first = stage(pairs_of(questions).groupBy("blk").agg(F.max_by("r", F.struct("upper", "r")).alias("r")), "first")
     found = stage(search(first, questions), "found")
     kth = found.groupBy("query_blk", "query_own", "query_place").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
     known = kth.groupBy(F.col("query_blk").alias("blk")).agg(F.collect_list(F.struct("query_own", "query_place", "least")).alias("found"))
-    raised = stage(questions.join(known, "blk", "left").mapInPandas(_raised, BLOCK), "raised")
+    raised = stage(questions.join(known, "blk", "left").mapInPandas(trimmed(_raised), BLOCK), "raised")
     rest = stage(pairs_of(raised).join(first, ["blk", "r"], "left_anti").select("blk", "r"), "rest")
     if report:
         found = search(first, questions, True).unionByName(search(rest, raised, True))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, key_array, key_columns, stage
+from .common import held, key_array, key_columns, stage, trimmed
 
 GIANT = 16_384
 CHUNK = 8_192
@@ -295,18 +295,18 @@ def boundary_states(chunks: DataFrame, model: str, fan: int, parts: int) -> Data
 
     schema = "name string, n long, rows int, m binary"
     most = chunks.agg(F.max("n")).first()[0] or 0
-    levels = [chunks.mapInPandas(matrix, schema)]
+    levels = [chunks.mapInPandas(trimmed(matrix), schema)]
     if most < fan:  # one level, read once
         found = in_groups(levels[0].withColumns({"entry": F.lit(0), "end": F.lit(-1)}))
-        return found.mapInPandas(down, "name string, n long, entry int, end int")
+        return found.mapInPandas(trimmed(down), "name string, n long, entry int, end int")
     levels = [stage(levels[0], "matrices")]
     while most >= fan:
-        levels.append(stage(in_groups(levels[-1]).mapInPandas(up, schema), "matrices"))
+        levels.append(stage(in_groups(levels[-1]).mapInPandas(trimmed(up), schema), "matrices"))
         most //= fan
     states = levels[-1].select("name", F.lit(0).cast("long").alias("grp")).distinct().select("name", "grp", F.lit(0).alias("entry"), F.lit(-1).alias("end"))
     for level in reversed(levels):
         both = level.withColumn("grp", F.floor(F.col("n") / fan).cast("long")).join(states, ["name", "grp"])
-        states = in_groups(both).mapInPandas(down, "name string, n long, entry int, end int")
+        states = in_groups(both).mapInPandas(trimmed(down), "name string, n long, entry int, end int")
         if level is not levels[0]:
             states = stage(states, "states").withColumnRenamed("n", "grp")
     return states
@@ -341,7 +341,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, giant: int, chunk
                 made = pd.DataFrame({key: key_array(b.iloc[s]), "text_crc32": b["crc"].iloc[s].to_numpy(), "ids": ids})
                 yield finish(lib, made) if finish else made
 
-    small = rows.where(F.length("t") <= giant).mapInPandas(plain, f"{key} long, {columns}")
+    small = rows.where(F.length("t") <= giant).mapInPandas(trimmed(plain), f"{key} long, {columns}")
     large = rows.where(F.length("t") > giant).withColumn("name", F.sha2("t", 256))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,7 +358,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, giant: int, chunk
                     yield pd.DataFrame(part, columns=["name", "n", "base", "p", "q", "z"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = large.select("name", "t").dropDuplicates(["name"]).mapInPandas(cut, "name string, n long, base long, p long, q long, z string")
+    pieces = large.select("name", "t").dropDuplicates(["name"]).mapInPandas(trimmed(cut), "name string, n long, base long, p long, q long, z string")
     chunks = stage(pieces.repartition(parts, "name", "n"), "chunks")
 
     states = boundary_states(chunks, model, fan, parts)
@@ -369,7 +369,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, giant: int, chunk
             ids = [np.array(trace(lattice, r.z, r.p - r.base, r.q - r.base, r.entry, r.end), np.int32) for r in b.itertuples()]
             yield pd.DataFrame({"name": b["name"], "n": b["n"], "ids": ids})
 
-    traced = chunks.join(states, ["name", "n"]).mapInPandas(back, "name string, n long, ids array<int>")
+    traced = chunks.join(states, ["name", "n"]).mapInPandas(trimmed(back), "name string, n long, ids array<int>")
     whole = traced.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
     joined = large.select(F.when(~F.col("k_null"), F.col("k")).alias(key), F.col("crc").alias("text_crc32"), "name").join(whole, "name").select(key, "text_crc32", "ids")
     if finish:
@@ -381,7 +381,7 @@ def _encoded(docs: DataFrame, model: str, key: str, text: str, giant: int, chunk
                     part = b.iloc[at : at + 200]
                     yield finish(lib, pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"].to_numpy(), "ids": [x.tolist() for x in part["ids"]]}))
 
-        joined = joined.select(*key_columns(key), "text_crc32", "ids").mapInPandas(last, f"{key} long, {columns}")
+        joined = joined.select(*key_columns(key), "text_crc32", "ids").mapInPandas(trimmed(last), f"{key} long, {columns}")
     return small.unionByName(joined)
 
 
@@ -396,7 +396,7 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
                 texts = [None if x is None else lib.decode(x.tolist()) for x in part["ids"]]
                 yield pd.DataFrame({key: key_array(part), "text_crc32": part["text_crc32"], "ids": part["ids"], "text": texts})
 
-    return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(run, f"{key} long, text_crc32 long, ids array<int>, text string")
+    return encoded.select(*key_columns(key), "text_crc32", "ids").mapInPandas(trimmed(run), f"{key} long, text_crc32 long, ids array<int>, text string")
 
 
 def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, held, key_array, key_columns, stage
+from .common import fresh_dir, held, key_array, key_columns, stage, trimmed
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -253,7 +253,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: st
             ends = pd.array([known[0], known[-1]] if known else [pd.NA, pd.NA], "Int64")
             yield pd.DataFrame({"file": [name], "documents": [len(writer.index)], "ids": [ids], "first": ends[:1], "last": ends[1:]})
 
-    written = ordered.select(*key_columns("k"), "t").mapInPandas(run, "file string, documents long, ids long, first long, last long")
+    written = ordered.select(*key_columns("k"), "t").mapInPandas(trimmed(run), "file string, documents long, ids long, first long, last long")
     return stage(written.withColumn("part", F.spark_partition_id()), "manifest")
 
 
@@ -284,7 +284,7 @@ def read_files(manifest: DataFrame, path: str, key: str = "doc_id") -> DataFrame
                         keys[reader.index["null"][lo : part.stop] == 1] = pd.NA
                         yield pd.DataFrame({key: keys, "start": starts[lo : part.stop], "n_tokens": sizes[lo : part.stop], "ids_crc32": [zlib.crc32(reader.document(n)) for n in part]})
 
-    return listed.mapInPandas(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInPandas(trimmed(run), f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(manifest: DataFrame, path: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -321,8 +321,8 @@ def read_documents(manifest: DataFrame, path: str, wanted: DataFrame, key: str =
                     yield pd.DataFrame(out, columns=[key, "ids"]).astype({key: "int64"})
 
     asked = wanted.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct()
-    found = asked.mapInPandas(place, "file string, k long").repartition("file").sortWithinPartitions("file", "k")
-    return found.mapInPandas(run, f"{key} long, ids array<long>")
+    found = asked.mapInPandas(trimmed(place), "file string, k long").repartition("file").sortWithinPartitions("file", "k")
+    return found.mapInPandas(trimmed(run), f"{key} long, ids array<long>")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
