@@ -425,7 +425,7 @@ def stem_samples(spark, sf_dir):
     frames = []
     for language in STEMS:
         words = spark.createDataFrame([(w,) for n, w, _ in stem_rows() if n == language], "word string")
-        stem = F.udf(STEMMERS[language], "string")
+        stem = F.udf(STEMMERS[language], "string", useArrow=False)
         frames.append(words.select(F.lit(language).alias("language"), "word", stem("word").alias("stem")))
     return score.reduce(lambda a, b: a.unionByName(b), frames)
 
