@@ -14,6 +14,7 @@ then only the frames of the documents asked for, and checks each against its che
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -136,57 +138,129 @@ class FrameReader:
 
 #: Letters (lower case) and numbers that the quick split knows; texts with other characters take the library's own way.
 LETTERS, NUMBERS = "a-zªµºß-öø-ž", "0-9²³¹¼½¾"
-QUICK = re.compile(f"[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u012f\\u0131-\\u017e]|<\\|")
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+QUICK = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u012f\\u0131-\\u017e]")
+SPACE, LETTER, NUMBER, OTHER, LEAD, ODD = range(6)
+
+
+def _kind(c: str) -> int:
+    """What the quick split takes a character for; ODD if it does not know it."""
+    if not QUICK.match(c):
+        return ODD
+    return next((k for k, signs in ((SPACE, r"\s"), (LETTER, LETTERS), (NUMBER, NUMBERS)) if re.match(f"[{signs}]", c.lower())), OTHER)
+
+
+#: Kinds and lower case of the first code points, which UTF-8 writes in one byte or two, and of single bytes: those that
+#: lead two bytes are looked up by their code point, those of longer characters are odd.
+KINDS = np.array([_kind(chr(c)) for c in range(0x180)], np.uint8)
+LOWER = np.array([ord(chr(c).lower()) if k != ODD else c for c, k in enumerate(KINDS)], np.uint16)
+BYTE_KINDS = np.concatenate([KINDS[:0x80], np.full(0x40, OTHER), np.full(0x40, ODD)]).astype(np.uint8)
+BYTE_KINDS[0xC2:0xC6] = LEAD
+BYTE_LOWER = np.concatenate([LOWER[:0x80], np.arange(0x80, 0x100)]).astype(np.uint8)
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, list[int]]:
+    """The words of UTF-8 texts in lower case, as the tokenizer's pattern splits them ('s, 't, 're, 've, 'm, 'll, 'd, else
+    runs of letters, single numbers, runs of other signs), the place of each text's first word (and the number of all),
+    and the texts that it cannot split, which have no words here. Looks at bytes of all texts at once."""
+    data = np.frombuffer(b"\n".join([*texts, b"\n\n"]), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    kind, low = BYTE_KINDS[data], BYTE_LOWER[data]
+    lead = np.flatnonzero(kind == LEAD)
+    code = (data[lead].astype(np.uint16) & 0x1F) << 6 | data[lead + 1] & 0x3F
+    kind[lead] = kind[lead + 1] = KINDS[code]
+    low[lead], low[lead + 1] = 0xC0 | LOWER[code] >> 6, 0x80 | LOWER[code] & 0x3F
+    special = np.flatnonzero(data == ord("<"))
+    special = special[data[special + 1] == ord("|")]
+    odd = np.unique(np.searchsorted(bounds, np.concatenate([np.flatnonzero(kind == ODD), special]), "right") - 1).tolist()
+    for i in odd:
+        kind[bounds[i] : bounds[i + 1]] = SPACE
+    first = np.empty(len(data), bool)
+    first[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    first |= kind == NUMBER
+    first[lead + 1] = False
+    mark = np.flatnonzero(low == ord("'"))
+    mark = mark[first[mark] & (kind[mark] != SPACE)]
+    one, two = low[mark + 1], low[mark + 1].astype(np.uint16) << 8 | low[mark + 2]
+    size = np.isin(one, np.frombuffer(b"stmd", np.uint8)) + 2 * np.isin(two, np.frombuffer(b"revell", ">u2"))
+    mark, size = mark[size > 0], size[size > 0]
+    first[mark + 1] = False
+    after = mark + 1 + size
+    first[after[kind[after] == LETTER]] = True
+    solid = kind != SPACE
+    first &= solid
+    packed, starts = low[solid], np.flatnonzero(first[solid])
+    ends = np.append(starts, len(packed))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    return words, np.searchsorted(np.flatnonzero(first), bounds), odd
+
+
+class Places(dict):
+    """word -> its place among the words looked up so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer whose words are encoded one by one; remembers the ids of words.
 
-    The quick way splits plain Latin text as the tokenizer's own pattern does and asks the library for words not met
-    before. Texts with other characters, or with something like a special token, go to the library whole.
+    The quick way splits plain Latin text as the tokenizer's own pattern does, a batch at once, and asks the library for
+    words not met before. Texts with other characters, or with something like a special token, go to the library whole.
     """
 
     REMEMBERED = 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words as one text, in which spaces part them; the library tells each id's word."""
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-        cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), len(ids)]
+        #: The same model for words that are split and in lower case already.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        pieces = self.library.get_vocab()
+        self.last = np.zeros(max(pieces.values()) + 1, bool)
+        self.last[[i for piece, i in pieces.items() if piece.endswith(self.library.model.end_of_word_suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = Places(), pa.array([], pa.large_binary())
+
+    def _learn(self, words: list[bytes]) -> pa.LargeBinaryArray:
+        """Encode new words as one text, in which spaces part them; the last id of a word shows that it is one."""
+        (found,) = self.model.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.concatenate([[0], 4 * (np.flatnonzero(self.last[ids]) + 1)])
         if len(cuts) != len(words) + 1:  # a word that the library splits otherwise
-            for w in words:
-                self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        for k, w in enumerate(words):
-            self.words[w] = ids[cuts[k] : cuts[k + 1]]
+            return pa.array([self._whole(w.decode()) for w in words], pa.large_binary())
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
-        out: list = [None] * len(texts)
-        split = {}
-        for i, t in enumerate(texts):
-            if QUICK.search(t):
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                split[i] = PIECES.findall(t.lower())
-        distinct = set().union(*split.values())
-        unknown = list(distinct.difference(self.words))
-        if len(self.words) + len(unknown) > self.REMEMBERED:
-            self.words.clear()
-            unknown = list(distinct)
-        for at in range(0, len(unknown), 1000):
-            self._learn(unknown[at : at + 1000])
-        known = self.words.__getitem__
-        for i, words in split.items():
-            out[i] = b"".join(map(known, words))
+        known = len(self.ids)
+        if known > self.REMEMBERED or known != len(self.words):
+            self.forget()
+            known = 0
+        words, starts, odd = split_words([t.encode() for t in texts])
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        new = list(itertools.islice(reversed(self.words), len(self.words) - known))[::-1]
+        self.ids = pa.concat_arrays([self.ids, *(self._learn(new[at : at + 1000]) for at in range(0, len(new), 1000))])
+        found = self.ids.take(pa.array(places)).take(words.indices)
+        _, ends, flat = found.buffers()
+        cuts = np.frombuffer(ends, np.int64)[starts].tolist() if len(found) else [0] * len(starts)
+        flat = memoryview(flat or b"")
+        out = [bytes(flat[a:b]) for a, b in itertools.pairwise(cuts)]
+        for i in odd:
+            out[i] = self._whole(texts[i])
         return out
 
 

@@ -1,5 +1,7 @@
 import io
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -110,3 +112,47 @@ def test_one_key_over_several_files(docs_of):
     found = sorted(tf.token_files(docs_of(rows), PATH).collect(), key=lambda r: r.start)
     assert len(found) == 500 and [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(500)]
     assert [r.doc_id for r in found] == [None] * 300 + [5] * 200
+
+
+def test_known_words_cost_less_than_the_pattern():
+    """Words met before take less CPU than the tokenizer's pattern over the text alone."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopé", k=rnd.randint(1, 8))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=3000)) + ", don't." for _ in range(60)]
+    pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{tf.LETTERS}]+|[{tf.NUMBERS}]|[^\\s{tf.LETTERS}{tf.NUMBERS}]+")
+    encoder = tf.WordEncoder(PATH)
+    encoder.encode(texts)
+
+    def least(run):
+        spent = []
+        for _ in range(7):
+            begun = time.process_time()
+            run()
+            spent.append(time.process_time() - begun)
+        return min(spent)
+
+    assert least(lambda: encoder.encode(texts)) < least(lambda: [pattern.findall(t.lower()) for t in texts])
+
+
+def test_every_quick_character_in_its_place():
+    """Characters at ends of texts, twice, in words, by apostrophes; texts of a batch do not touch each other."""
+    from tokenizers import Tokenizer
+
+    forms = ["{0}", "{0}{0}", "a{0}b", "'{0}s", "9{0}'d{0}'RE", " {0}' {0}'s's'tt", "'", "s", "{0}'l", "l"]
+    texts = [f.format(chr(c)) for c in range(0x250) for f in forms]
+    library = Tokenizer.from_file(PATH)
+    right = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = tf.WordEncoder(PATH)
+    assert encoder.encode(texts) == right
+    assert encoder.encode([]) == [] and encoder.encode(["", " ", "\n"]) == [b"", b"", b""]
+
+
+def test_forgotten_words_are_asked_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tf.WordEncoder, "REMEMBERED", 5)
+    encoder, library = tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(6):
+        texts = [f"word{chr(97 + i)} again and some words more", f"only{chr(98 + i)} here"]
+        assert [np.frombuffer(f, "<u4").tolist() for f in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words) < 20
