@@ -10,6 +10,7 @@ sentences, placed                              what the scorers by sentence and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,6 +40,20 @@ class TextIndex:
     known: tuple[int, dict[str, float]] | None = None
     sentences: DataFrame | None = None
     placed: DataFrame | None = None
+    looked_up: tuple[object, TextIndex] | None = None
+
+    def narrowed(self, query: object, props: list[str], keep: Callable[[Column], Column]) -> TextIndex:
+        """The same index with only those tokens that answer a query, and the fields' lengths and averages as they are.
+        Without stored or kept tokens a search would analyse the texts for each of postings, dictionary and statistics;
+        these few tokens are kept by Spark, as the first action asks for them, until the next query takes their place."""
+        if self.stored is not None or self.kept is not None:
+            return self
+        if self.looked_up is None or self.looked_up[0] != query:
+            if self.looked_up is not None:
+                self.looked_up[1].kept.unpersist()
+            rows = self.analysed(props).select("prop", "_iid", F.filter("tokens", keep).alias("tokens"), "field_len").persist()
+            self.looked_up = query, TextIndex(self.schema, self.analyzer, self.docs, kept=rows)
+        return self.looked_up[1]
 
     def analysed(self, props: list[str]) -> DataFrame:
         """One pass over docs: the properties' tokens side by side, then one row each."""

@@ -61,6 +61,11 @@ def any_match(query: TextQuery, word: Column) -> Column:
     return reduce(lambda a, b: a | b, [matches(word, F.lit(t), query) for t in query.tokens])
 
 
+def narrowed(index: TextIndex, query: TextQuery) -> TextIndex:
+    """The index, or what a query needs of it where its tokens would have to be made anew."""
+    return index.narrowed((query.tokens, query.props, query.exact, query.tolerance), query.props, lambda word: any_match(query, word))
+
+
 def boosts(query: TextQuery) -> Column:
     out = F.lit(1.0)
     for prop, value in query.boost.items():
@@ -78,6 +83,7 @@ def bm25_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None =
     """BM25 of every document that a query reaches. Statistics are those of the whole collection; `allowed` (_iid)
     limits the documents that are scored, not the counts. The statistics are one row for each property, or constants
     where the index knows them."""
+    index = narrowed(index, query)
     found = index.postings(query.props, any_match(query, F.col("token")))
     counts = index.dictionary(query.props, any_match(query, F.col("token")))
     if allowed is not None:
@@ -185,7 +191,7 @@ SCORERS: dict[str, Scorer] = {"bm25": bm25_scores, "qps": qps_scores, "pt15": pt
 
 def tokens_found(index: TextIndex, query: TextQuery) -> DataFrame:
     """One row (found): how many query tokens answer to some word of the collection, before any filter."""
-    words = index.postings(query.props, any_match(query, F.col("token"))).select("token").distinct()
+    words = narrowed(index, query).postings(query.props, any_match(query, F.col("token"))).select("token").distinct()
     return words.select(F.explode(matched_tokens(query, F.col("token"))).alias("q")).agg(F.countDistinct("q").alias("found"))
 
 
