@@ -148,18 +148,19 @@ class Analyzer:
 
     def query_tokens(self, text: str, prop: str | None = None) -> list[str]:
         """The same for one text of a query; a query names no property unless it comes from a filter."""
-        if prop in self.tokenize_skip:
-            words = [text]
-        else:
-            words = re.split(SPLITTERS[self.language], text.lower())
-        found = []
-        for w in words:
-            if w in self.stop_words:
-                continue
-            w = fold(self.stemmer(w) if self._stems(prop) and w else w)
-            if w:
-                found.append(w)
-        return found if self.allow_duplicates else list(dict.fromkeys(found))
+        return self.lowered_tokens(text if prop in self.tokenize_skip else text.lower(), prop)
+
+    def lowered_tokens(self, text: str, prop: str | None = None) -> list[str]:
+        """The same for a text that is in lower case already."""
+        words = [text] if prop in self.tokenize_skip else re.findall(WORDS[self.language], text)
+        if self.stop_words:
+            words = [w for w in words if w not in self.stop_words]
+        if self._stems(prop):
+            words = [self.stemmer(w) if w else w for w in words]
+        if not text.isascii() or self._stems(prop):
+            words = map(fold, words)
+        found = filter(None, words)
+        return list(found) if self.allow_duplicates else list(dict.fromkeys(found))
 
 
 #: Runs of characters that belong to words in some language; those that no class above keeps part words in all.

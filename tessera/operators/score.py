@@ -10,10 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions.text import Analyzer
 from .index import TextIndex, field_tokens
 
 
@@ -143,16 +145,25 @@ def _tokens_of(index: TextIndex, prop: str, text: Column) -> Column:
 def sentence_postings(index: TextIndex, props: list[str], rows: DataFrame) -> DataFrame:
     """(_iid, prop, token, occ, mask, n): in how many sentences a token occurs, their bits, tokens of all sentences.
 
-    Sentences end at . ? or !; the sentence number goes on after one of more than one token and stops at 19. Numbers
-    are made inside each row, so that one explosion and one aggregate, which is complete before its shuffle, remain.
+    Sentences end at . ? or !; the sentence number goes on after one of more than one token and stops at 19. A document is
+    counted inside its row; for an analyzer of one's own, which gives columns, by an explosion and an aggregate.
     """
     schema, parts = index.schema, []
+    plain = type(index.analyzer) is Analyzer
     for p in props:
         column = schema.column(p)
         text = F.array_join(column, ". ") if schema.types[p] == "string[]" else column
-        sentences = F.transform(F.split(text, r"[.?!]"), partial(_tokens_of, index, p))
-        parts.append(F.struct(F.lit(p).alias("prop"), sentences.alias("sentences")))
-    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.prop", "f.sentences").where("sentences is not null")
+        sentences = F.split(text, r"[.?!]")
+        if plain:
+            raw = sentences if p in index.analyzer.tokenize_skip else F.transform(sentences, F.lower)
+            parts.append(F.struct(F.lit(p).alias("prop"), _sentence_udf(index.analyzer, p)(raw).alias("found")))
+        else:
+            parts.append(F.struct(F.lit(p).alias("prop"), F.transform(sentences, partial(_tokens_of, index, p)).alias("sentences")))
+    each = rows.select("_iid", F.explode(F.array(*parts)).alias("f")).select("_iid", "f.*")
+    if plain:
+        words = each.select("_iid", "prop", "found.n", F.explode("found.words").alias("w"))
+        return words.select("_iid", "prop", "w.token", "w.occ", "w.mask", "n")
+    each = each.where("sentences is not null")
     start = F.struct(F.lit(0).alias("bit"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("bits"))
 
     def number(a: Column, s: Column) -> Column:
@@ -165,6 +176,39 @@ def sentence_postings(index: TextIndex, props: list[str], rows: DataFrame) -> Da
     return words.groupBy("_iid", "prop", "token").agg(F.count("*").alias("occ"), F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"), F.max("n").alias("n"))
 
 
+def _sentence_udf(analyzer: Analyzer, prop: str) -> Callable[[Column], Column]:
+    """(n, words: token, occ, mask) of an array of sentences; in Python, so that a document needs no shuffle."""
+    item = pa.struct([("token", pa.string()), ("occ", pa.int64()), ("mask", pa.int32())])
+
+    @F.arrow_udf("n int, words array<struct<token: string, occ: bigint, mask: int>>")
+    def count(texts: pa.Array) -> pa.Array:
+        tokens, occ, masks, totals, ends = [], [], [], [], [0]
+        for sentences in texts.to_pylist():
+            found: dict[str, list[int]] = {}
+            bit = total = 0
+            for sentence in sentences or ():
+                own = analyzer.lowered_tokens(sentence, prop)
+                total += len(own)
+                for t in own:
+                    if t in found:
+                        seen = found[t]
+                        seen[0] += 1
+                        seen[1] |= 1 << bit
+                    else:
+                        found[t] = [1, 1 << bit]
+                if len(own) > 1 and bit < 19:
+                    bit += 1
+            tokens.extend(found)
+            occ.extend(c for c, _ in found.values())
+            masks.extend(m for _, m in found.values())
+            totals.append(total)
+            ends.append(len(tokens))
+        items = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(occ, pa.int64()), pa.array(masks, pa.int32())], fields=list(item))
+        return pa.StructArray.from_arrays([pa.array(totals, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["n", "words"])
+
+    return count
+
+
 def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = None) -> DataFrame:
     """Scores by sentences: a matched word counts occ^2 / n, and 1 if it is a query token itself; words that share
     sentences add 2 for each shared one, which sums up to 2 (sum of bits - bits of the union)."""
@@ -178,11 +222,10 @@ def qps_scores(index: TextIndex, query: TextQuery, allowed: DataFrame | None = N
         found = sentence_postings(index, query.props, rows).where(any_match(query, F.col("token")))
     own = F.when(F.col("token").isin(query.tokens), 1.0).otherwise(0.0)
     score = (F.col("occ") * F.col("occ") / F.col("n") + own) * boosts(query)
-    bits = F.bit_count("mask")
-    total = F.sum(score) + 2 * (F.sum(bits) - F.bit_count(F.bit_or("mask")))
-    hits = found.withColumn("h", F.size(matched_tokens(query, F.col("token"))))
-    full = hits.groupBy("_iid", "prop").agg(F.sum("h").alias("hits")).groupBy("_iid").agg(F.max(F.col("hits") == max(len(query.tokens), 1)).alias("full"))
-    return found.groupBy("_iid").agg(total.alias("score")).join(full, "_iid")
+    hits = F.size(matched_tokens(query, F.col("token")))
+    per_field = found.groupBy("_iid", "prop").agg(F.sum(score).alias("s"), F.sum(F.bit_count("mask")).alias("bits"), F.bit_or("mask").alias("mask"), F.sum(hits).alias("hits"))
+    total = F.sum("s") + 2 * (F.sum("bits") - F.bit_count(F.bit_or("mask")))
+    return per_field.groupBy("_iid").agg(total.alias("score"), F.max(F.col("hits") == max(len(query.tokens), 1)).alias("full"))
 
 
 Scorer = Callable[[TextIndex, TextQuery, DataFrame | None], DataFrame]
